@@ -35,32 +35,42 @@ def running(
     order: list[str],
     sums: dict[str, str] | None = None,
     lags: dict[str, str] | None = None,
+    fills: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums and previous-row values.
+    """Add inclusive running sums, previous-row values and last non-null values.
 
-    ``sums`` and ``lags`` map an output column to its input column. ``order``
-    must identify a row within its key for the result to be deterministic.
+    ``sums``, ``lags`` and ``fills`` map an output column to its input column.
+    ``order`` must identify a row within its key for a deterministic result; a
+    leading ``-`` sorts that column downwards (sums only).
     """
-    sums, lags = sums or {}, lags or {}
+    sums, lags, fills = sums or {}, lags or {}, fills or {}
+    if (lags or fills) and any(c.startswith("-") for c in order):
+        raise ValueError("previous values need an ascending order")
+    sort = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
     # The slice number is stored, so both consumers below agree on it even if a
     # lost task would sample other range bounds.
     placed = written(
-        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()),
+        df.repartitionByRange(*[F.col(k).asc() for k in keys], *sort).withColumn("_slice", F.spark_partition_id()),
         "ranges",
     )
     slice_keys = ["_slice", *keys]
-    inside = Window.partitionBy(*slice_keys).orderBy(*order)
+    inside = Window.partitionBy(*slice_keys).orderBy(*sort)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select(
         "*",
         *[F.sum(v).over(upto).alias(o) for o, v in sums.items()],
         *[F.lag(v).over(inside).alias(o) for o, v in lags.items()],
+        *[F.last(v, ignorenulls=True).over(upto).alias(o) for o, v in fills.items()],
         F.row_number().over(inside).alias("_pos"),
     )
     totals = placed.groupBy(*slice_keys).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()],
         *[F.max_by(F.struct(v), F.struct(*order)).alias(f"_l_{o}") for o, v in lags.items()],
+        *[
+            F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_f_{o}")
+            for o, v in fills.items()
+        ],
     )
     before = Window.partitionBy(*keys).orderBy("_slice")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -68,6 +78,7 @@ def running(
         *slice_keys,
         *[F.sum(f"_t_{o}").over(earlier).alias(f"_c_{o}") for o in sums],
         *[F.lag(f"_l_{o}").over(before).alias(f"_c_{o}") for o in lags],
+        *[F.last(f"_f_{o}", ignorenulls=True).over(earlier).alias(f"_c_{o}") for o in fills],
     )
     joined = null_safe_join(local, carried, slice_keys)
     out = [F.col(c) for c in df.columns]
@@ -79,6 +90,7 @@ def running(
     for o, v in lags.items():
         carry = F.col(f"_c_{o}").getField(v)
         out.append(F.when(F.col("_pos") == 1, carry).otherwise(F.col(o)).alias(o))
+    out += [F.coalesce(F.col(o), F.col(f"_c_{o}")).alias(o) for o in fills]
     return joined.select(*out)
 
 

@@ -1,0 +1 @@
+"""Registered queries, each paired with the SQL that checks it."""

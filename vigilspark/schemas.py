@@ -12,9 +12,14 @@ JOB_STATUSES = ("pending", "running", "succeeded", "failed", "cancelled")
 RISK_RANGE = (0.0, 100.0)
 
 
+_KINDS = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+}
+
+
 def _table(**cols: str) -> T.StructType:
-    ddl = ", ".join(f"`{name}` {kind}" for name, kind in cols.items())
-    return T.StructType.fromDDL(ddl)
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in cols.items()])
 
 
 ANOMALIES = _table(

@@ -35,6 +35,7 @@ def local_session(cores: str = "8", app: str = "vigilspark", **conf: str) -> Spa
         .config("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )
