@@ -89,7 +89,8 @@ def sha256(payload: Column) -> Column:
 
 
 def b64(text: Column) -> Column:
-    return F.base64(text)
+    # Spark breaks the code into lines of 76 characters.
+    return F.translate(F.base64(text), "\r\n", "")
 
 
 def unb64(text: Column) -> Column:
