@@ -1,6 +1,6 @@
 """Importing this module fills the registry."""
 
-from . import analyst, preparation  # noqa: F401
+from . import analyst, detection, preparation  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

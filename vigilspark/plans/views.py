@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from .graphs import CHECKED, GRAPHS, sql_case
+
 VIEWS: dict[str, str] = {
     "anomalies": """
 SELECT event_id AS id, CAST(event_id % 3 AS INT) AS model_id, CAST(event_id % 12 AS INT) AS run_id,
@@ -145,6 +147,21 @@ SELECT event_id AS id, CASE WHEN event_type = 'error' THEN NULL ELSE value END A
 FROM {events}""",
 }
 
+# A small rule table, one rule per nation, that is evaluated over all anomalies.
+VIEWS["watch_rules"] = f"""
+SELECT n_nationkey AS id, n_name AS name,
+  CASE WHEN n_nationkey % 6 = 5 THEN 'single-fire' ELSE 'flow' END AS rule_type, n_regionkey <> 4 AS enabled,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'high' ELSE 'low' END AS severity,
+  CASE n_nationkey % 3 WHEN 0 THEN 'risk_score > 80' WHEN 1 THEN 'entity_type = ''device'' and risk_score >= 50'
+    ELSE 'acknowledged and anomaly_type in (''purchase'', ''error'') and risk_score > 95' END AS condition,
+  {sql_case('n_nationkey % 6', GRAPHS, 'n_nationkey % 3')} AS flow_graph
+FROM {{nation}}"""
+# A rule table that grows with the data, for the checks of whole rule tables.
+VIEWS["flow_rules"] = f"""
+SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN 'deviation' ELSE 'flow' END AS rule_type, p_size <= 40 AS enabled, p_size % 6 AS shape,
+  p_partkey % 3 AS model_no, {sql_case('p_size % 6', [text for text, _ in CHECKED], 'p_partkey % 3')} AS flow_graph
+FROM {{part}}"""
+
 _PLACE = re.compile(r"\{(\w+)\}")
 
 
