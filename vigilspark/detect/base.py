@@ -61,7 +61,9 @@ def apply_detector(
     names = schemas.DETECTIONS.names
 
     def shaped(pdf: pd.DataFrame) -> pd.DataFrame:
-        return detector(pdf).reindex(columns=names)
+        out = detector(pdf)
+        absent = {c: pd.NaT if c == "timestamp" else None for c in names if c not in out.columns}
+        return out.assign(**absent)[names]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

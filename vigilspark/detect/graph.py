@@ -129,14 +129,15 @@ def k_hop(edges: DataFrame, start: list[str] | DataFrame, k: int) -> DataFrame:
     else:
         frontier = edges.sparkSession.createDataFrame([(str(s),) for s in start], "node string").distinct()
     known = directed.select(F.col("src").alias("node"))
-    visited = frontier.join(known, "node", "left_semi").withColumn("hop", F.lit(0))
-    visited = written(visited, "visited")
+    fresh = written(frontier.join(known, "node", "left_semi").withColumn("hop", F.lit(0)), "hop")
+    visited = fresh
     edge_to = directed.select(F.col("src").alias("node"), "dst")
     for hop in range(1, k + 1):
-        at = visited.where(F.col("hop") == hop - 1).select("node")
-        reached = at.join(edge_to, "node").select(F.col("dst").alias("node")).distinct()
-        fresh = reached.join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        visited = written(visited.unionByName(fresh), "visited")
+        # The frontier holds each node once, so a hub's edges are the side AQE splits.
+        reached = edge_to.join(fresh.select("node"), "node").select(F.col("dst").alias("node")).distinct()
+        unseen = reached.join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        fresh = written(unseen, "hop")
+        visited = visited.unionByName(fresh)
     return visited
 
 

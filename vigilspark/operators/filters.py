@@ -12,7 +12,7 @@ from .scan import running
 
 # Above this many leading rows a page is found by numbering the rows in
 # parallel instead of merging the leading rows in one place.
-TOP_K_ROWS = 50_000
+TOP_K_ROWS = 2_000
 
 
 def moment(value: str | datetime | Column) -> Column:

@@ -7,10 +7,11 @@ that can shrink (open cases, recent alerts) is reduced to distinct keys first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import moment, span
+from .ranking import first_rows
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -78,15 +79,29 @@ def entities_with_open_case(
 def with_case_flags(
     df: DataFrame, cases: DataFrame, links: DataFrame, anomalies: DataFrame, flags: dict[str, str | None]
 ) -> DataFrame:
-    """Add one boolean per entry of ``flags``: column name -> severity, or None for any open case."""
-    for name, severity in flags.items():
-        hits = entities_with_open_case(cases, links, anomalies, severity)
-        df = (
-            df.join(hits.withColumn("_hit", F.lit(True)), "entity_id", "left")
-            .withColumn(name, F.coalesce("_hit", F.lit(False)))
-            .drop("_hit")
-        )
-    return df
+    """Add one boolean per entry of ``flags``: column name -> severity, or None for any open case.
+
+    All flags come from one table with a row per entity that has an open case.
+    """
+    severities = [s for s in flags.values() if s is not None]
+    relevant = F.col("status") != "closed"
+    if None not in flags.values():
+        relevant = relevant & F.col("severity").isin(*severities)
+    open_cases = cases.where(relevant).select(F.col("id").alias("case_id"), "severity")
+    per_anomaly = links.join(open_cases, "case_id").select(
+        F.col("anomaly_id").alias("id"), F.col("severity").alias("_s")
+    ).distinct()
+    named = anomalies.where(F.length("entity_id") > 0).select("id", "entity_id")
+    hits = named.join(per_anomaly, "id").groupBy("entity_id").agg(
+        *[
+            F.bool_or(F.lit(True) if s is None else F.col("_s") == s).alias(name)
+            for name, s in flags.items()
+        ]
+    )
+    joined = df.join(hits, "entity_id", "left")
+    return joined.select(
+        *df.columns, *[F.coalesce(name, F.lit(False)).alias(name) for name in flags]
+    )
 
 
 ALERT_KEYS = ["rule_id", "entity_id", "severity"]
@@ -173,8 +188,7 @@ def job_logs(
 ) -> DataFrame:
     """Log lines per job: its own, or those of its run when it has none; oldest first.
 
-    With a limit the oldest lines of each job are kept; Spark applies the rank
-    filter before the shuffle too, so a chatty job is cut on the map side.
+    With a limit the oldest lines of each job are kept.
     """
     shared = ["level", "message", "created_at"]
     own = own_logs.join(
@@ -191,8 +205,7 @@ def job_logs(
     )
     if limit is None:
         return logs
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy("created_at", "log_id"))
-    return logs.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+    return first_rows(logs, ["job_id"], ["created_at", "log_id"], limit)
 
 
 def entity_detail(

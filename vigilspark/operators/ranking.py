@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import running
@@ -16,6 +16,22 @@ def recent(anomalies: DataFrame, n: int = 10) -> DataFrame:
     return anomalies.orderBy(F.desc("timestamp"), "id").limit(n)
 
 
+def first_rows(
+    df: DataFrame, keys: list[str], order: list[str], n: int, salts: int = 32
+) -> DataFrame:
+    """The first ``n`` rows of each key.
+
+    A hot key is cut twice before one task sees it: Spark applies the rank
+    filter on the map side, and the salted pass leaves ``salts * n`` rows a key.
+    """
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    for extra in (["_salt"], []):
+        rank = F.row_number().over(Window.partitionBy(*keys, *extra).orderBy(*order))
+        ranked = df.withColumn("_salt", salt).withColumn("_rank", rank)
+        df = ranked.where(F.col("_rank") <= n).drop("_rank", "_salt")
+    return df
+
+
 def latest(
     df: DataFrame, key: str, ts: str, default: DataFrame | None = None, tie: str = "id"
 ) -> DataFrame:

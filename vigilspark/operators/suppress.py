@@ -86,15 +86,16 @@ def suppress(
 def _bucket_runs(points: DataFrame, keys: list[str]) -> DataFrame:
     """Non-empty buckets with the run they belong to; one row per key and bucket."""
     buckets = points.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    previous = running(buckets, keys, ["_b"], lags={"_before": "_b"})
-    begins = F.when(
-        F.col("_before").isNull() | (F.col("_before") != F.col("_b") - 1), F.col("_b")
+    # Within a run the bucket number and its position grow together, so their
+    # difference names the run.
+    placed = running(
+        buckets.withColumn("_one", F.lit(1).cast("long")), keys, ["_b"], sums={"_rank": "_one"}
+    ).withColumn("_run", F.col("_b") - F.col("_rank"))
+    sizes = placed.groupBy(*keys, "_run").agg(
+        F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_length"), F.min("_b").alias("_start")
     )
-    started = running(previous.withColumn("_begin", begins), keys, ["_b"], fills={"_start": "_begin"})
-    sizes = started.groupBy(*keys, "_start").agg(
-        F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_length")
-    )
-    return null_safe_join(started.select(*keys, "_b", "_start"), sizes, [*keys, "_start"], "inner")
+    members = placed.select(*keys, "_b", "_run")
+    return null_safe_join(members, sizes, [*keys, "_run"], "inner").drop("_run")
 
 
 def _folded(points: DataFrame, keys: list[str], width: int) -> DataFrame:

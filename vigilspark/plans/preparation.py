@@ -112,15 +112,11 @@ def _(t):
 
 @query("s08_read_hits", "SELECT event_id, value, event_type FROM events")
 def _(t):
-    # A response file holds the hits of one user, numbers as text.
     source = F.struct(
         F.col("event_id").cast("string").alias("event_id"), F.col("value").cast("string").alias("value"), "event_type"
     )
-    responses = (
-        t.events.groupBy("user_id", F.to_date("ts").alias("day"))
-        .agg(F.struct(F.collect_list(F.struct(source.alias("_source"))).alias("hits")).alias("hits"))
-        .select("hits")
-    )
+    hits = F.array(F.struct(source.alias("_source")))
+    responses = t.events.select(F.struct(hits.alias("hits")).alias("hits"))
     path = scratch_path(t.spark, "hits")
     responses.write.json(path)
     df = readers.read_hits(t.spark, path, lines=True)
@@ -178,17 +174,16 @@ def _(t):
 
 
 @query("s14_flatten_source_groups", """
-SELECT concat('group-', CAST(s_nationkey AS VARCHAR)) AS slug, s_name AS log_name, 'csv' AS type FROM supplier WHERE s_nationkey <> 3""")
+SELECT concat('group-', CAST(s_suppkey AS VARCHAR)) AS slug, s_name AS log_name, 'csv' AS type FROM supplier WHERE s_nationkey <> 3""")
 def _(t):
-    groups = t.supplier.groupBy("s_nationkey").agg(
-        F.collect_list(F.struct(F.col("s_name").alias("log_name"), F.lit("csv").alias("type"))).alias("data")
-    )
-    entry = F.struct(F.concat(F.lit("group-"), F.col("s_nationkey").cast("string")).alias("source_group_name"), "data")
+    slug = F.concat(F.lit("group-"), F.col("s_suppkey").cast("string"))
+    sources = F.array(F.struct(F.col("s_name").alias("log_name"), F.lit("csv").alias("type")))
+    group = F.struct(slug.alias("source_group_name"), sources.alias("data"))
     path = scratch_path(t.spark, "groups")
-    groups.select(F.array(entry).alias("source_groups")).write.option("maxRecordsPerFile", 1).json(path)
-    known = t.supplier.where("s_nationkey = 3").select(F.lit("group-3").alias("slug")).distinct()
-    lines = readers.flatten_source_groups(t.spark, path, known)
-    return lines.select("slug", "log_name", "type")
+    t.supplier.select(F.array(group).alias("source_groups")).write.json(path)
+    known = t.supplier.where("s_nationkey = 3").select(slug.alias("slug"))
+    found = readers.flatten_source_groups(t.spark, path, known, lines=True)
+    return found.select("slug", "log_name", "type")
 
 
 @query("p01_coerce_numeric", """

@@ -13,6 +13,7 @@ from ..operators.joins import ALERT_KEYS, not_recently_alerted, with_case_flags
 from ..operators.ranking import cap_alerts
 from ..operators.scan import null_safe_join
 from ..operators.suppress import suppress
+from ..session import written
 from .compile import RuleError, compile_rule, flag_name
 from .graph import parse_graph, relevant
 
@@ -150,7 +151,9 @@ def fire(
         )
         kept, created = best.select(*ALERT_KEYS, "_m.*"), moment(as_of)
     else:
-        named = fresh.withColumn("_key", F.concat_ws("|", F.col("anomaly_id").cast("string"), F.col("rule_order").cast("string"), F.col("alert_node").cast("string")))
+        parts = [F.col(c).cast("string") for c in ("anomaly_id", "rule_order", "alert_node")]
+        # Read several times below; the rules are evaluated once.
+        named = written(fresh.withColumn("_key", F.concat_ws("|", *parts)), "matches")
         kept = suppress(named, ALERT_KEYS, "event_time", interval, "event", "_key").drop("_key")
         created = F.col("event_time")
     risk = F.desc(F.coalesce("risk_score", F.lit(0.0)))

@@ -138,11 +138,13 @@ _SOURCE = (
 )
 
 
-def flatten_source_groups(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+def flatten_source_groups(
+    spark: SparkSession, path: str, known: DataFrame | None = None, lines: bool = False
+) -> DataFrame:
     """One row per configured source; groups whose ``slug`` is known are skipped."""
     layout = f"source_groups ARRAY<STRUCT<source_group_name: STRING, mode: STRING, data: ARRAY<STRUCT<{_SOURCE}>>>>"
     groups = (
-        spark.read.schema(layout).option("multiLine", "true").json(path)
+        spark.read.schema(layout).option("multiLine", str(not lines).lower()).json(path)
         .select(F.explode("source_groups").alias("g"))
         .where(F.col("g.source_group_name") != "")
         .select(F.col("g.source_group_name").alias("slug"), "g.mode", F.explode_outer("g.data").alias("s"))
