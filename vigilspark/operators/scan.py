@@ -9,7 +9,7 @@ joined back as the value carried into the slice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -29,6 +29,20 @@ def null_safe_join(
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _sort(order: list[str]) -> list[Column]:
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows in slices of similar size that follow the order ``keys + order``.
+
+    The slice number is stored with the rows, so all consumers agree on it even
+    if a lost task would sample other range bounds.
+    """
+    placed = df.repartitionByRange(*[F.col(k).asc() for k in keys], *_sort(order))
+    return written(placed.withColumn("_slice", F.spark_partition_id()), "ranges")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -46,13 +60,8 @@ def running(
     sums, lags, fills = sums or {}, lags or {}, fills or {}
     if (lags or fills) and any(c.startswith("-") for c in order):
         raise ValueError("previous values need an ascending order")
-    sort = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
-    # The slice number is stored, so both consumers below agree on it even if a
-    # lost task would sample other range bounds.
-    placed = written(
-        df.repartitionByRange(*[F.col(k).asc() for k in keys], *sort).withColumn("_slice", F.spark_partition_id()),
-        "ranges",
-    )
+    sort = _sort(order)
+    placed = ranged(df, keys, order)
     slice_keys = ["_slice", *keys]
     inside = Window.partitionBy(*slice_keys).orderBy(*sort)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -110,8 +119,8 @@ def percentiles(
     """Exact linearly interpolated percentiles, one output column per entry of ``qs``.
 
     Spark's exact ``percentile`` keeps all distinct values of a group in one
-    buffer. This reduces to distinct values first, ranks them with a distributed
-    running count and picks the two neighbours of each requested rank.
+    buffer. Here rows shrink to distinct values in range order; the slice sizes
+    tell which slices hold the requested ranks, and only those are scanned.
     """
     by = by or []
     counts = (
@@ -119,27 +128,43 @@ def percentiles(
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(counts, by, ["_v"], sums={"_upto": "_n"})
-    if by:
-        totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_total"))
-        base = null_safe_join(ranked, totals, by, "inner")
-    else:
-        base = ranked.withColumn("_total", ranked.agg(F.max("_upto").alias("m")).scalar())
-    aggs = []
+    placed = ranged(counts, by, ["_v"])
+    sizes = placed.groupBy("_slice", *by).agg(F.sum("_n").alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_size").over(Window.partitionBy(*by))
+    wanted = []
     for name, q in qs.items():
-        pos = F.lit(float(q)) * (F.col("_total") - 1)
-        aggs += [
-            F.min(F.when(F.col("_upto") > F.floor(pos), F.col("_v"))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("_upto") > F.ceil(pos), F.col("_v"))).alias(f"_hi_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"_w_{name}"),
-        ]
-    picked = base.groupBy(*by).agg(*aggs)
-    return picked.select(
-        *by,
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            wanted.append(
+                F.struct(
+                    F.lit(f"{name}.{side}").alias("_what"), rank.cast("long").alias("_rank"),
+                    (at - F.floor(at)).alias("_w"),
+                )
+            )
+    targets = (
+        sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .withColumn("_total", total)
+        .select("_slice", *by, "_before", "_size", F.inline(F.array(*wanted)))
+        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size")))
+        .drop("_size")
+    )
+    hit = null_safe_join(placed, targets, ["_slice", *by], "inner")
+    inside = Window.partitionBy("_slice", *by, "_what").orderBy("_v")
+    upto = F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    found = hit.withColumn("_upto", upto).where(
+        (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_n") <= F.col("_rank"))
+    )
+
+    def of(name: str, side: str, col: str) -> Column:
+        return F.max(F.when(F.col("_what") == f"{name}.{side}", F.col(col)))
+
+    return found.groupBy(*by).agg(
         *[
             (
-                F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
+                of(n, "lo", "_v")
+                + (of(n, "hi", "_v") - of(n, "lo", "_v")) * of(n, "lo", "_w")
             ).alias(n)
             for n in qs
-        ],
+        ]
     )

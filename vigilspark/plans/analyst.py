@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import ranking as W
 from ..operators import sets as U
 from ..operators.suppress import suppress
+from ..session import scratch_path
 from .base import AS_OF, NOON, Tables, query
 
 R6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -287,6 +288,17 @@ def _(t):
     return J.feedback_of(t.anomalies, t.user_feedback, 77)
 
 
+@query("j12_audit_hashes")
+def _(t):
+    path = scratch_path(t.spark, "audited")
+    t.documents.write.parquet(path)
+    files = J.hash_files(t.spark, path, "*.parquet")
+    manifest = files.select("file", F.col("actual_hash").alias("expected_hash")).unionByName(
+        t.region.select("r_name", F.lit("0").alias("expected_hash")).withColumnRenamed("r_name", "file")
+    )
+    return J.audit_hashes(files, manifest)
+
+
 # ------------------------------------------------------------------ rollups and counters
 
 

@@ -117,7 +117,18 @@ def _(t):
     return R.fire(_matches(t), t.alerts, NOON, interval="48 hours").drop("alert_context")
 
 
-@query("r10_fire_event_time")
+EVENT_KEPT = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT * FROM {MATCHES} k WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.rule_id = k.rule_id
+   AND a.entity_id = k.entity_id AND a.severity = k.severity AND a.created_at > TIMESTAMP '{NOON}' - INTERVAL '1' HOUR)),
+ kept AS (SELECT rule_id, entity_id, severity, min(event_time) AS event_time FROM m GROUP BY 1, 2, 3
+  UNION ALL SELECT k.rule_id, k.entity_id, k.severity, min(m.event_time) FROM kept k JOIN m ON m.rule_id = k.rule_id AND m.entity_id = k.entity_id
+   AND m.severity = k.severity AND m.event_time >= k.event_time + INTERVAL '1' HOUR GROUP BY 1, 2, 3)
+SELECT sha256(concat_ws('|', CAST(m.rule_id AS VARCHAR), CAST(m.anomaly_id AS VARCHAR), CAST(m.alert_node AS VARCHAR))) AS id, m.rule_id, m.severity,
+ m.message, m.entity_id, m.entity_type, false AS acknowledged, m.event_time AS created_at
+FROM m JOIN kept k ON m.rule_id = k.rule_id AND m.entity_id = k.entity_id AND m.severity = k.severity AND m.event_time = k.event_time
+ORDER BY m.rule_order, {RISK} DESC, m.anomaly_id, m.alert_node LIMIT 500"""
+
+
+@query("r10_fire_event_time", EVENT_KEPT)
 def _(t):
     return R.fire(_matches(t), t.alerts, NOON, mode="event").drop("alert_context")
 
