@@ -73,7 +73,10 @@ def sweep(
         T.StructField("values", T.MapType(T.StringType(), T.DoubleType())),
     ])
     rows = [
-        (i, experiment_id, {k: str(v) for k, v in config.items()}, evaluate(config))
+        (
+            i, experiment_id, {k: str(v) for k, v in config.items()},
+            {name: float(v) for name, v in evaluate(config).items()},
+        )
         for i, config in enumerate(configs)
     ]
     runs = spark.createDataFrame(rows, layout)

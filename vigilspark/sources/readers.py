@@ -162,12 +162,12 @@ def flatten_model_groups(
         "STRUCT<model_name: STRING, description: STRING, enabled: BOOLEAN, runtime: STRING, "
         f"components: ARRAY<{component}>>"
     )
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = (
         text.select(F.explode(F.from_json("value", f"MAP<STRING, STRUCT<models: ARRAY<{model}>>>")).alias("grp", "m"))
         .select("grp", F.explode("m.models").alias("m"))
-        .dropDuplicates(["m"])
         .select(F.col("m.model_name").alias("name"), F.col("grp").alias("model_group"), "m")
+        .dropDuplicates(["name"])
     )
     if known is not None:
         rows = rows.join(known.select("name"), "name", "left_anti")
