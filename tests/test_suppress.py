@@ -37,7 +37,7 @@ def candidates(spark):
     })
 
 
-@pytest.mark.parametrize("fold_rows", [50_000, 40, 0])
+@pytest.mark.parametrize("fold_rows", [50_000, 40, 12, 0])
 @pytest.mark.parametrize("interval,width", [("1 hour", timedelta(hours=1)), ("7 minutes", timedelta(minutes=7))])
 def test_greedy(spark, candidates, fold_rows, interval, width):
     df = spark.createDataFrame(candidates).repartition(5)

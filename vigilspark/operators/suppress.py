@@ -7,16 +7,21 @@ not all of it matters:
 * at most one alert is kept per interval-wide bucket, and
 * after an empty bucket the past is forgotten.
 
-So each run of adjacent non-empty buckets is scanned on its own. A run that is
-short (the usual case) is folded inside one aggregate. A run that is too long
-for one task is solved with jump tables: the state on entering a bucket is an
-offset, one step maps it to the next bucket, and tables of 2, 4, 8, ... steps
-are built by joins on unique keys and then followed from the start of the run.
+So each run of adjacent non-empty buckets stands on its own, and all it needs to
+know on entering a bucket is an offset: how far into the bucket the last kept
+alert still reaches. Runs are cut into blocks of bounded size. A run of one
+block (the usual case) is folded inside one aggregate. For a longer run each
+block first maps every offset it may be entered with to the offset it is left
+with; the maps are chained by joins of doubling reach, which yields the true
+entry offset of every block, and then each block is folded from there. A single
+bucket too large for one task is answered by a distributed ordered scan instead.
 Nothing is dropped and no key is ever gathered in one place.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,47 +68,67 @@ def suppress(
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     # Only one row per instant can be kept, and only its id is needed.
     points = candidates.groupBy(*keys, micros.alias("_t")).agg(F.min(tie).alias("_id"))
-    points = written(
-        points.withColumn("_b", F.floor(F.col("_t") / width).cast("long"))
-        .withColumn("_o", F.col("_t") - F.col("_b") * width),
-        "points",
-    )
-    runs = written(_bucket_runs(points, keys), "runs")
-    facts = runs.agg(
-        F.count_if(F.col("_size") > fold_rows).alias("long_runs"),
-        F.max(F.when(F.col("_size") > fold_rows, F.col("_length"))).alias("longest"),
-    ).first()
-    tagged = null_safe_join(points, runs, [*keys, "_b"], "inner")
-    kept = _folded(tagged.where(F.col("_size") <= fold_rows), keys, width)
-    if facts["long_runs"]:
-        long = tagged.where(F.col("_size") > fold_rows)
-        kept = kept.unionByName(_jumped(long, keys, facts["longest"]))
+    points = written(points.withColumn("_b", F.floor(F.col("_t") / width).cast("long")), "points")
+    members, blocks = _blocks(points, keys, fold_rows)
+    tagged = null_safe_join(points, members, [*keys, "_b"], "inner")
+    kept = _folded(tagged.where(~F.col("_long")), [*keys, "_run"], width)
+    longest = blocks.where("_long").agg(F.max("_of").alias("n")).first()["n"]
+    if longest:
+        long = tagged.where("_long").withColumn("_o", F.col("_t") - F.col("_b") * width)
+        kept = kept.unionByName(_chained(long, blocks.where("_long"), keys, width, longest, fold_rows))
     return candidates.join(kept.select(F.col("_id").alias(tie)), tie, "left_semi").select(
         *candidates.columns
     )
 
 
-def _bucket_runs(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Non-empty buckets with the run they belong to; one row per key and bucket."""
+def _blocks(points: DataFrame, keys: list[str], fold_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(buckets with run and block, blocks with their place in the run).
+
+    A block holds buckets of one run, fewer than ``fold_rows`` instants before
+    its last bucket; a bucket with more than that is a block of its own.
+    """
     buckets = points.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # Within a run the bucket number and its position grow together, so their
-    # difference names the run.
+    dense = (F.col("_n") > fold_rows).cast("long")
     placed = running(
-        buckets.withColumn("_one", F.lit(1).cast("long")), keys, ["_b"], sums={"_rank": "_one"}
-    ).withColumn("_run", F.col("_b") - F.col("_rank"))
-    sizes = placed.groupBy(*keys, "_run").agg(
-        F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_length"), F.min("_b").alias("_start")
+        buckets.withColumn("_one", F.lit(1).cast("long")).withColumn("_dense", dense),
+        keys, ["_b"], sums={"_rank": "_one", "_upto": "_n", "_denses": "_dense"},
+    ).select(
+        *keys, "_b", "_n", "_dense",
+        # Inside a run the bucket number and its position grow together.
+        (F.col("_b") - F.col("_rank")).alias("_run"),
+        F.floor((F.col("_upto") - F.col("_n")) / max(fold_rows, 1)).alias("_q"),
+        (2 * F.col("_denses") - F.col("_dense")).alias("_d"),
+    )
+    placed = written(placed, "buckets")
+    label = [*keys, "_run", "_q", "_d"]
+    blocks = placed.groupBy(*label).agg(
+        F.min("_b").alias("_first"), F.max("_b").alias("_last"), F.max("_dense").alias("_dense"),
+        F.max_by("_n", "_b").alias("_leaves"),
     )
-    members = placed.select(*keys, "_b", "_run")
-    return null_safe_join(members, sizes, [*keys, "_run"], "inner").drop("_run")
+    counts = blocks.groupBy(*keys, "_run").agg(
+        F.count(F.lit(1)).alias("_of"), F.max("_dense").alias("_any")
+    )
+    blocks = null_safe_join(blocks, counts, [*keys, "_run"], "inner").withColumn(
+        "_long", (F.col("_of") > 1) | (F.col("_any") > 0)
+    ).drop("_any")
+    ordered = running(
+        blocks.withColumn("_one", F.lit(1).cast("long")), [*keys, "_run"], ["_first"], sums={"_j": "_one"}
+    ).withColumn("_j", F.col("_j") - 1).drop("_one")
+    ordered = written(ordered, "blocks")
+    members = null_safe_join(
+        placed.select(*label, "_b"), ordered.select(*label, "_j", "_first", "_last", "_dense", "_of", "_long"),
+        label, "inner",
+    ).drop("_q", "_d")
+    return members, ordered
 
 
-def _folded(points: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Greedy scan of runs that hold at most ``fold_rows`` instants each."""
+def _folded(points: DataFrame, group: list[str], width: int, after: str | None = None) -> DataFrame:
+    """Greedy scan of groups of bounded size; ``after`` is the earliest time that may be kept."""
     ordered = F.sort_array(F.collect_list(F.struct("_t", "_id")))
     row_type = "struct<_t: bigint, _id: " + points.schema["_id"].dataType.simpleString() + ">"
+    begin = F.max(after) - width if after else F.lit(None).cast("long")
     start = F.struct(
-        F.lit(None).cast("long").alias("last"), F.expr(f"CAST(array() AS array<{row_type}>)").alias("kept")
+        begin.alias("last"), F.expr(f"CAST(array() AS array<{row_type}>)").alias("kept")
     )
 
     def step(acc, x):
@@ -114,58 +139,126 @@ def _folded(points: DataFrame, keys: list[str], width: int) -> DataFrame:
         ).otherwise(acc)
 
     return (
-        points.groupBy(*keys, "_start")
+        points.groupBy(*group)
         .agg(F.aggregate(ordered, start, step, lambda acc: acc["kept"]).alias("_kept"))
         .select(F.explode("_kept._id").alias("_id"))
     )
 
 
-def _jumped(points: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Greedy scan of long runs by jump tables."""
-    run = [*keys, "_start"]
-    points = points.select(*run, (F.col("_b") - F.col("_start")).alias("_i"), "_o", "_id", "_length")
-    # States on entering bucket i: zero, or the offset kept in bucket i - 1.
-    carried = points.where(F.col("_i") + 1 < F.col("_length")).select(
-        *run, (F.col("_i") + 1).alias("_i"), F.col("_o").alias("_x")
+def walk(times: np.ndarray, entries: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
+    """Offsets a block is left with, for the offsets it may be entered with."""
+    times = np.sort(times)
+    bucket = times // width
+    offset = entries.copy()
+    for b in range(first, last + 1):
+        inside = times[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, side="right")] - b * width
+        at = np.searchsorted(inside, offset)
+        found = at < len(inside)
+        offset = np.where(found, inside[np.minimum(at, len(inside) - 1)], 0)
+    return offset
+
+
+def _maps(points: DataFrame, entries: DataFrame, blocks: DataFrame, keys: list[str], width: int, fold_rows: int) -> DataFrame:
+    """(run, block, entry offset, exit offset) of the blocks that fit in a task.
+
+    The block before may leave very many offsets; they are dealt out in chunks,
+    each with a copy of the block's instants.
+    """
+    run = [*keys, "_run", "_j"]
+    before = blocks.select(*keys, "_run", (F.col("_j") + 1).alias("_j"), "_leaves")
+    chunks = null_safe_join(
+        blocks.where("_dense = 0").select(*run, "_first", "_last"), before, run
+    ).select(
+        *run, "_first", "_last",
+        F.ceil((F.coalesce("_leaves", F.lit(0)) + 1) / max(fold_rows, 1000)).cast("int").alias("_chunks"),
+    )
+    asked = null_safe_join(entries, chunks, run, "inner").select(
+        *run, "_first", "_last", F.pmod(F.xxhash64("_x"), F.col("_chunks")).cast("int").alias("_chunk"),
+        F.col("_x").alias("_value"), F.lit(True).alias("_ask"),
     )
-    fresh = points.select(*run, "_i", F.lit(0).cast("long").alias("_x"))
-    states = carried.unionByName(fresh).distinct()
-    # The state's answer is the first instant at or after the offset: scan
-    # downwards and remember the last instant seen.
+    held = null_safe_join(points.select(*run, "_t"), chunks, run, "inner").select(
+        *run, "_first", "_last", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"),
+        F.col("_t").alias("_value"), F.lit(False).alias("_ask"),
+    )
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["_ask"].to_numpy()
+        value = pdf["_value"].to_numpy()
+        entry = value[ask]
+        out = pdf.loc[ask, run].copy()
+        out["_x"] = entry
+        out["_next"] = walk(
+            value[~ask], entry, int(pdf["_first"].iloc[0]), int(pdf["_last"].iloc[0]), width
+        )
+        return out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*run).schema)
+    return asked.unionByName(held).groupBy(*run, "_chunk").applyInPandas(
+        solve, f"{kinds}, _x bigint, _next bigint"
+    )
+
+
+def _answers(points: DataFrame, entries: DataFrame, run: list[str]) -> DataFrame:
+    """Like ``_maps`` for single oversized buckets, with the id that is kept.
+
+    The answer to an offset is the first instant at or after it: scan downwards
+    and remember the last instant seen.
+    """
+    zero = F.lit(0).cast("long")
     null_id = F.lit(None).cast(points.schema["_id"].dataType)
     mixed = points.select(
-        *run, "_i", (-F.col("_o")).alias("_down"), F.lit(0).alias("_ask"),
+        *run, (-F.col("_o")).alias("_down"), F.lit(0).alias("_ask"),
         F.struct(F.col("_o").alias("o"), F.col("_id").alias("id")).alias("_point"),
     ).unionByName(
-        states.select(
-            *run, "_i", (-F.col("_x")).alias("_down"), F.lit(1).alias("_ask"),
-            F.when(F.lit(False), F.struct(F.lit(0).cast("long").alias("o"), null_id.alias("id"))).alias("_point"),
+        entries.select(
+            *run, (-F.col("_x")).alias("_down"), F.lit(1).alias("_ask"),
+            F.when(F.lit(False), F.struct(zero.alias("o"), null_id.alias("id"))).alias("_point"),
         )
     )
-    answered = running(mixed, [*run, "_i"], ["_down", "_ask"], fills={"_hit": "_point"})
-    step = written(
-        answered.where(F.col("_ask") == 1).select(
-            *run, "_i", (-F.col("_down")).alias("_x"),
-            F.coalesce(F.col("_hit.o"), F.lit(0).cast("long")).alias("_next"),
-            F.col("_hit.id").alias("_id"),
-        ),
-        "jump",
+    scanned = running(mixed, run, ["_down", "_ask"], fills={"_hit": "_point"})
+    return scanned.where(F.col("_ask") == 1).select(
+        *run, (-F.col("_down")).alias("_x"), F.coalesce(F.col("_hit.o"), zero).alias("_next"),
+        F.col("_hit.id").alias("_id"),
     )
-    tables = [step.drop("_id")]
-    reach = 1
+
+
+def _chained(
+    points: DataFrame, blocks: DataFrame, keys: list[str], width: int, longest: int, fold_rows: int
+) -> DataFrame:
+    """Greedy scan of runs that span several blocks."""
+    run = [*keys, "_run", "_j"]
+    zero = F.lit(0).cast("long")
+    carried = points.where((F.col("_b") == F.col("_last")) & (F.col("_j") + 1 < F.col("_of"))).select(
+        *keys, "_run", (F.col("_j") + 1).alias("_j"), F.col("_o").alias("_x")
+    )
+    fresh = blocks.select(*run, zero.alias("_x"))
+    entries = written(carried.unionByName(fresh).distinct(), "entries")
+    oversized = blocks.where("_dense > 0").select(*run)
+    answers = written(
+        _answers(points.where("_dense > 0"), null_safe_join(entries, oversized, run, "inner"), run), "answers"
+    )
+    maps = _maps(points.where("_dense = 0"), entries, blocks, keys, width, fold_rows)
+    step = written(maps.unionByName(answers.drop("_id")), "jump")
+    tables, reach = [step], 1
     while reach < longest:
         last = tables[-1]
-        head = last.where(F.col("_i") % (2 * reach) == 0)
-        tail = last.select(*run, (F.col("_i") - reach).alias("_i"), F.col("_x").alias("_next"), F.col("_next").alias("_after"))
-        joined = null_safe_join(head, tail, [*run, "_i", "_next"], "inner")
-        tables.append(written(joined.select(*run, "_i", "_x", F.col("_after").alias("_next")), "jump"))
+        head = last.where(F.col("_j") % (2 * reach) == 0)
+        tail = last.select(
+            *keys, "_run", (F.col("_j") - reach).alias("_j"), F.col("_x").alias("_next"), F.col("_next").alias("_after")
+        )
+        joined = null_safe_join(head, tail, [*run, "_next"], "inner")
+        tables.append(written(joined.select(*run, "_x", F.col("_after").alias("_next")), "jump"))
         reach *= 2
-    visited = step.where((F.col("_i") == 0) & (F.col("_x") == 0)).select(*run, "_i", "_x")
+    visited = step.where((F.col("_j") == 0) & (F.col("_x") == 0)).select(*run, "_x")
     for table in reversed(tables):
-        landed = null_safe_join(visited, table, [*run, "_i", "_x"], "inner").select(
-            *run, (F.col("_i") + reach).alias("_i"), F.col("_next").alias("_x")
+        landed = null_safe_join(visited, table, [*run, "_x"], "inner").select(
+            *keys, "_run", (F.col("_j") + reach).alias("_j"), F.col("_next").alias("_x")
         )
         visited = written(visited.unionByName(landed), "visited")
         reach //= 2
-    hits = null_safe_join(visited, step, [*run, "_i", "_x"], "inner")
-    return hits.where(F.col("_id").isNotNull()).select("_id")
+    # Every block now has its one true entry offset.
+    inside = null_safe_join(points.where("_dense = 0"), visited, run, "inner")
+    after = F.col("_first") * width + F.col("_x")
+    folded = _folded(inside.withColumn("_after", after), run, width, "_after")
+    exact = null_safe_join(visited, answers, [*run, "_x"], "inner").where(F.col("_id").isNotNull())
+    return folded.unionByName(exact.select("_id"))

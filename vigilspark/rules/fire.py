@@ -38,20 +38,6 @@ def collect_rules(rules: DataFrame, model_id=None) -> list[tuple]:
     return [(rule, graph) for rule, graph in parsed if graph is not None and graph.alerts]
 
 
-def _fired(order: int, rule_id, node_order: int, alert) -> Column:
-    return F.when(
-        alert.fires,
-        F.struct(
-            F.lit(rule_id).alias("rule_id"),
-            F.lit(order).alias("rule_order"),
-            F.lit(node_order).alias("alert_node"),
-            F.lit(alert.severity).alias("severity"),
-            F.lit(alert.message).alias("message"),
-            F.lit(alert.action).alias("action"),
-        ),
-    )
-
-
 def required_flags(rules: list[tuple], columns: list[str]) -> dict[str, str | None]:
     """Case-flag columns the rules refer to: name -> severity or None."""
     wanted: set[str | None] = set()
@@ -63,15 +49,24 @@ def required_flags(rules: list[tuple], columns: list[str]) -> dict[str, str | No
 def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
     """One row per anomaly and alert node that fires. Stateless, so it also runs on a stream.
 
-    ``anomalies`` carries the case flags the rules need.
+    ``anomalies`` carries the case flags the rules need. Anomalies on which
+    nothing fires are filtered first; the rest are exploded to the numbers of
+    the alerts that fire, and the alert texts are looked up by number.
     """
     columns = anomalies.columns
-    fired = []
+    fired, texts = [], []
     for order, (rule_id, graph) in enumerate(rules):
         alerts, _ = compile_rule(graph, columns)
-        fired += [_fired(order, rule_id, i, a) for i, a in enumerate(alerts)]
+        for i, a in enumerate(alerts):
+            fired.append(a.fires)
+            texts.append((rule_id, order, i, a.severity, a.message, a.action))
     if not fired:
         raise RuleError("no rule with an alert node")
+    fields = ("rule_id", "rule_order", "alert_node", "severity", "message", "action")
+    looked_up = [
+        F.element_at(F.array(*[F.lit(t[n]) for t in texts]), F.col("_code") + 1).alias(name)
+        for n, name in enumerate(fields)
+    ]
 
     def given(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in columns else F.lit(default)
@@ -81,9 +76,10 @@ def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
     kind = F.col("anomaly_type") if "anomaly_type" in columns else F.lit(None).cast("string")
     passes = []
     for start in range(0, len(fired), ALERTS_PER_PASS):
-        hits = F.filter(F.array(*fired[start : start + ALERTS_PER_PASS]), lambda a: a.isNotNull())
+        chosen = fired[start : start + ALERTS_PER_PASS]
+        codes = F.array(*[F.when(c, F.lit(start + i)) for i, c in enumerate(chosen)])
         passes.append(
-            anomalies.select(
+            anomalies.where(reduce(lambda a, b: a | b, chosen)).select(
                 F.col("id").alias("anomaly_id"),
                 given("entity_id", "unknown").alias("entity_id"),
                 given("entity_type", "user").alias("entity_type"),
@@ -92,8 +88,8 @@ def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
                 model.alias("model_id"),
                 details.alias("details"),
                 F.col("timestamp").alias("event_time"),
-                F.explode(hits).alias("_a"),
-            ).select("*", "_a.*").drop("_a")
+                F.explode(codes).alias("_code"),
+            ).where(F.col("_code").isNotNull()).select("*", *looked_up).drop("_code")
         )
     return reduce(DataFrame.unionByName, passes)
 
