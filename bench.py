@@ -11,7 +11,7 @@ import os
 import statistics
 import time
 
-from vigilspark.plans.catalog import QUERIES
+from vigilspark.plans.catalog import ORACLES, QUERIES
 from vigilspark.session import local_session
 
 HEADLINE = [
@@ -39,6 +39,24 @@ def run_once(spark, name: str, sf_dir: str) -> float:
     return time.perf_counter() - start
 
 
+def duckdb_seconds(names: list[str], sf_dir: str) -> dict[str, float]:
+    """The same questions in SQL on one machine, for orientation."""
+    import duckdb
+
+    con = duckdb.connect()
+    for file in os.listdir(sf_dir):
+        table = file.removesuffix(".parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{file}')")
+    seconds = {}
+    for name in names:
+        if name in ORACLES:
+            con.execute(ORACLES[name]).fetchall()
+            start = time.perf_counter()
+            con.execute(ORACLES[name]).fetchall()
+            seconds[name] = round(time.perf_counter() - start, 3)
+    return seconds
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
@@ -48,6 +66,7 @@ def main() -> None:
     for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):
         run_once(spark, name, sf_dir)
         seconds[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 3)
+    compared = duckdb_seconds(list(seconds), sf_dir) if os.environ.get("BENCH_COMPARE") else {}
     print(json.dumps({
         "metric": "headline_total_seconds",
         "value": round(sum(seconds.values()), 3),
@@ -55,6 +74,7 @@ def main() -> None:
         "queries": seconds,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
         "cores": cpus,
+        "duckdb": compared,
         "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }))
     spark.stop()

@@ -21,9 +21,10 @@ def test_hits_multi_line(spark, tmp_path):
 
 def test_tolerant_reads_latin1_and_drops_broken_lines(spark, tmp_path):
     path = tmp_path / "x.log"
-    path.write_bytes("a\t1\ncaf\xe9\t2\nbad\nlong\t3\t4\nc\tnot\n".encode("latin-1"))
+    text = "a\t1\ncaf\xe9\t2\nbad\nlong\t3\t4\nc\tnot\n".encode("latin-1") + "\u00fcber\t5\n".encode()
+    path.write_bytes(text)
     out = readers.read_log(spark, str(path), "ssh", tolerant=True, schema="w string, n int").collect()
-    assert {(r["w"], r["n"]) for r in out} == {("a", 1), ("caf\xe9", 2)}
+    assert {(r["w"], r["n"]) for r in out} == {("a", 1), ("caf\xe9", 2), ("\u00fcber", 5)}
     with pytest.raises(ValueError):
         readers.read_log(spark, str(path), "ssh", tolerant=True)
 

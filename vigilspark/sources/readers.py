@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +29,10 @@ def suffix(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def _is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line decodes; the scan stops at the first that does not."""
-    return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
+def _decoded(name: str) -> Column:
+    """Text read as Latin-1, decoded as UTF-8 where its bytes are valid UTF-8."""
+    text = F.encode(F.col(name), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.col(name)).alias(name)
 
 
 def read_log(
@@ -41,8 +42,9 @@ def read_log(
     """A log file or folder laid out as its type demands.
 
     Without a schema Spark infers types, which reads the text twice; pass one for
-    large logs. ``tolerant`` drops malformed lines and reads text that is not
-    UTF-8 as Latin-1; it needs the schema to tell what is malformed.
+    large logs. ``tolerant`` drops malformed lines, which needs the schema to
+    tell what is malformed, and keeps values that are not UTF-8 as Latin-1; both
+    happen in the one pass over the text.
     """
     ending = suffix(path)
     if ending in ("parquet", "json"):
@@ -54,15 +56,19 @@ def read_log(
     if tolerant:
         if schema is None:
             raise ValueError("a tolerant read needs a schema")
-        if options["encoding"] == "UTF-8" and not _is_utf8(spark, path):
-            options["encoding"] = "ISO-8859-1"
+        mixed = options["encoding"] == "UTF-8"
+        options["encoding"] = "ISO-8859-1"
         # Without pruning a line is judged on all its columns, whatever is selected.
         options |= {"mode": "DROPMALFORMED", "columnPruning": "false"}
     if not ending:
         reader = reader.option("pathGlobFilter", "*.{csv,log}")
     reader = reader.options(**options)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-    return reader.csv(path)
+    df = reader.csv(path)
+    if tolerant and mixed:
+        texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+        df = df.select(*[_decoded(c) if c in texts else F.col(c) for c in df.columns])
+    return df
 
 
 def read_data(spark: SparkSession, path: str, format: str, **options) -> DataFrame:
