@@ -194,6 +194,16 @@ def test_deviation_without_spread(spark):
     assert [(r["e"], r["v"]) for r in out] == [("b", 50.0)]
 
 
+def test_rows_are_dropped_before_the_flags_are_joined(anomalies):
+    rule = lambda text: [(0, parse_graph(text))]
+    kept = lambda text, flags: {
+        r["id"] for r in anomalies.where(R.could_fire(rule(text), anomalies.columns, flags)).collect()
+    }
+    assert kept(graphs.OPEN_CASE_RISK, [None]) == {1, 2}
+    assert kept(graphs.NO_HIGH_CASE, ["high"]) == {1, 2, 3, 4}
+    assert kept(graphs.OPEN_CASE_RISK, [None, *"abcdefghij"]) == {1, 2, 3, 4}
+
+
 def test_many_rules_run_in_passes(anomalies, monkeypatch):
     monkeypatch.setattr(R, "ALERTS_PER_PASS", 2)
     graph = parse_graph(graphs.graph([RISK, ("out", "alert", {})], [("m", "out")]))

@@ -93,6 +93,22 @@ def test_model_groups(spark, tmp_path):
     assert readers.flatten_source_groups(spark, str(tmp_path / "scheme.json")).count() == 1
 
 
+def test_release_deletes_scratch_tables(spark, monkeypatch):
+    from vigilspark import session
+
+    monkeypatch.setattr(session, "_made", [])
+    df = session.written(spark.range(3), "gone")
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) and session.release(spark) == 1 and not os.path.exists(path)
+
+
+def test_partitioned_sink_leaves_few_files(spark, tmp_path):
+    df = spark.range(0, 1000, numPartitions=20).withColumn("day", F.col("id") % 5)
+    path = sinks.write_data(df, str(tmp_path / "p"), partition_by=["day"])
+    assert len(spark.read.parquet(path).inputFiles()) < 20
+    assert spark.read.parquet(path).count() == 1000
+
+
 def test_export_counts_and_nulls(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id int, x double")
     counts = sinks.export_documents(df, str(tmp_path / "d")).first()

@@ -158,8 +158,10 @@ class IsolationForest(Detector):
     def fit(self, df: DataFrame, params: dict | None = None) -> Artifact:
         for name, value in (params or {}).items():
             setattr(self, name, value)
-        artifact = self.grow_forest(df)
-        scored = written(self.sample_scores(df, artifact).select("sample_score"), "scores")
+        # Read three times below: the count, the sample, the scores.
+        rows = written(self._features(df).select(self.key, "features"), "features")
+        artifact = self.grow_forest(rows)
+        scored = self.sample_scores(rows, artifact).select("sample_score")
         offset = percentiles(scored, "sample_score", {"offset": self.contamination}).first()
         artifact.params["offset"] = offset["offset"]
         return artifact

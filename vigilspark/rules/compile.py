@@ -56,6 +56,7 @@ class Compiler:
 
     graph: Graph
     columns: list[str]
+    assumed: dict[str | None, bool] | None = None
     flags: set[str | None] = field(default_factory=set)
     done: dict[str, Value] = field(default_factory=dict)
 
@@ -103,6 +104,8 @@ class Compiler:
             return Value("bool", F.lit(False))
         severity = None if event == "created" else data.get("caseSeverity", "high")
         self.flags.add(severity)
+        if self.assumed is not None:
+            return Value("bool", F.lit(self.assumed[severity]))
         return Value("bool", F.coalesce(F.col(flag_name(severity)), F.lit(False)))
 
     def _comparison(self, data: dict, inputs: list[Value]) -> Value:
@@ -138,11 +141,16 @@ class Compiler:
         return self._or(data, inputs)
 
 
-def compile_rule(graph: Graph, columns: list[str]) -> tuple[list[Alert], set[str | None]]:
-    """The alerts of a graph and the case flags they need."""
+def compile_rule(
+    graph: Graph, columns: list[str], assumed: dict[str | None, bool] | None = None
+) -> tuple[list[Alert], set[str | None]]:
+    """The alerts of a graph and the case flags they need.
+
+    ``assumed`` puts fixed values in place of the flags.
+    """
     if ("error", "graph has a cycle") in issues(graph):
         raise RuleError("graph has a cycle")
-    compiler = Compiler(graph, columns)
+    compiler = Compiler(graph, columns, assumed)
     alerts = [
         Alert(
             node,

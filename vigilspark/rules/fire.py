@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,23 @@ def required_flags(rules: list[tuple], columns: list[str]) -> dict[str, str | No
     return {flag_name(s): s for s in sorted(wanted, key=str)}
 
 
+def could_fire(rules: list[tuple], columns: list[str], severities: list[str | None]) -> Column:
+    """True unless no alert can fire, whatever the case flags turn out to be.
+
+    Lets the scan drop rows before the flags are joined. Every combination of
+    flag values is tried; when that is too many terms nothing is dropped early.
+    """
+    terms = sum(len(graph.alerts) for _, graph in rules) * 2 ** len(severities)
+    if terms > 4 * ALERTS_PER_PASS:
+        return F.lit(True)
+    chances = []
+    for values in product((False, True), repeat=len(severities)):
+        assumed = dict(zip(severities, values))
+        for _, graph in rules:
+            chances += [a.fires for a in compile_rule(graph, columns, assumed)[0]]
+    return reduce(lambda a, b: a | b, chances)
+
+
 def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
     """One row per anomaly and alert node that fires. Stateless, so it also runs on a stream.
 
@@ -106,6 +124,7 @@ def evaluate(
         if cases is None or links is None:
             raise RuleError("a case node needs the case tables")
         known = known_anomalies if known_anomalies is not None else anomalies
+        anomalies = anomalies.where(could_fire(compiled, anomalies.columns, list(flags.values())))
         anomalies = with_case_flags(anomalies, cases, links, known, flags)
     return match(anomalies, compiled)
 

@@ -22,7 +22,10 @@ def write_data(
         options = {"header": "true", **options}
     writer = df.write.mode(mode).options(**options)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        # Rows of a folder are gathered first (large folders over several tasks),
+        # or every task would leave a file in every folder.
+        gathered = df.hint("rebalance", *partition_by)
+        writer = gathered.write.mode(mode).options(**options).partitionBy(*partition_by)
     writer.format(format).save(path)
     return path
 
@@ -62,5 +65,7 @@ def append_anomalies(
 ) -> DataFrame:
     """Append detector output to the anomaly table, laid out by day."""
     rows = to_anomalies(df, model_id, run_id, ts, ordinal)
-    rows.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+    write_data(
+        rows.withColumn("day", F.to_date("timestamp")), path, "parquet", "append", ["day"]
+    )
     return rows

@@ -16,7 +16,7 @@ from ..operators.filters import span
 from ..operators.joins import ALERT_KEYS, with_case_flags
 from ..operators.scan import null_safe_join
 from ..operators.suppress import suppress
-from ..rules.fire import match, required_flags
+from ..rules.fire import could_fire, match, required_flags
 from ..session import written
 from ..sources.readers import FORMATS, log_options
 
@@ -139,6 +139,7 @@ def evaluate_stream(
     """
     flags = required_flags(rules, stream.columns)
     if flags:
+        stream = stream.where(could_fire(rules, stream.columns, list(flags.values())))
         stream = with_case_flags(stream, cases, links, known_anomalies, flags)
     return match(stream, rules)
 
