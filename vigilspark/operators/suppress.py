@@ -7,15 +7,16 @@ not all of it matters:
 * at most one alert is kept per interval-wide bucket, and
 * after an empty bucket the past is forgotten.
 
-So each run of adjacent non-empty buckets stands on its own, and all it needs to
-know on entering a bucket is an offset: how far into the bucket the last kept
-alert still reaches. Runs are cut into blocks of bounded size. A run of one
-block (the usual case) is folded inside one aggregate. For a longer run each
-block first maps every offset it may be entered with to the offset it is left
-with; the maps are chained by joins of doubling reach, which yields the true
-entry offset of every block, and then each block is folded from there. A single
-bucket too large for one task is answered by a distributed ordered scan instead.
-Nothing is dropped and no key is ever gathered in one place.
+A key that fits in a task is folded inside one aggregate. For a larger key, each
+run of adjacent non-empty buckets stands on its own, and all it needs to know on
+entering a bucket is an offset: how far into the bucket the last kept alert still
+reaches. Runs are cut into blocks of bounded size. A run of one block is folded
+like a small key. In a longer run each block first maps every offset it may be
+entered with to the offset it is left with; the maps are chained by joins of
+doubling reach, which yields the true entry offset of every block, and then each
+block is folded from there. A single bucket too large for one task is answered by
+a distributed ordered scan instead. Nothing is dropped and no large key is ever
+gathered in one place.
 """
 
 from __future__ import annotations
@@ -69,6 +70,22 @@ def suppress(
     # Only one row per instant can be kept, and only its id is needed.
     points = candidates.groupBy(*keys, micros.alias("_t")).agg(F.min(tie).alias("_id"))
     points = written(points.withColumn("_b", F.floor(F.col("_t") / width).cast("long")), "points")
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = written(sizes.where(F.col("_n") > fold_rows).select(*keys, F.lit(True).alias("_large")), "large")
+    if large.isEmpty():
+        kept = _folded(points, keys, width)
+    else:
+        marked = null_safe_join(points, large, keys)
+        kept = _folded(marked.where(F.col("_large").isNull()), keys, width)
+        hot = written(marked.where("_large").drop("_large"), "hot")
+        kept = kept.unionByName(_by_runs(hot, keys, width, fold_rows))
+    return candidates.join(kept.select(F.col("_id").alias(tie)), tie, "left_semi").select(
+        *candidates.columns
+    )
+
+
+def _by_runs(points: DataFrame, keys: list[str], width: int, fold_rows: int) -> DataFrame:
+    """Greedy scan of keys too large for one task, run by run."""
     members, blocks = _blocks(points, keys, fold_rows)
     tagged = null_safe_join(points, members, [*keys, "_b"], "inner")
     kept = _folded(tagged.where(~F.col("_long")), [*keys, "_run"], width)
@@ -76,9 +93,7 @@ def suppress(
     if longest:
         long = tagged.where("_long").withColumn("_o", F.col("_t") - F.col("_b") * width)
         kept = kept.unionByName(_chained(long, blocks.where("_long"), keys, width, longest, fold_rows))
-    return candidates.join(kept.select(F.col("_id").alias(tie)), tie, "left_semi").select(
-        *candidates.columns
-    )
+    return kept
 
 
 def _blocks(points: DataFrame, keys: list[str], fold_rows: int) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from ..operators.scan import null_safe_join
 from ..operators.suppress import suppress
 from ..session import written
 from .compile import RuleError, compile_rule, flag_name
-from .graph import parse_graph, relevant
+from .graph import condition_key, parse_graph, relevant
 
 # Rules are drawn by people; a larger table is a mistake, not something to collect.
 MAX_RULES = 5_000
@@ -47,20 +47,20 @@ def required_flags(rules: list[tuple], columns: list[str]) -> dict[str, str | No
     return {flag_name(s): s for s in sorted(wanted, key=str)}
 
 
-def could_fire(rules: list[tuple], columns: list[str], severities: list[str | None]) -> Column:
+def could_fire(rules: list[tuple], columns: list[str]) -> Column:
     """True unless no alert can fire, whatever the case flags turn out to be.
 
-    Lets the scan drop rows before the flags are joined. Every combination of
-    flag values is tried; when that is too many terms nothing is dropped early.
+    Lets the scan drop rows before the flags are joined. Each distinct graph is
+    tried with every value of the flags it uses; when that is too many terms
+    nothing is dropped early.
     """
-    terms = sum(len(graph.alerts) for _, graph in rules) * 2 ** len(severities)
-    if terms > 4 * ALERTS_PER_PASS:
-        return F.lit(True)
-    chances = []
-    for values in product((False, True), repeat=len(severities)):
-        assumed = dict(zip(severities, values))
-        for _, graph in rules:
-            chances += [a.fires for a in compile_rule(graph, columns, assumed)[0]]
+    chances: list[Column] = []
+    for graph in {condition_key(g): g for _, g in rules}.values():
+        flags = sorted(compile_rule(graph, columns)[1], key=str)
+        if len(chances) + len(graph.alerts) * 2 ** len(flags) > ALERTS_PER_PASS:
+            return F.lit(True)
+        for values in product((False, True), repeat=len(flags)):
+            chances += [a.fires for a in compile_rule(graph, columns, dict(zip(flags, values)))[0]]
     return reduce(lambda a, b: a | b, chances)
 
 
@@ -72,11 +72,13 @@ def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
     the alerts that fire, and the alert texts are looked up by number.
     """
     columns = anomalies.columns
-    fired, texts = [], []
+    fired, texts, same = [], [], []
     for order, (rule_id, graph) in enumerate(rules):
         alerts, _ = compile_rule(graph, columns)
+        key = condition_key(graph)
         for i, a in enumerate(alerts):
             fired.append(a.fires)
+            same.append((key, i))
             texts.append((rule_id, order, i, a.severity, a.message, a.action))
     if not fired:
         raise RuleError("no rule with an alert node")
@@ -95,9 +97,10 @@ def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
     passes = []
     for start in range(0, len(fired), ALERTS_PER_PASS):
         chosen = fired[start : start + ALERTS_PER_PASS]
+        distinct = dict(zip(same[start : start + ALERTS_PER_PASS], chosen))
         codes = F.array(*[F.when(c, F.lit(start + i)) for i, c in enumerate(chosen)])
         passes.append(
-            anomalies.where(reduce(lambda a, b: a | b, chosen)).select(
+            anomalies.where(reduce(lambda a, b: a | b, distinct.values())).select(
                 F.col("id").alias("anomaly_id"),
                 given("entity_id", "unknown").alias("entity_id"),
                 given("entity_type", "user").alias("entity_type"),
@@ -124,7 +127,7 @@ def evaluate(
         if cases is None or links is None:
             raise RuleError("a case node needs the case tables")
         known = known_anomalies if known_anomalies is not None else anomalies
-        anomalies = anomalies.where(could_fire(compiled, anomalies.columns, list(flags.values())))
+        anomalies = anomalies.where(could_fire(compiled, anomalies.columns))
         anomalies = with_case_flags(anomalies, cases, links, known, flags)
     return match(anomalies, compiled)
 

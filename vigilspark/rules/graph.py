@@ -54,6 +54,13 @@ def parse_graph(text) -> Graph | None:
     return graph
 
 
+def condition_key(graph: Graph) -> str:
+    """Equal for graphs that fire on the same anomalies, whatever they are called or say."""
+    words = ("modelId", "message", "severity", "action", "label")
+    data = {n: {k: v for k, v in d.items() if k not in words} for n, d in graph.data.items()}
+    return repr((graph.kinds, data, graph.inputs, [n for n, _ in graph.alerts]))
+
+
 def has_cycle(graph: Graph) -> bool:
     """Whether some node feeds itself: peel off nodes without open inputs until none is left."""
     waiting = {n: {s for s in graph.inputs.get(n, []) if s in graph.kinds} for n in graph.kinds}

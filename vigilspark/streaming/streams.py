@@ -139,7 +139,7 @@ def evaluate_stream(
     """
     flags = required_flags(rules, stream.columns)
     if flags:
-        stream = stream.where(could_fire(rules, stream.columns, list(flags.values())))
+        stream = stream.where(could_fire(rules, stream.columns))
         stream = with_case_flags(stream, cases, links, known_anomalies, flags)
     return match(stream, rules)
 
