@@ -87,7 +87,10 @@ def pagerank(
         )
     )
     spark = edges.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(facts["m"] // 5_000_000) + 1)
+    # Fewer buckets than shuffle partitions would make Spark shuffle the edges
+    # again; more than the catalog's limit (100,000) are refused.
+    shuffle_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shuffle_partitions, min(int(facts["m"] // 5_000_000) + 1, 50_000))
     table = _bucketed(salted, ["src", "salt"], buckets)
     # A node's share per edge and the number of its pieces; fixed for all steps.
     nodes = written(
