@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, packing
+from . import binary_output, packing, piece_codec
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def query(name: str, table: str, sql: str | None = None):
     return add
 
 
+@query("op3_piece_codec", "documents")
+def op3(docs: DataFrame) -> DataFrame:
+    return piece_codec.digest_documents(docs)
+
+
 @query("op5_best_fit_packing", "documents")
 def op5(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs)
