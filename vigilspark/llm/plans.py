@@ -6,19 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, packing, piece_codec
+from . import binary_output, packing, piece_codec, quality_classifier, quality_rules
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(df)``, which gets the whole ``table``."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register ``fn(*frames)``, which gets the whole ``tables``."""
 
-    def add(fn: Callable[[DataFrame], DataFrame]):
+    def add(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
+            prepare(spark)
+            return fn(*(spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in tables.split()))
 
         QUERIES[name] = run
         if sql:
@@ -28,6 +29,11 @@ def query(name: str, table: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_rules", "documents labels")
+def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality_rules.judge(docs, labels)
+
+
 @query("op3_piece_codec", "documents")
 def op3(docs: DataFrame) -> DataFrame:
     return piece_codec.digest_documents(docs)
@@ -43,3 +49,8 @@ def op9(docs: DataFrame) -> DataFrame:
     uri = binary_output.record_folder(docs.sparkSession)
     index = binary_output.write_records(docs, uri)
     return binary_output.read_records(index, uri, digest=True)
+
+
+@query("op7_quality_classifier", "documents labels")
+def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality_classifier.classify(docs, labels)
