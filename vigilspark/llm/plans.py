@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, packing, piece_codec, quality_classifier, quality_rules
+from . import binary_output, ngram_join, packing, piece_codec, quality_classifier, quality_rules
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_rules.judge(docs, labels)
 
 
+@query("op2_ngram_jaccard_join", "documents")
+def op2(docs: DataFrame) -> DataFrame:
+    return ngram_join.join_documents(docs)
+
+
 @query("op3_piece_codec", "documents")
 def op3(docs: DataFrame) -> DataFrame:
     return piece_codec.digest_documents(docs)
