@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, ngram_join, packing, piece_codec, quality_classifier, quality_rules
+from . import (
+    binary_output,
+    chat_format,
+    license_scan,
+    ngram_join,
+    packing,
+    piece_codec,
+    quality_classifier,
+    quality_rules,
+)
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +68,15 @@ def op9(docs: DataFrame) -> DataFrame:
 @query("op7_quality_classifier", "documents labels")
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_classifier.classify(docs, labels)
+
+
+@query("op6_chat_format", "conversations", chat_format.SQL)
+def op6(conversations: DataFrame) -> DataFrame:
+    turns = chat_format.turns_from_table(conversations)
+    turns = turns.unionByName(chat_format.turns_from_json(chat_format.sample_record(conversations.sparkSession)))
+    return chat_format.digest(chat_format.format_turns(turns))
+
+
+@query("op8_license_scan", "documents", license_scan.oracle_sql())
+def op8(docs: DataFrame) -> DataFrame:
+    return license_scan.scan(docs)
