@@ -10,6 +10,7 @@ from . import (
     binary_output,
     chat_format,
     license_scan,
+    neighbours,
     ngram_join,
     packing,
     piece_codec,
@@ -80,3 +81,8 @@ def op6(conversations: DataFrame) -> DataFrame:
 @query("op8_license_scan", "documents", license_scan.oracle_sql())
 def op8(docs: DataFrame) -> DataFrame:
     return license_scan.scan(docs)
+
+
+@query("op10_nearest_neighbours", "embeddings")
+def op10(embeddings: DataFrame) -> DataFrame:
+    return neighbours.nearest(embeddings)
