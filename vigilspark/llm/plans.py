@@ -16,6 +16,7 @@ from . import (
     piece_codec,
     quality_classifier,
     quality_rules,
+    secret_scan,
 )
 from .common import prepare
 
@@ -54,6 +55,11 @@ def op3(docs: DataFrame) -> DataFrame:
     return piece_codec.digest_documents(docs)
 
 
+@query("op4_secret_scan", "documents")
+def op4(docs: DataFrame) -> DataFrame:
+    return secret_scan.scan(docs)
+
+
 @query("op5_best_fit_packing", "documents")
 def op5(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs)
