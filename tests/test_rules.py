@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vigilspark.plans import graphs
 from vigilspark.rules import fire as R
 from vigilspark.rules.compile import RuleError, compile_rule
-from vigilspark.rules.graph import describe, has_cycle, issues, parse_graph, relevant, rule_issues
+from vigilspark.rules.graph import has_cycle, issues, parse_graph, relevant, rule_issues
 
 RISK = ("m", "model", {"output": "risk_score"})
 ROWS = [
@@ -145,16 +145,11 @@ def test_issues(text, want):
     assert issues(parse_graph(text)) == want
 
 
-def test_issue_rows_and_summary(spark):
+def test_issue_rows(spark):
     rules = spark.createDataFrame(
         [(i, "flow", text) for i, (text, _) in enumerate(graphs.CHECKED)], "id int, rule_type string, flow_graph string"
     )
     assert rule_issues(rules).count() == sum(len(w) for _, w in graphs.CHECKED)
-    assert describe(parse_graph(graphs.HIGH_USER_RISK)) == (
-        "(model.risk_score > 80 AND anomaly(risk>=0)) → ALERT(high: high user risk)"
-    )
-    assert describe(parse_graph(graphs.BARE)) == "(no input) → ALERT(high: triggered)"
-    assert describe(parse_graph(graphs.NO_ALERT)) == "empty rule"
 
 
 def test_relevance(spark):
@@ -204,11 +199,38 @@ def test_rows_are_dropped_before_the_flags_are_joined(anomalies):
     many = [(f"k{i}", "case", {"caseEvent": "severity_match", "caseSeverity": str(i)}) for i in range(9)]
     text = graphs.graph([*many, ("g", "and", {}), RISK, ("out", "alert", {})],
                         [*[(n, "g") for n, _, _ in many], ("m", "g"), ("g", "out")])
-    assert kept(text) == {1, 2, 3, 4}
+    assert kept(text) == {r["id"] for r in anomalies.where("risk_score <> 0").collect()}
+
+
+def test_many_rules_take_one_scan(anomalies, monkeypatch):
+    monkeypatch.setattr(R, "CONDITIONS_PER_ARRAY", 2)
+    texts = [graphs.RISK_ABOVE.replace("#", str(i)) for i in range(30)]
+    out = R.evaluate(anomalies, [(i, parse_graph(x)) for i, x in enumerate(texts)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+    risks = {r["id"]: r["risk_score"] or 0 for r in anomalies.collect()}
+    assert {(r["rule_id"], r["anomaly_id"]) for r in out.collect()} == {(i, a) for i in range(30) for a, v in risks.items() if v > i}
+
+
+def test_one_faulty_rule_does_not_stop_the_others(spark, anomalies):
+    texts = [graphs.CYCLE, graphs.BAD_PARTS, graphs.BAD_THRESHOLD, graphs.UNREADABLE, "[]", '{"nodes": 3}', '{"nodes": [{"id": [1]}]}',
+             graphs.RISK_ABOVE.replace("#", "1")]
+    rules = spark.createDataFrame([(i, True, "flow", x) for i, x in enumerate(texts)],
+                                  "id int, enabled boolean, rule_type string, flow_graph string")
+    assert {r["rule_id"] for r in R.evaluate(anomalies, rules).collect()} == {7}
+    assert {r["rule_id"] for r in R.uncompiled(rules).collect()} == set(range(7))
+    assert rule_issues(rules).select("rule_id").distinct().count() >= 7
+
+
+def test_one_faulty_condition_does_not_stop_the_others(spark, anomalies):
+    rows = [(1, True, "single-fire", "low", "risk_score > 80"), (2, True, "single-fire", "low", "risk_score >"),
+            (3, True, "single-fire", "low", "exit(1)"), (4, True, "single-fire", "low", "entity_id")]
+    rules = spark.createDataFrame(rows, "id int, enabled boolean, rule_type string, severity string, condition string")
+    assert {r["rule_id"] for r in R.single_fire(anomalies, rules).collect()} == {1}
+    assert {2, 3, 4} == {r["rule_id"] for r in R.single_fire_issues(anomalies, rules).collect()}
 
 
-def test_many_rules_run_in_passes(anomalies, monkeypatch):
-    monkeypatch.setattr(R, "ALERTS_PER_PASS", 2)
+def test_same_rules_share_a_condition(anomalies):
     graph = parse_graph(graphs.graph([RISK, ("out", "alert", {})], [("m", "out")]))
     out = R.evaluate(anomalies, [(i, graph) for i in range(5)])
     assert out.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").count() == 5

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import written
 
 
 @dataclass
@@ -45,44 +46,78 @@ def conform(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class GroupFunction:
+    """A function over whole groups, in three parts, so that no task holds a group.
+
+    ``partial`` turns any piece of a group into a short list of numbers, ``merge``
+    combines such lists (in any order and grouping), and ``finish`` gets a piece of
+    the group's rows with the merged numbers and returns their detections.
+    """
+
+    partial: Callable[[pd.DataFrame], list[float]]
+    merge: Callable[[list[list[float]]], list[float]]
+    finish: Callable[[pd.DataFrame, list[float]], pd.DataFrame]
+
+
+def _shaped(out: pd.DataFrame) -> pd.DataFrame:
+    names = schemas.DETECTIONS.names
+    absent = {c: pd.NaT if c == "timestamp" else None for c in names if c not in out.columns}
+    return out.assign(**absent)[names]
+
+
 def apply_detector(
-    df: DataFrame, detector: Detector | Callable[[pd.DataFrame], pd.DataFrame],
-    group: list[str] | None = None, part_rows: int = 100_000,
+    df: DataFrame, detector: Detector | GroupFunction | Callable[[pd.DataFrame], pd.DataFrame],
+    group: list[str] | None = None,
 ) -> DataFrame:
-    """Fit and score with a detector, or run a frame-to-frame function.
+    """Fit and score with a detector, or run a row function or a group function.
 
-    A function sees Arrow batches of rows. With ``group`` each call sees rows of
-    one group only; a group larger than ``part_rows`` is handed over in several
-    calls, each with a hash-chosen part of it, so no task has to hold a whole
-    hot group. The function must return the detection columns.
+    A plain function sees Arrow batches and must treat each row for itself. What
+    depends on a whole group is a ``GroupFunction`` with ``group`` columns: its
+    result does not depend on how a group is cut into pieces.
     """
     if isinstance(detector, Detector):
         return conform(detector.score(df, detector.fit(df)))
-    names = schemas.DETECTIONS.names
-
-    def shaped(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = detector(pdf)
-        absent = {c: pd.NaT if c == "timestamp" else None for c in names if c not in out.columns}
-        return out.assign(**absent)[names]
+    if isinstance(detector, GroupFunction):
+        if not group:
+            raise ValueError("a group function needs group columns")
+        return _by_group(df, detector, group)
+    if group:
+        raise ValueError("a function of rows has no groups; use GroupFunction")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield shaped(pdf)
+            yield _shaped(detector(pdf))
+
+    return df.mapInPandas(batches, schemas.DETECTIONS)
 
-    if not group:
-        return df.mapInPandas(batches, schemas.DETECTIONS)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > part_rows).select(
-        *group, F.ceil(F.col("_n") / part_rows).alias("_parts")
-    )
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    part = F.pmod(row_hash, F.coalesce("_parts", F.lit(1)))
-    parted = df.join(large, group, "left").withColumn("_part", part).drop("_parts")
 
-    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        return shaped(pdf.drop(columns="_part"))
+def _by_group(df: DataFrame, function: GroupFunction, group: list[str]) -> DataFrame:
+    # Read twice: once for the partial results, once to finish.
+    rows = written(df, "groups")
+    named = rows.withColumn("_key", F.to_json(F.struct(*group)))
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [(k, [float(x) for x in function.partial(g.drop(columns="_key"))]) for k, g in pdf.groupby("_key", sort=False)]
+            yield pd.DataFrame(found, columns=["_key", "_state"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = function.merge([list(x) for x in pdf["_state"]])
+        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]], "_state": [[float(x) for x in state]]})
+
+    layout = "_key string, _state array<double>"
+    states = named.mapInPandas(pieces, layout)
+    # A hot group has one state per batch; a salted round leaves a bounded number of them.
+    salted = states.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    states = salted.groupBy("_key", "_salt").applyInPandas(merged, layout).groupBy("_key").applyInPandas(merged, layout)
+
+    def finished(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for _, g in pdf.groupby("_key", sort=False):
+                yield _shaped(function.finish(g.drop(columns=["_key", "_state"]), list(g["_state"].iloc[0])))
 
-    return parted.groupBy(*group, "_part").applyInPandas(one_part, schemas.DETECTIONS)
+    return named.join(states, "_key").mapInPandas(finished, schemas.DETECTIONS)
 
 
 def log_metric(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import running
@@ -51,6 +51,7 @@ def latest(
 
 def activity_feed(anomalies: DataFrame, cases: DataFrame, n: int = 5) -> DataFrame:
     """The newest anomalies and cases in one list."""
+    # Actor, action and type labels of the feed.
     first = anomalies.select(
         F.concat(F.lit("anomaly-"), F.col("id").cast("string")).alias("id"),
         F.lit("System").alias("actor"),
@@ -88,9 +89,18 @@ def status_transitions(
     return seen.where(F.col("previous").isNull() | (F.col("previous") != F.col(status)))
 
 
-def cap_alerts(
-    alerts: DataFrame, budget: int = 500, order: list[Column | str] | None = None
-) -> DataFrame:
-    """At most ``budget`` alerts: rules in order, riskiest anomalies first."""
-    order = order or ["rule_order", F.desc("risk_score"), "anomaly_id", "alert_node"]
-    return alerts.orderBy(*order).limit(budget)
+def budget_places(alerts: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``_place``, the position in a total order (``-name`` sorts downwards), counted slice by slice.
+
+    Null numbers in a downward column count as zero.
+    """
+    ranked = [c[1:] for c in order if c.startswith("-")]
+    filled = alerts.withColumns({f"_o_{c}": F.coalesce(c, F.lit(0.0)) for c in ranked}).withColumn("_one", F.lit(1).cast("long"))
+    by = [f"-_o_{c[1:]}" if c.startswith("-") else c for c in order]
+    return running(filled, [], by, sums={"_place": "_one"}).drop("_one", *[f"_o_{c}" for c in ranked])
+
+
+def within_budget(alerts: DataFrame, budget: int, order: list[str] | None = None) -> DataFrame:
+    """At most ``budget`` alerts, exactly the first of the order: rules in order, riskiest anomalies first."""
+    placed = budget_places(alerts, order or ["rule_order", "-risk_score", "anomaly_id", "alert_node"])
+    return placed.where(F.col("_place") <= budget).drop("_place")

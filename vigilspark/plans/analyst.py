@@ -213,11 +213,11 @@ def _(t):
 
 
 @query("j05_not_recently_alerted", """
-SELECT k.* FROM (SELECT id, id % 200 AS rule_id, entity_id, 'high' AS severity FROM anomalies WHERE risk_score >= 50) k
+SELECT k.* FROM (SELECT id, id % 200 AS rule_id, entity_id, 'high' AS severity FROM anomalies) k
 WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.rule_id = k.rule_id AND a.entity_id = k.entity_id
   AND a.severity = k.severity AND a.created_at > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '48' HOUR)""")
 def _(t):
-    candidates = t.anomalies.where("risk_score >= 50").select(
+    candidates = t.anomalies.select(
         "id", (F.col("id") % 200).alias("rule_id"), "entity_id", F.lit("high").alias("severity")
     )
     return J.not_recently_alerted(candidates, t.alerts, "2024-01-20 12:00:00", "48 hours")
@@ -270,16 +270,16 @@ def _(t):
 
 @query("j11_feedback_rates", f"""
 SELECT model_id, feedback, true_positives, false_positives,
-  {R6.format('true_positives * 1.0e0 / (true_positives + false_positives)')} AS true_positive_rate,
-  {R6.format('false_positives * 1.0e0 / (true_positives + false_positives)')} AS false_positive_rate
+  {R6.format('true_positives * 1.0e0 / nullif(true_positives + false_positives, 0)')} AS true_positive_rate,
+  {R6.format('false_positives * 1.0e0 / nullif(true_positives + false_positives, 0)')} AS false_positive_rate
 FROM (SELECT a.model_id, count(*) AS feedback, count(*) FILTER (WHERE feedback_type = 'true_positive') AS true_positives,
    count(*) FILTER (WHERE feedback_type = 'false_positive') AS false_positives
-  FROM user_feedback f JOIN anomalies a ON a.id = f.anomaly_id GROUP BY 1) WHERE true_positives + false_positives > 0""")
+  FROM user_feedback f JOIN anomalies a ON a.id = f.anomaly_id GROUP BY 1)""")
 def _(t):
     rates = J.feedback_rates(t.anomalies, t.user_feedback)
     for c in ("true_positive_rate", "false_positive_rate"):
         rates = rates.withColumn(c, S.round6(F.col(c)))
-    return rates.where("true_positives + false_positives > 0")
+    return rates
 
 
 @query("j11_feedback_of", """
@@ -723,13 +723,13 @@ def _(t):
 
 
 @query("w09_cap_alerts", """
-SELECT * FROM (SELECT id % 4 AS rule_order, id AS anomaly_id, entity_id, risk_score FROM anomalies WHERE risk_score >= 50)
-ORDER BY rule_order, risk_score DESC, anomaly_id LIMIT 500""")
+SELECT * FROM (SELECT id % 4 AS rule_order, id AS anomaly_id, 0 AS alert_node, entity_id, risk_score FROM anomalies)
+ORDER BY rule_order, coalesce(risk_score, 0) DESC, anomaly_id LIMIT 3000""")
 def _(t):
-    fired = t.anomalies.where("risk_score >= 50").select(
-        (F.col("id") % 4).alias("rule_order"), F.col("id").alias("anomaly_id"), "entity_id", "risk_score"
+    fired = t.anomalies.select(
+        (F.col("id") % 4).alias("rule_order"), F.col("id").alias("anomaly_id"), F.lit(0).alias("alert_node"), "entity_id", "risk_score"
     )
-    return W.cap_alerts(fired, 500, ["rule_order", F.desc("risk_score"), "anomaly_id"])
+    return W.within_budget(fired, 3000)
 
 
 # ------------------------------------------------------------------ sets

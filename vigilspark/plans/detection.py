@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..detect import graph as G
 from ..detect.autoencoder import Autoencoder
-from ..detect.base import apply_detector
+from ..detect.base import GroupFunction, apply_detector
 from ..detect.iforest import IsolationForest
 from ..detect.pca import PcaDetector
 from ..detect.registry import latest_artifact, load_artifact, save_artifact
@@ -104,12 +104,28 @@ def _(t):
     return _matches(t).select(*MATCH_COLS)
 
 
+@query("r09_many_rules", """
+SELECT r.id AS rule_id, count(*) AS n, min(a.id) AS first_id, CAST(sum(a.id) AS BIGINT) AS id_sum
+FROM many_rules r JOIN anomalies a ON coalesce(a.risk_score, 0) > r.threshold WHERE NOT r.faulty GROUP BY 1""")
+def _(t):
+    found = R.evaluate(t.anomalies, t.many_rules)
+    return found.groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("anomaly_id").alias("first_id"), F.sum("anomaly_id").alias("id_sum"))
+
+
+@query("r11_uncompiled_rules", """
+SELECT id AS rule_id, CASE id % 10 WHEN 7 THEN 'graph has a cycle' WHEN 8 THEN 'node is not readable' ELSE 'threshold is not a number' END AS fault
+FROM many_rules WHERE faulty""")
+def _(t):
+    return R.uncompiled(t.many_rules)
+
+
 FIRED = f"""(SELECT sha256(concat_ws('|', CAST(rule_id AS VARCHAR), CAST(anomaly_id AS VARCHAR), CAST(alert_node AS VARCHAR))) AS id,
   rule_id, severity, message, entity_id, entity_type, false AS acknowledged, TIMESTAMP '{NOON}' AS created_at
  FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, entity_id, severity ORDER BY rule_order, -{RISK}, anomaly_id, alert_node) AS rn
   FROM {MATCHES} k WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.rule_id = k.rule_id AND a.entity_id = k.entity_id AND a.severity = k.severity
    AND a.created_at > TIMESTAMP '{NOON}' - INTERVAL '48' HOUR))
- WHERE rn = 1 ORDER BY rule_order, {RISK} DESC, anomaly_id, alert_node LIMIT 500)"""
+ WHERE rn = 1)"""
 
 
 @query("r10_fire", f"SELECT * FROM {FIRED}")
@@ -124,8 +140,7 @@ EVENT_KEPT = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT * FROM {MATCHES} k WHE
    AND m.severity = k.severity AND m.event_time >= k.event_time + INTERVAL '1' HOUR GROUP BY 1, 2, 3)
 SELECT sha256(concat_ws('|', CAST(m.rule_id AS VARCHAR), CAST(m.anomaly_id AS VARCHAR), CAST(m.alert_node AS VARCHAR))) AS id, m.rule_id, m.severity,
  m.message, m.entity_id, m.entity_type, false AS acknowledged, m.event_time AS created_at
-FROM m JOIN kept k ON m.rule_id = k.rule_id AND m.entity_id = k.entity_id AND m.severity = k.severity AND m.event_time = k.event_time
-ORDER BY m.rule_order, {RISK} DESC, m.anomaly_id, m.alert_node LIMIT 500"""
+FROM m JOIN kept k ON m.rule_id = k.rule_id AND m.entity_id = k.entity_id AND m.severity = k.severity AND m.event_time = k.event_time"""
 
 
 @query("r10_fire_event_time", EVENT_KEPT)
@@ -133,6 +148,18 @@ def _(t):
     return R.fire(_matches(t), t.alerts, NOON, mode="event").drop("alert_context")
 
 
+_PLACED = f"""SELECT rule_id, row_number() OVER (ORDER BY rule_order, {RISK} DESC, anomaly_id, alert_node) AS place
+ FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, entity_id, severity ORDER BY rule_order, -{RISK}, anomaly_id, alert_node) AS rn FROM {MATCHES} k
+  WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.rule_id = k.rule_id AND a.entity_id = k.entity_id AND a.severity = k.severity
+   AND a.created_at > TIMESTAMP '{NOON}' - INTERVAL '48' HOUR)) WHERE rn = 1"""
+
+
+@query("r10_dropped_by_budget", f"""
+SELECT rule_id, count(*) FILTER (WHERE place <= 500) AS kept, count(*) FILTER (WHERE place > 500) AS dropped FROM ({_PLACED}) GROUP BY 1""")
+def _(t):
+    return R.dropped_by_budget(_matches(t), t.alerts, NOON, 500, interval="48 hours")
+
+
 @query("r10_last_triggered", """
 SELECT r.id, r.name, max(a.created_at) AS last_triggered_at FROM rules r LEFT JOIN alerts a ON a.rule_id = r.id GROUP BY 1, 2""")
 def _(t):
@@ -334,10 +361,30 @@ def _(t):
             risk_score=pdf["value"].clip(upper=100.0), anomaly_type=pdf["event_type"],
         )
 
-    out = apply_detector(t.events, rate, group=["user_id"], part_rows=50)
+    out = apply_detector(t.events, rate)
     return out.select("entity_id", "entity_type", "risk_score", "anomaly_type")
 
 
+@query("x02_group_function", f"""
+SELECT CAST(e.event_id AS VARCHAR) AS entity_id, {R6.format("(value - m) / s")} AS risk_score, concat(e.event_type, ' of ', n) AS anomaly_type
+FROM events e JOIN (SELECT event_type, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1) g ON g.event_type = e.event_type""")
+def _(t):
+    """z-score within a few large groups, from counts, sums and sums of squares."""
+    def finish(pdf, state):
+        n, total, squares = state
+        mean = total / n
+        spread = (squares / n - mean * mean) ** 0.5
+        return pdf.assign(
+            entity_id=pdf["event_id"].astype(str), entity_type="event", risk_score=(pdf["value"] - mean) / spread,
+            anomaly_type=pdf["event_type"] + f" of {int(n)}",
+        )
+
+    function = GroupFunction(
+        lambda pdf: [len(pdf), pdf["value"].sum(), (pdf["value"] ** 2).sum()], lambda states: [sum(x) for x in zip(*states)], finish)
+    out = apply_detector(t.events, function, group=["event_type"])
+    return out.select("entity_id", S.round6(F.col("risk_score")).alias("risk_score"), "anomaly_type")
+
+
 # ------------------------------------------------------------------ streams
 
 

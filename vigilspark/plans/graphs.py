@@ -51,6 +51,16 @@ CYCLE = graph(
 NO_ALERT = graph([RISK, ("c", "comparison", {})], [("m", "c")])
 BARE = graph([("out", "alert", {}), ("m", "model", {})], [])
 UNREADABLE = "{not json"
+BAD_PARTS = '{"nodes": [null, "x", {"id": "o", "type": "alert", "data": {"message": "m"}}], "edges": ["y"]}'
+BAD_THRESHOLD = graph(
+    [("a", "anomaly", {"minRiskScore": "x"}), ("out", "alert", {"message": "m"})], [("a", "out")],
+)
+# "#" is replaced by a number.
+RISK_ABOVE = graph(
+    [("m", "model", {"output": "risk_score"}), ("c", "comparison", {"operator": ">", "value": "#"}),
+     ("out", "alert", {"severity": "low"})],
+    [("m", "c"), ("c", "out")],
+)
 # For the checks: graph text, then the issues it must raise.
 CHECKED = [
     (HIGH_USER_RISK, []),
@@ -60,6 +70,9 @@ CHECKED = [
             ("warning", "model node without model"), ("warning", "model node without output")]),
     (UNREADABLE, [("error", "graph is not readable")]),
     ("{}", [("error", "graph is empty")]),
+    (BAD_PARTS, [("error", "node is not readable"), ("error", "node is not readable"), ("error", "edge is not readable"),
+                 ("error", "no source node"), ("error", "alert without input")]),
+    (BAD_THRESHOLD, [("error", "threshold is not a number")]),
 ]
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from .graphs import CHECKED, GRAPHS, sql_case
+from .graphs import BAD_PARTS, BAD_THRESHOLD, CHECKED, CYCLE, GRAPHS, RISK_ABOVE, sql_case
 
 VIEWS: dict[str, str] = {
     "anomalies": """
@@ -27,15 +27,15 @@ SELECT o_orderkey AS id, concat('case ', CAST(o_orderkey AS STRING)) AS title,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'low' END AS severity,
   concat('analyst-', CAST(o_custkey % 5 AS STRING)) AS assigned_to, o_orderdate AS created_at
 FROM {orders}""",
-    # Strong events are linked to two cases each.
+    # Every event is linked to a case, strong ones to two.
     "case_links": """
-SELECT event_id AS case_id, event_id AS anomaly_id FROM {events} WHERE value >= 200
+SELECT event_id * 7 AS case_id, event_id AS anomaly_id FROM {events}
 UNION ALL SELECT event_id + 1 AS case_id, event_id AS anomaly_id FROM {events} WHERE value >= 200""",
     "user_feedback": """
 SELECT event_id AS id, event_id AS anomaly_id,
   CASE event_id % 3 WHEN 0 THEN 'true_positive' WHEN 1 THEN 'false_positive' ELSE 'needs_review' END AS feedback_type,
   concat('analyst-', CAST(user_id % 5 AS STRING)) AS user_id
-FROM {events} WHERE event_type <> 'signup'""",
+FROM {events}""",
     "rules": """
 SELECT p_partkey AS id, p_name AS name,
   CASE p_size % 3 WHEN 0 THEN 'flow' WHEN 1 THEN 'single-fire' ELSE 'deviation' END AS rule_type,
@@ -49,7 +49,7 @@ SELECT event_id AS id, event_id % 200 AS rule_id,
   concat('rule triggered by ', event_type) AS message,
   concat('user-', lpad(CAST(user_id AS STRING), 4, '0')) AS entity_id, 'user' AS entity_type,
   event_id % 5 = 0 AS acknowledged, ts AS created_at
-FROM {events} WHERE event_type IN ('error', 'purchase')""",
+FROM {events}""",
     "alert_candidates": """
 SELECT event_id AS id, 0 AS rule_id, concat('user-', CAST(user_id % 5 AS STRING)) AS entity_id,
   'high' AS severity, ts AS created_at
@@ -89,7 +89,7 @@ SELECT event_id AS id, user_id * 10 + 1 AS model_run_id,
 FROM {events}""",
     "job_logs": """
 SELECT event_id AS id, user_id * 20 + 1000000001 AS job_id, 'info' AS level, event_type AS message, ts AS created_at
-FROM {events} WHERE event_type = 'purchase'""",
+FROM {events}""",
     "ingestion_runs": """
 SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, ts AS completed_at,
   concat('{{"spark": {{"ssh": {{"row_count": ', CAST(user_id * 100 AS STRING), '}}, "dns": {{"row_count": ', CAST(event_id AS STRING),
@@ -158,8 +158,15 @@ SELECT n_nationkey AS id, n_name AS name,
 FROM {{nation}}"""
 # A rule table that grows with the data, for the checks of whole rule tables.
 VIEWS["flow_rules"] = f"""
-SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN 'deviation' ELSE 'flow' END AS rule_type, p_size <= 40 AS enabled, p_size % 6 AS shape,
-  p_partkey % 3 AS model_no, {sql_case('p_size % 6', [text for text, _ in CHECKED], 'p_partkey % 3')} AS flow_graph
+SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN 'deviation' ELSE 'flow' END AS rule_type, p_size <= 40 AS enabled, p_size % {len(CHECKED)} AS shape,
+  p_partkey % 3 AS model_no, {sql_case(f'p_size % {len(CHECKED)}', [text for text, _ in CHECKED], 'p_partkey % 3')} AS flow_graph
+FROM {{part}}"""
+
+# One rule per part: thresholds of their own, and three kinds that cannot be evaluated.
+VIEWS["many_rules"] = f"""
+SELECT p_partkey AS id, 'flow' AS rule_type, true AS enabled, 60 + p_partkey % 40 AS threshold, p_partkey % 10 >= 7 AS faulty,
+  replace({sql_case('p_partkey % 10', [RISK_ABOVE] * 7 + [CYCLE, BAD_PARTS, BAD_THRESHOLD], 'p_partkey % 3')}, '#',
+    CAST(60 + p_partkey % 40 AS STRING)) AS flow_graph
 FROM {{part}}"""
 
 _PLACE = re.compile(r"\{(\w+)\}")

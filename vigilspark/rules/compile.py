@@ -52,11 +52,14 @@ def flag_name(severity: str | None) -> str:
 
 @dataclass
 class Compiler:
-    """Compiles the nodes of one graph over a table with the given columns."""
+    """Compiles the nodes of one graph over a table with the given columns.
+
+    With ``unknown_cases`` the case flags are null, and so is whatever they decide.
+    """
 
     graph: Graph
     columns: list[str]
-    assumed: dict[str | None, bool] | None = None
+    unknown_cases: bool = False
     flags: set[str | None] = field(default_factory=set)
     done: dict[str, Value] = field(default_factory=dict)
 
@@ -104,8 +107,8 @@ class Compiler:
             return Value("bool", F.lit(False))
         severity = None if event == "created" else data.get("caseSeverity", "high")
         self.flags.add(severity)
-        if self.assumed is not None:
-            return Value("bool", F.lit(self.assumed[severity]))
+        if self.unknown_cases:
+            return Value("bool", F.lit(None).cast("boolean"))
         return Value("bool", F.coalesce(F.col(flag_name(severity)), F.lit(False)))
 
     def _comparison(self, data: dict, inputs: list[Value]) -> Value:
@@ -113,14 +116,15 @@ class Compiler:
         if first.kind == "none":
             held = F.lit(0.0)
         elif first.kind == "bool":
-            held = F.when(first.column, 1.0).otherwise(0.0)
+            held = F.when(first.column, 1.0).when(~first.column, 0.0)
         else:
             held = first.column
         threshold = _number(data.get("value", "0"), 0.0)
         return Value("bool", compare(held, data.get("operator", ">"), threshold))
 
     def _truths(self, inputs: list[Value]) -> list[Column]:
-        return [truthy(v.column, v.kind) for v in inputs]
+        # A condition stands as it is: it is null only where an unknown case decides.
+        return [v.column if v.kind == "bool" else truthy(v.column, v.kind) for v in inputs]
 
     def _and(self, data: dict, inputs: list[Value]) -> Value:
         out = F.lit(bool(inputs))
@@ -142,23 +146,24 @@ class Compiler:
 
 
 def compile_rule(
-    graph: Graph, columns: list[str], assumed: dict[str | None, bool] | None = None
+    graph: Graph, columns: list[str], unknown_cases: bool = False
 ) -> tuple[list[Alert], set[str | None]]:
-    """The alerts of a graph and the case flags they need.
-
-    ``assumed`` puts fixed values in place of the flags.
-    """
-    if ("error", "graph has a cycle") in issues(graph):
-        raise RuleError("graph has a cycle")
-    compiler = Compiler(graph, columns, assumed)
-    alerts = [
-        Alert(
-            node,
-            data.get("severity", "high"),
-            data.get("message", "rule triggered"),
-            data.get("action", "fire_alert"),
-            compiler.value(node).column,
-        )
-        for node, data in graph.alerts
-    ]
+    """The alerts of a graph and the case flags they need; a faulty graph raises ``RuleError``."""
+    # A graph that is only empty or unconnected compiles and never fires.
+    for fault in graph.faults + [x for x in issues(graph) if x == ("error", "graph has a cycle")]:
+        raise RuleError(fault[1])
+    compiler = Compiler(graph, columns, unknown_cases)
+    try:
+        alerts = [
+            Alert(
+                node,
+                str(data.get("severity", "high")),
+                str(data.get("message", "rule triggered")),
+                str(data.get("action", "fire_alert")),
+                compiler.value(node).column,
+            )
+            for node, data in graph.alerts
+        ]
+    except (TypeError, AttributeError) as error:
+        raise RuleError(f"graph cannot be read: {error}") from error
     return alerts, compiler.flags

@@ -4,115 +4,136 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from itertools import product
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import moment
 from ..operators.joins import ALERT_KEYS, not_recently_alerted, with_case_flags
-from ..operators.ranking import cap_alerts
+from ..operators.ranking import budget_places, within_budget
 from ..operators.scan import null_safe_join
 from ..operators.suppress import suppress
 from ..session import written
 from .compile import RuleError, compile_rule, flag_name
-from .graph import condition_key, parse_graph, relevant
+from .graph import condition_key, issues, parse_graph, relevant
 
-# Rules are drawn by people; a larger table is a mistake, not something to collect.
-MAX_RULES = 5_000
-# One pass over the anomalies evaluates this many alert nodes, which keeps the
-# generated code of the pass within what the JVM compiles well.
-ALERTS_PER_PASS = 100
-BUDGET = 500
+# Conditions in one array of the generated code; more of them make more arrays, not more scans.
+CONDITIONS_PER_ARRAY = 100
 
 
 def collect_rules(rules: DataFrame, model_id=None) -> list[tuple]:
-    """(id, graph) of the enabled flow rules, for one model or for all, in id order."""
+    """(id, graph) of the enabled flow rules, for one model or for all, in id order.
+
+    Rules that cannot be read or compiled are left out; ``rule_issues`` and
+    ``uncompiled`` name them. Rules are metadata: the driver holds the table.
+    """
     if model_id is not None:
         found = relevant(rules, model_id)
     else:
         found = rules.where(F.col("enabled") & (F.col("rule_type") == "flow"))
-    rows = found.where(F.col("flow_graph").isNotNull()).select("id", "flow_graph").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise RuleError(f"more than {MAX_RULES} flow rules")
+    rows = found.where(F.col("flow_graph").isNotNull()).select("id", "flow_graph").collect()
     parsed = [(r["id"], parse_graph(r["flow_graph"])) for r in sorted(rows, key=lambda r: r["id"])]
-    return [(rule, graph) for rule, graph in parsed if graph is not None and graph.alerts]
+    return [(rule, graph) for rule, graph in parsed if graph is not None and graph.alerts and fault_of(graph) is None]
+
+
+def fault_of(graph) -> str | None:
+    """Why a graph cannot be compiled, or None."""
+    try:
+        compile_rule(graph, [])
+    except RuleError as error:
+        return str(error)
+    return None
 
 
 def required_flags(rules: list[tuple], columns: list[str]) -> dict[str, str | None]:
     """Case-flag columns the rules refer to: name -> severity or None."""
     wanted: set[str | None] = set()
-    for _, graph in rules:
+    for graph in _distinct(rules).values():
         wanted |= compile_rule(graph, columns)[1]
     return {flag_name(s): s for s in sorted(wanted, key=str)}
 
 
+def _distinct(rules: list[tuple]) -> dict[str, object]:
+    """One graph for each condition that some rule has."""
+    return {condition_key(g): g for _, g in reversed(rules)}
+
+
 def could_fire(rules: list[tuple], columns: list[str]) -> Column:
-    """True unless no alert can fire, whatever the case flags turn out to be.
+    """True unless surely no alert fires, whatever the case flags turn out to be.
 
-    Lets the scan drop rows before the flags are joined. Each distinct graph is
-    tried with every value of the flags it uses; when that is too many terms
-    nothing is dropped early.
+    Lets the scan drop rows before the flags are joined. An unknown flag is null,
+    and a row goes only where three-valued logic gives false for every alert.
     """
-    chances: list[Column] = []
-    for graph in {condition_key(g): g for _, g in rules}.values():
-        flags = sorted(compile_rule(graph, columns)[1], key=str)
-        if len(chances) + len(graph.alerts) * 2 ** len(flags) > ALERTS_PER_PASS:
-            return F.lit(True)
-        for values in product((False, True), repeat=len(flags)):
-            chances += [a.fires for a in compile_rule(graph, columns, dict(zip(flags, values)))[0]]
-    return reduce(lambda a, b: a | b, chances)
+    chances = [a.fires for g in _distinct(rules).values() for a in compile_rule(g, columns, unknown_cases=True)[0]]
+    return F.coalesce(reduce(lambda a, b: a | b, chances), F.lit(True)) if chances else F.lit(False)
+
+
+# Issues that keep a rule from being compiled.
+FATAL = ("graph is empty", "graph has a cycle", "threshold is not a number", "node is not readable", "edge is not readable",
+         "node list is not readable", "edge list is not readable")
+MATCH_FIELDS = "_code int, rule_id {kind}, rule_order int, alert_node int, severity string, message string, action string"
 
 
 def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
     """One row per anomaly and alert node that fires. Stateless, so it also runs on a stream.
 
-    ``anomalies`` carries the case flags the rules need. Anomalies on which
-    nothing fires are filtered first; the rest are exploded to the numbers of
-    the alerts that fire, and the alert texts are looked up by number.
+    ``anomalies`` carries the case flags the rules need. Each distinct condition is
+    evaluated once, in one pass over the anomalies for any number of rules; the
+    numbers of those that fire are exploded and joined to the alerts that have them.
     """
     columns = anomalies.columns
-    fired, texts, same = [], [], []
+    conditions: dict[tuple, int] = {}
+    fired: list[Column] = []
+    for key, graph in _distinct(rules).items():
+        for i, alert in enumerate(compile_rule(graph, columns)[0]):
+            conditions[key, i] = len(fired)
+            fired.append(alert.fires)
+    texts = []
     for order, (rule_id, graph) in enumerate(rules):
-        alerts, _ = compile_rule(graph, columns)
         key = condition_key(graph)
-        for i, a in enumerate(alerts):
-            fired.append(a.fires)
-            same.append((key, i))
-            texts.append((rule_id, order, i, a.severity, a.message, a.action))
-    if not fired:
-        raise RuleError("no rule with an alert node")
-    fields = ("rule_id", "rule_order", "alert_node", "severity", "message", "action")
-    looked_up = [
-        F.element_at(F.array(*[F.lit(t[n]) for t in texts]), F.col("_code") + 1).alias(name)
-        for n, name in enumerate(fields)
-    ]
+        for i, (_, data) in enumerate(graph.alerts):
+            said = (data.get("severity", "high"), data.get("message", "rule triggered"), data.get("action", "fire_alert"))
+            texts.append((conditions[key, i], rule_id, order, i, *map(str, said)))
 
     def given(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in columns else F.lit(default)
 
+    kind = "string" if texts and isinstance(texts[0][1], str) else "long"
+    known = anomalies.sparkSession.createDataFrame(texts, MATCH_FIELDS.format(kind=kind))
+    numbers = [F.when(c, F.lit(i)) for i, c in enumerate(fired)]
+    arrays = [F.array(*numbers[at : at + CONDITIONS_PER_ARRAY]) for at in range(0, len(numbers), CONDITIONS_PER_ARRAY)]
+    codes = F.filter(F.concat(*arrays), lambda c: c.isNotNull()) if arrays else F.expr("CAST(array() AS array<int>)")
     model = F.col("model_id") if "model_id" in columns else F.lit(None).cast("string")
     details = F.col("details") if "details" in columns else F.lit(None).cast("string")
-    kind = F.col("anomaly_type") if "anomaly_type" in columns else F.lit(None).cast("string")
-    passes = []
-    for start in range(0, len(fired), ALERTS_PER_PASS):
-        chosen = fired[start : start + ALERTS_PER_PASS]
-        distinct = dict(zip(same[start : start + ALERTS_PER_PASS], chosen))
-        codes = F.array(*[F.when(c, F.lit(start + i)) for i, c in enumerate(chosen)])
-        passes.append(
-            anomalies.where(reduce(lambda a, b: a | b, distinct.values())).select(
-                F.col("id").alias("anomaly_id"),
-                given("entity_id", "unknown").alias("entity_id"),
-                given("entity_type", "user").alias("entity_type"),
-                F.col("risk_score"),
-                kind.alias("anomaly_type"),
-                model.alias("model_id"),
-                details.alias("details"),
-                F.col("timestamp").alias("event_time"),
-                F.explode(codes).alias("_code"),
-            ).where(F.col("_code").isNotNull()).select("*", *looked_up).drop("_code")
-        )
-    return reduce(DataFrame.unionByName, passes)
+    what = F.col("anomaly_type") if "anomaly_type" in columns else F.lit(None).cast("string")
+    hits = anomalies.select(
+        F.col("id").alias("anomaly_id"),
+        given("entity_id", "unknown").alias("entity_id"),
+        given("entity_type", "user").alias("entity_type"),
+        F.col("risk_score"),
+        what.alias("anomaly_type"),
+        model.alias("model_id"),
+        details.alias("details"),
+        F.col("timestamp").alias("event_time"),
+        F.explode(codes).alias("_code"),
+    )
+    return hits.join(known, "_code").drop("_code")
+
+
+def uncompiled(rules: DataFrame) -> DataFrame:
+    """``rule_id, fault`` of the enabled flow rules that evaluation leaves out, checked in parallel."""
+    kind = rules.schema["id"].dataType.simpleString()
+
+    def check(batches):
+        for batch in batches:
+            graphs = [parse_graph(text) for text in batch["flow_graph"]]
+            faults = ["graph is not readable" if g is None else "no alert node" if not g.alerts else
+                      next((m for level, m in issues(g) if level == "error" and m in FATAL), None) for g in graphs]
+            yield batch.assign(rule_id=batch["id"], fault=faults)[["rule_id", "fault"]].dropna(subset="fault")
+
+    chosen = rules.where(F.col("enabled") & (F.col("rule_type") == "flow") & F.col("flow_graph").isNotNull())
+    return chosen.select("id", "flow_graph").mapInPandas(check, f"rule_id {kind}, fault string")
 
 
 def evaluate(
@@ -120,7 +141,10 @@ def evaluate(
     cases: DataFrame | None = None, links: DataFrame | None = None,
     known_anomalies: DataFrame | None = None,
 ) -> DataFrame:
-    """Matches of the enabled flow rules, with the case flags joined in when a rule needs them."""
+    """Matches of the enabled flow rules, with the case flags joined in when a rule needs them.
+
+    One faulty rule does not keep the others from being evaluated.
+    """
     compiled = collect_rules(rules, model_id) if isinstance(rules, DataFrame) else rules
     flags = required_flags(compiled, anomalies.columns)
     if flags:
@@ -149,15 +173,35 @@ def alert_rows(matches: DataFrame, created_at: Column) -> DataFrame:
 
 
 def fire(
-    matches: DataFrame, alerts: DataFrame, as_of, budget: int = BUDGET, mode: str = "run",
+    matches: DataFrame, alerts: DataFrame, as_of, budget: int | None = None, mode: str = "run",
     interval: str = "1 hour",
 ) -> DataFrame:
-    """New alerts: not recently alerted, one per key, within the budget.
+    """New alerts: not recently alerted, one per key, all of them unless a budget is given.
 
     ``mode="run"`` keeps the riskiest match of a key (the clock stands still
     during a run); ``mode="event"`` applies the interval to the event times.
-    The budget is exact and filled in rule order, riskiest anomalies first.
+    A budget is exact and filled in rule order, riskiest anomalies first;
+    ``dropped_by_budget`` counts what it leaves out.
     """
+    kept, created = _new_matches(matches, alerts, as_of, mode, interval)
+    return alert_rows(kept if budget is None else within_budget(kept, budget, BUDGET_ORDER), created)
+
+
+# Rules in order, riskiest anomalies first; null risk counts as zero.
+BUDGET_ORDER = ["rule_order", "-risk_score", "anomaly_id", "alert_node"]
+
+
+def dropped_by_budget(
+    matches: DataFrame, alerts: DataFrame, as_of, budget: int, mode: str = "run", interval: str = "1 hour"
+) -> DataFrame:
+    """``rule_id, kept, dropped`` of the new alerts under a budget."""
+    kept, _ = _new_matches(matches, alerts, as_of, mode, interval)
+    placed = budget_places(kept, BUDGET_ORDER)
+    return placed.groupBy("rule_id").agg(
+        F.count_if(F.col("_place") <= budget).alias("kept"), F.count_if(F.col("_place") > budget).alias("dropped"))
+
+
+def _new_matches(matches: DataFrame, alerts: DataFrame, as_of, mode: str, interval: str) -> tuple[DataFrame, Column]:
     fresh = not_recently_alerted(matches, alerts, as_of, interval)
     if mode == "run":
         fields = [c for c in fresh.columns if c not in ALERT_KEYS]
@@ -174,9 +218,7 @@ def fire(
         named = written(fresh.withColumn("_key", F.concat_ws("|", *parts)), "matches")
         kept = suppress(named, ALERT_KEYS, "event_time", interval, "event", "_key").drop("_key")
         created = F.col("event_time")
-    risk = F.desc(F.coalesce("risk_score", F.lit(0.0)))
-    capped = cap_alerts(kept, budget, ["rule_order", risk, "anomaly_id", "alert_node"])
-    return alert_rows(capped, created)
+    return kept, created
 
 
 def last_triggered(rules: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -205,25 +247,50 @@ def checked_condition(text: str) -> Column:
     return F.expr(text)
 
 
+def condition_faults(anomalies: DataFrame, texts: list[str]) -> dict[str, str]:
+    """Why each condition that cannot be evaluated over ``anomalies`` is refused."""
+    faults = {}
+    for text in texts:
+        try:
+            kind = anomalies.select(checked_condition(text)).schema[0].dataType.simpleString()
+            if kind != "boolean":
+                faults[text] = f"condition is of type {kind}"
+        except (RuleError, PySparkException) as error:
+            faults[text] = str(error).split("\n")[0]
+    return faults
+
+
 def single_fire(anomalies: DataFrame, rules: DataFrame) -> DataFrame:
-    """Anomalies that meet the condition of an enabled single-fire rule."""
-    chosen = rules.where(F.col("enabled") & (F.col("rule_type") == "single-fire") & F.col("condition").isNotNull())
-    # Rules share conditions (a handful of thresholds): each condition is
-    # evaluated once and the rules that use it are joined to its matches.
-    texts = [r[0] for r in chosen.select("condition").distinct().limit(MAX_RULES + 1).collect()]
-    if len(texts) > MAX_RULES:
-        raise RuleError(f"more than {MAX_RULES} conditions")
-    if not texts:
-        raise RuleError("no single-fire rule")
-    hits = F.filter(
-        F.array(*[F.when(checked_condition(c), F.lit(c)) for c in sorted(texts)]), lambda c: c.isNotNull()
-    )
+    """Anomalies that meet the condition of an enabled single-fire rule.
+
+    A condition that is not allowed or cannot be read leaves out its own rules only;
+    ``single_fire_issues`` names them.
+    """
+    chosen, texts = _conditions(rules)
+    faults = condition_faults(anomalies, texts)
+    hits = [F.when(checked_condition(c), F.lit(c)) for c in texts if c not in faults]
+    arrays = [F.array(*hits[at : at + CONDITIONS_PER_ARRAY]) for at in range(0, len(hits), CONDITIONS_PER_ARRAY)]
+    met = F.filter(F.concat(*arrays), lambda c: c.isNotNull()) if arrays else F.expr("CAST(array() AS array<string>)")
     found = anomalies.select(
-        F.col("id").alias("anomaly_id"), "entity_id", "risk_score", F.explode(hits).alias("condition")
+        F.col("id").alias("anomaly_id"), "entity_id", "risk_score", F.explode(met).alias("condition")
     )
     return found.join(chosen.select(F.col("id").alias("rule_id"), "severity", "condition"), "condition")
 
 
+def single_fire_issues(anomalies: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rule_id, condition, fault`` of the enabled single-fire rules that are left out."""
+    chosen, texts = _conditions(rules)
+    faults = anomalies.sparkSession.createDataFrame(
+        list(condition_faults(anomalies, texts).items()), "condition string, fault string")
+    return chosen.join(faults, "condition").select(F.col("id").alias("rule_id"), "condition", "fault")
+
+
+def _conditions(rules: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Enabled single-fire rules, and their distinct conditions; each is evaluated once."""
+    chosen = rules.where(F.col("enabled") & (F.col("rule_type") == "single-fire") & F.col("condition").isNotNull())
+    return chosen, sorted(r[0] for r in chosen.select("condition").distinct().collect())
+
+
 def deviation(df: DataFrame, value: str, entity: str, k: float = 3.0) -> DataFrame:
     """Rows whose value is more than ``k`` deviations from its entity's mean.
 

@@ -1,4 +1,4 @@
-"""Flow-graph rules: reading, checking and describing one graph.
+"""Flow-graph rules: reading and checking one graph.
 
 A graph is small (a handful of nodes drawn by an analyst), so these helpers work
 on one JSON text at a time. They run on the driver for the rules that are
@@ -28,6 +28,7 @@ class Graph:
     inputs: dict[str, list[str]] = field(default_factory=dict)
     feeds: set[str] = field(default_factory=set)
     alerts: list[tuple[str, dict]] = field(default_factory=list)
+    faults: list[tuple[str, str]] = field(default_factory=list)
 
 
 def parse_graph(text) -> Graph | None:
@@ -40,20 +41,45 @@ def parse_graph(text) -> Graph | None:
     if not isinstance(text, dict):
         return None
     graph = Graph()
-    for node in text.get("nodes") or []:
-        name, kind = node.get("id"), node.get("type") or ""
+    for node in _objects(text.get("nodes"), "node", graph):
+        name, kind, data = node.get("id"), node.get("type") or "", node.get("data") or {}
+        if not isinstance(name, (str, int)) or not isinstance(kind, str) or not isinstance(data, dict):
+            graph.faults.append(("error", "node is not readable"))
+            continue
         graph.kinds[name] = kind
-        graph.data[name] = node.get("data") or {}
+        graph.data[name] = data
         if kind == "alert":
-            graph.alerts.append((name, graph.data[name]))
-    for edge in text.get("edges") or []:
+            graph.alerts.append((name, data))
+    for edge in _objects(text.get("edges"), "edge", graph):
         start, end = edge.get("source"), edge.get("target")
         if start and end:
+            if not isinstance(start, (str, int)) or not isinstance(end, (str, int)):
+                graph.faults.append(("error", "edge is not readable"))
+                continue
             graph.inputs.setdefault(end, []).append(start)
             graph.feeds.add(start)
     return graph
 
 
+def _objects(items, what: str, graph: Graph) -> list[dict]:
+    """The objects of a JSON list; anything else in its place is a fault of the graph."""
+    if items is None:
+        return []
+    if not isinstance(items, list):
+        graph.faults.append(("error", f"{what} list is not readable"))
+        return []
+    graph.faults += [("error", f"{what} is not readable")] * sum(not isinstance(x, dict) for x in items)
+    return [x for x in items if isinstance(x, dict)]
+
+
+def is_number(text) -> bool:
+    try:
+        float(text)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
 def condition_key(graph: Graph) -> str:
     """Equal for graphs that fire on the same anomalies, whatever they are called or say."""
     words = ("modelId", "message", "severity", "action", "label")
@@ -76,9 +102,9 @@ def issues(graph: Graph | None) -> list[tuple[str, str]]:
     """(level, message) pairs; an ``error`` keeps the rule from being compiled."""
     if graph is None:
         return [("error", "graph is not readable")]
+    found: list[tuple[str, str]] = list(graph.faults)
     if not graph.kinds:
-        return [("error", "graph is empty")]
-    found: list[tuple[str, str]] = []
+        return found + [("error", "graph is empty")]
     if has_cycle(graph):
         found.append(("error", "graph has a cycle"))
     if not graph.alerts:
@@ -92,6 +118,11 @@ def issues(graph: Graph | None) -> list[tuple[str, str]]:
                 found.append(("warning", "alert without message"))
             if not fed:
                 found.append(("error", "alert without input"))
+        floor = data.get("minRiskScore")
+        if kind == "anomaly" and floor not in (None, "") and not is_number(floor):
+            found.append(("error", "threshold is not a number"))
+        if any(source not in graph.kinds for source in graph.inputs.get(name, [])):
+            found.append(("warning", "input from an unknown node"))
         if kind == "model" and not data.get("modelId"):
             found.append(("warning", "model node without model"))
         if kind in GATES and not fed:
@@ -101,39 +132,6 @@ def issues(graph: Graph | None) -> list[tuple[str, str]]:
     return found
 
 
-def describe(graph: Graph) -> str:
-    """The condition of every alert in words. The graph must be free of cycles."""
-
-    def words(name: str) -> str:
-        kind, data = graph.kinds.get(name), graph.data.get(name, {})
-        parts = [words(s) for s in graph.inputs.get(name, [])]
-        first = parts[0] if parts else "?"
-        if kind == "model":
-            return f"model.{data.get('output') or 'risk_score'}"
-        if kind == "anomaly":
-            return f"anomaly(risk>={data.get('minRiskScore') or 0})"
-        if kind == "case":
-            return f"case.{data.get('caseEvent') or 'created'}"
-        if kind == "comparison":
-            return f"{first} {data.get('operator') or '>'} {data.get('value') or '?'}"
-        if kind in ("and", "or"):
-            return "(" + f" {kind.upper()} ".join(parts) + ")"
-        if kind == "not":
-            return f"NOT({first})"
-        return "?"
-
-    lines = []
-    for name, data in graph.alerts:
-        sources = [words(s) for s in graph.inputs.get(name, []) if s in graph.kinds]
-        trigger = " AND ".join(sources) or "(no input)"
-        action = data.get("action") or "fire_alert"
-        suffix = "" if action == "fire_alert" else f", action={action}"
-        lines.append(
-            f"{trigger} → ALERT({data.get('severity') or 'high'}: {data.get('message') or 'triggered'}{suffix})"
-        )
-    return "; ".join(lines) or "empty rule"
-
-
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [
