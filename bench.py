@@ -12,7 +12,7 @@ import statistics
 import time
 
 from vigilspark.plans.catalog import ORACLES, QUERIES
-from vigilspark.session import local_session
+from vigilspark.session import local_session, release
 
 HEADLINE = [
     "q01_risky_entities_and_alerts",
@@ -66,7 +66,8 @@ def main() -> None:
     for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):
         run_once(spark, name, sf_dir)
         seconds[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 3)
-    compared = duckdb_seconds(list(seconds), sf_dir) if os.environ.get("BENCH_COMPARE") else {}
+        release(spark)
+    compared = duckdb_seconds(list(seconds), sf_dir) if os.environ.get("BENCH_COMPARE", "1") != "0" else {}
     print(json.dumps({
         "metric": "headline_total_seconds",
         "value": round(sum(seconds.values()), 3),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vigilspark import schemas
 from vigilspark.detect import graph as G
 from vigilspark.detect.autoencoder import Autoencoder, gradient, start_weights, unpack
-from vigilspark.detect.base import apply_detector, log_line, log_metric
+from vigilspark.detect.base import GroupFunction, apply_detector, log_line, log_metric
 from vigilspark.detect.iforest import IsolationForest, average_path, forest_arrays
 from vigilspark.detect.pca import PcaDetector
 from vigilspark.detect.registry import content_hash, latest_artifact, load_artifact, save_artifact
@@ -158,17 +158,31 @@ def test_k_hop(spark):
     assert G.k_hop(chain, ["nowhere"], 2).count() == 0
 
 
-def test_apply_function_by_group_sees_every_row_once(spark):
-    df = spark.createDataFrame([("hot" if i % 3 else f"e{i}", float(i)) for i in range(300)], "entity_id string, v double")
+def test_group_function_does_not_depend_on_pieces(spark):
+    rows = [("hot" if i % 3 else f"e{i}", float(i)) for i in range(300)]
 
-    def f(pdf):
+    def finish(pdf, state):
         assert pdf["entity_id"].nunique() == 1
-        return pdf.assign(risk_score=pdf["v"], anomaly_type="x", entity_type="user")
+        return pdf.assign(risk_score=pdf["v"] / state[1], anomaly_type=str(int(state[0])), entity_type="user")
+
+    function = GroupFunction(lambda p: [len(p), p["v"].max()], lambda s: [sum(x[0] for x in s), max(x[1] for x in s)], finish)
+    got = []
+    for pieces in (1, 7):
+        out = apply_detector(spark.createDataFrame(rows, "entity_id string, v double").repartition(pieces), function, ["entity_id"])
+        assert out.schema.simpleString() == schemas.DETECTIONS.simpleString()
+        got.append(sorted((r["entity_id"], r["risk_score"], r["anomaly_type"]) for r in out.collect() if r["risk_score"] is not None))
+    assert got[0] == got[1] and {n for e, _, n in got[0] if e == "hot"} == {"200"}
+    with pytest.raises(ValueError):
+        apply_detector(spark.createDataFrame(rows, "entity_id string, v double"), lambda p: p, ["entity_id"])
+
 
-    out = apply_detector(df, f, ["entity_id"], part_rows=20)
-    assert out.schema.simpleString() == schemas.DETECTIONS.simpleString()
-    assert sorted(r["risk_score"] for r in out.collect()) == [float(i) for i in range(300)]
-    assert apply_detector(df, f.__wrapped__ if hasattr(f, "__wrapped__") else lambda p: p.assign(risk_score=1.0)).count() == 300
+def test_a_hot_key_has_its_share_of_each_sample(spark):
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("e"), F.col("id"))).alias("entity_id"),
+        F.array((F.col("id") % 977).cast("double"), (F.col("id") % 31).cast("double")).alias("features"))
+    forest = IsolationForest(n_estimators=10)
+    drawn = forest.samples(rows, 40_000).groupBy("tree").agg(F.avg((F.col("_k") == "hot").cast("int")).alias("s"), F.count("*").alias("n")).collect()
+    assert len(drawn) == 10 and all(r["n"] == 256 and 0.35 < r["s"] < 0.65 for r in drawn)
 
 
 def test_registry_round_trip(spark, points):

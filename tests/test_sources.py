@@ -146,15 +146,27 @@ def test_entity_ids_and_features(spark):
         P.numeric_features(df.select(F.lit("x").alias("s")))
 
 
-def test_large_case_is_returned_in_parts(spark):
-    cases = spark.createDataFrame([(1, "big"), (2, "none")], "id int, title string")
+def test_cases_come_in_pages_by_position(spark):
+    cases = spark.createDataFrame([(1, "big"), (2, "none"), (3, "small")], "id int, title string")
     anomalies = spark.range(100).select(F.col("id").cast("int").alias("id"), F.lit(1.5).alias("risk_score"))
-    links = anomalies.select(F.lit(1).alias("case_id"), F.col("id").alias("anomaly_id"))
-    docs = case_documents(cases, links, anomalies, part_rows=10).collect()
-    big = [d for d in docs if d["id"] == 1]
-    assert len(big) > 5 and {d["parts"] for d in big} == {10}
-    assert sorted(a["id"] for d in big for a in d["anomalies"]) == list(range(100))
-    assert [d["anomalies"] for d in docs if d["id"] == 2] == [[]]
+    links = anomalies.select(F.lit(1).alias("case_id"), F.col("id").alias("anomaly_id")).union(spark.createDataFrame([(3, 5)], "a int, b int"))
+    docs = {(d["id"], d["page"]): [a["id"] for a in d["anomalies"]] for d in case_documents(cases, links, anomalies, 40).collect()}
+    assert docs == {(1, 0): list(range(40)), (1, 1): list(range(40, 80)), (1, 2): list(range(80, 100)), (2, 0): [], (3, 0): [5]}
+
+
+def test_equal_detections_have_ids_of_their_own(spark):
+    rows = spark.createDataFrame([("a", 1.0)] * 3 + [("b", 1.0)], "entity_id string, risk_score double")
+    ids = [r["id"] for r in P.to_anomalies(rows, "m", "r", F.lit(None).cast("timestamp")).collect()]
+    assert len(ids) == len(set(ids)) == 4
+    again = [r["id"] for r in P.to_anomalies(rows.repartition(3), "m", "r", F.lit(None).cast("timestamp")).collect()]
+    assert sorted(ids) == sorted(again)
+
+
+def test_newest_log_rows(spark):
+    lines = spark.createDataFrame([("2024-01-01 a",), ("2024-01-03 " + "c" * 300,), ("2024-01-02 b",)], "value string")
+    got = [(r["timestamp"], len(r["message"])) for r in S.parse_logs(lines, "x", newest=2).collect()]
+    assert got == [("2024-01-03", 200), ("2024-01-02", 1)]
+    assert {len(r["message"]) for r in S.parse_logs(lines, "x", message_chars=None).collect()} == {1, 300}
 
 
 def test_labels_and_rounding(spark):

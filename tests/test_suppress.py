@@ -50,3 +50,15 @@ def test_one_per_key_in_a_run(spark, candidates):
     assert len(got) == candidates["entity_id"].nunique(dropna=False)
     with pytest.raises(ValueError):
         suppress(spark.createDataFrame(candidates), ["rule_id"], mode="other")
+
+
+def test_time_grows_with_the_rows(spark):
+    """Alerts of one key, all of them kept: a copy of the kept list per alert would take minutes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select("id", F.lit("k").alias("entity_id"), F.timestamp_seconds(F.col("id") * 7200).alias("created_at"))
+    start = time.time()
+    assert suppress(rows, ["entity_id"]).count() == 40_000
+    assert time.time() - start < 60

@@ -127,11 +127,13 @@ class Autoencoder(Detector):
     def fit(self, df: DataFrame, params: dict | None = None) -> Artifact:
         for name, value in (params or {}).items():
             setattr(self, name, tuple(value) if name == "hidden" else value)
-        rows = written(self._features(df).select("features"), "features")
-        head = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("dim")).first()
+        raw = written(self._features(df).select("features"), "features")
+        head = raw.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("dim")).first()
         n, dim = head["n"], head["dim"]
         if not n:
             raise ValueError("no rows to fit")
+        # Shorter rows are padded to the widest one.
+        rows = raw.select(align_dim(F.col("features"), dim).alias("features"))
         flat = start_weights(dim, self.hidden, self.seed)
         first, second = np.zeros_like(flat), np.zeros_like(flat)
         losses = []

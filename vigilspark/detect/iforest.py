@@ -116,16 +116,20 @@ class IsolationForest(Detector):
         """
         size = self._psi(n)
         pool_rows = min(n, 2 * size * self.n_estimators)
-        key = F.col(self.key)
-        pool = df.select(key.alias("_k"), "features")
-        if pool_rows < n:
-            pool = pool.where(_uniform(key, F.lit(self.seed)) < pool_rows / n)
+        # Rows are drawn, not keys: each distinct row has its expected number of copies
+        # in the pool, the fraction decided by its hash, however its key repeats.
+        rows = df.groupBy(F.col(self.key).alias("_k"), "features").agg(F.count(F.lit(1)).alias("_c"))
+        expected = F.col("_c") * F.lit(pool_rows / n)
+        part = _uniform(F.col("_k"), F.xxhash64("features"), F.lit(self.seed)) < expected - F.floor(expected)
+        copies = (F.floor(expected) + part.cast("long")).cast("int")
+        pool = rows.withColumn("_n", copies).where(F.col("_n") > 0).select(
+            "_k", "features", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
         share = min(1.0, 3.0 * size / pool_rows)
         trees = F.sequence(F.lit(0), F.lit(self.n_estimators - 1))
-        ticket = lambda t: _uniform(F.col("_k"), t, F.lit(self.seed + 1))
+        ticket = lambda t: _uniform(F.col("_k"), F.xxhash64("features"), F.col("_copy"), t, F.lit(self.seed + 1))
         drawn = pool.withColumn("tree", F.explode(F.filter(trees, lambda t: ticket(t) < share)))
         rank = F.row_number().over(
-            Window.partitionBy("tree").orderBy(ticket(F.col("tree")), "_k")
+            Window.partitionBy("tree").orderBy(ticket(F.col("tree")), "_k", "_copy")
         )
         return drawn.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
 
@@ -144,7 +148,7 @@ class IsolationForest(Detector):
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
-            pdf = pdf.sort_values("_k")
+            pdf = pdf.assign(_f=pdf["features"].map(tuple)).sort_values(["_k", "_f", "_copy"])
             points = np.stack(pdf["features"].to_numpy())
             grown = grow(points, limit, np.random.default_rng([seed, tree]))
             out = pd.DataFrame(grown, columns=["node", "feature", "split", "left", "right", "path"])

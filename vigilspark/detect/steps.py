@@ -48,7 +48,7 @@ def run_steps(
             status.append((i, kind, "completed", "step completed"))
         except Exception as error:  # recorded as the step's outcome
             failed = True
-            status.append((i, kind, "failed", f"{type(error).__name__}: {error}"[:500]))
+            status.append((i, kind, "failed", f"{type(error).__name__}: {error}"))
     return result, spark.createDataFrame(status, schemas.STEP_STATUS)
 
 

@@ -119,9 +119,14 @@ def preprocess(df: DataFrame, params: dict, cols: list[str] | None = None) -> Da
     if fill not in (None, "median"):
         raise ValueError(f"unknown fill_na {fill!r}")
     if fill == "median":
-        for c in cols:
-            mid = percentiles(df.select(c), c, {"mid": 0.5})
-            df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), mid.scalar()))
+        # All columns become (column, value) rows, so one ordered pass gives every median.
+        pairs = [F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(cols)]
+        mids = percentiles(df.select(F.inline(F.array(*pairs))), "_x", {"mid": 0.5}, by=["_col"])
+        medians = mids.agg(F.map_from_entries(F.collect_list(F.struct("_col", "mid"))).alias("m"))
+        df = df.withColumn("_mids", medians.scalar())
+        for i, c in enumerate(cols):
+            df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("_mids")[i]))
+        df = df.drop("_mids")
     if params.get("normalize"):
         stats = df.agg(
             F.struct(
@@ -175,7 +180,17 @@ def to_anomalies(
     df: DataFrame, model_id: str, run_id: str, ts: Column | None = None,
     ordinal: Column | None = None,
 ) -> DataFrame:
-    """Detector output to anomaly rows: defaults filled, tagged, with a repeatable id."""
+    """Detector output to anomaly rows: defaults filled, tagged, with a repeatable id.
+
+    Without ``ordinal`` a row is named by its content and, among equal rows, by its
+    number, so that equal detections stay apart.
+    """
+
+    if ordinal is None:
+        columns = df.columns
+        df = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_k"))
+        df = df.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))).alias("_copy"))
+        ordinal = F.concat_ws(".", F.xxhash64(*columns).cast("string"), F.col("_copy").cast("string"))
 
     def given(name: str, default: Column) -> Column:
         return F.coalesce(F.col(name), default) if name in df.columns else default
@@ -184,8 +199,7 @@ def to_anomalies(
     kind = given("entity_type", F.lit("user"))
     stamp = ts if ts is not None else given("timestamp", F.current_timestamp())
     details = given("details", F.lit("{}"))
-    row = ordinal if ordinal is not None else F.xxhash64(*[F.col(c) for c in df.columns])
-    key = F.concat_ws("|", F.lit(run_id), entity, kind, row.cast("string"))
+    key = F.concat_ws("|", F.lit(run_id), entity, kind, ordinal.cast("string"))
     return df.select(
         F.sha2(key, 256).alias("id"),
         F.lit(model_id).alias("model_id"),

@@ -120,19 +120,28 @@ def log_level(message: Column) -> Column:
     )
 
 
-def parse_logs(lines: DataFrame, component: str, line: str = "value") -> DataFrame:
-    """Lines of ``<timestamp> <message>`` to log rows; lines without a message are skipped."""
+def parse_logs(
+    lines: DataFrame, component: str, line: str = "value", newest: int | None = None, message_chars: int | None = 200
+) -> DataFrame:
+    """Lines of ``<timestamp> <message>`` to log rows; lines without a message are skipped.
+
+    ``message_chars`` is the length that the log view shows (None: all of it), and
+    ``newest`` asks for the latest rows only, newest first.
+    """
     text = F.col(line)
     at = F.instr(text, " ")
     stamp = F.substring(text, F.lit(1), at - 1)
     message = F.substring(text, at + 1, F.length(text))
-    return lines.where(at > 0).select(
+    rows = lines.where(at > 0).select(
         F.concat(F.lit(component + "_"), stamp).alias("id"),
         stamp.alias("timestamp"),
         F.lit(component).alias("component"),
         log_level(message).alias("level"),
-        F.substring(message, 1, 200).alias("message"),
+        (F.substring(message, 1, message_chars) if message_chars else message).alias("message"),
     )
+    if newest is None:
+        return rows
+    return rows.orderBy(F.desc("timestamp"), "id", "message").limit(newest)
 
 
 def split_lines(docs: DataFrame, text: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.scalars import contains_ci
 from .scan import running
 
 # Above this many leading rows a page is found by numbering the rows in
-# parallel instead of merging the leading rows in one place.
+# parallel instead of merging the leading rows in one place; the rows are the same.
 TOP_K_ROWS = 2_000
 
 
@@ -25,21 +25,23 @@ def span(text: str) -> Column:
     return F.expr(f"INTERVAL {text}")
 
 
-def page(df: DataFrame, order: list[str], limit: int | None, offset: int = 0) -> DataFrame:
-    """Rows ``offset .. offset+limit`` of a total order (``-name`` sorts downwards)."""
-    if limit is None and not offset:
-        return df
-    if limit is not None and offset + limit <= TOP_K_ROWS:
-        sort = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+def page(df: DataFrame, order: list[str], limit: int | None, offset: int = 0, place: str | None = None) -> DataFrame:
+    """Rows ``offset .. offset+limit`` of a total order (``-name`` sorts downwards), in that order.
+
+    ``place`` names a column for the position of each row, counted from one.
+    """
+    sort = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+    if place is None and limit is not None and offset + limit <= TOP_K_ROWS:
         ordered = df.orderBy(*sort)
         return (ordered.offset(offset) if offset else ordered).limit(limit)
-    placed = running(
-        df.withColumn("_one", F.lit(1).cast("long")), [], order, sums={"_n": "_one"}
-    )
+    if place is None and limit is None and not offset:
+        return df.orderBy(*sort)
+    placed = running(df.withColumn("_one", F.lit(1).cast("long")), [], order, sums={"_n": "_one"})
     kept = placed.where(F.col("_n") > offset)
     if limit is not None:
         kept = kept.where(F.col("_n") <= offset + limit)
-    return kept.drop("_one", "_n")
+    kept = kept.orderBy("_n").drop("_one")
+    return kept.withColumnRenamed("_n", place) if place else kept.drop("_n")
 
 
 def query_table(
@@ -146,7 +148,7 @@ def search_cases(df: DataFrame, text=None, status=None, severity=None) -> DataFr
 def search_entities(df: DataFrame, text=None, entity_type=None, band=None) -> DataFrame:
     risk = F.coalesce("risk_score", F.lit(0.0))
     hit = _any_contains(["entity_id"], text) & _in_band(risk, ENTITY_BANDS, band)
-    return query_table(df.where(hit), {"entity_type": entity_type}, limit=None)
+    return query_table(df.where(hit), {"entity_type": entity_type}, ["entity_id", "entity_type"], limit=None)
 
 
 def search_alerts(df: DataFrame, text=None, severity=None, acknowledged=None, rule_name=None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .filters import moment, span
 from .ranking import first_rows
+from .scan import running
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -24,37 +25,23 @@ def case_anomalies(cases: DataFrame, links: DataFrame, anomalies: DataFrame) ->
     return cases.withColumnRenamed("id", "case_id").join(linked, "case_id")
 
 
-def case_documents(
-    cases: DataFrame, links: DataFrame, anomalies: DataFrame, part_rows: int = 1000
-) -> DataFrame:
-    """Each case with the list of its anomalies, an empty list included.
+def case_documents(cases: DataFrame, links: DataFrame, anomalies: DataFrame, page_rows: int) -> DataFrame:
+    """Each case with its anomalies in id order, as pages of ``page_rows``; an empty case has one empty page.
 
-    A case with more than ``part_rows`` anomalies is returned in several parts
-    (``part`` of ``parts``), so no row grows with the data; the parts together
-    hold every anomaly once.
+    Pages are counted by position, for every case alike, so no row grows with the
+    data and the pages in order are the whole list.
     """
-    sizes = links.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > part_rows).select(
-        "case_id", F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts")
-    )
     detail = prefixed(anomalies, "anomaly_")
     fields = [F.col(c).alias(c[len("anomaly_"):]) for c in detail.columns]
-    linked = links.join(detail, "anomaly_id").join(large, "case_id", "left")
-    parts = F.coalesce("_parts", F.lit(1))
-    lists = (
-        linked.withColumn("_k", F.pmod(F.xxhash64("anomaly_id"), parts).cast("int"))
-        .groupBy("case_id", "_k")
-        .agg(
-            F.sort_array(F.collect_list(F.struct(*fields))).alias("_list"),
-            F.max(parts).alias("_of"),
-        )
-        .withColumnRenamed("case_id", "id")
-    )
+    linked = links.select("case_id", "anomaly_id").join(detail, "anomaly_id").withColumn("_one", F.lit(1).cast("long"))
+    placed = running(linked, ["case_id"], ["anomaly_id"], sums={"_n": "_one"})
+    page = F.floor((F.col("_n") - 1) / page_rows).cast("int")
+    lists = placed.withColumn("_page", page).groupBy("case_id", "_page").agg(
+        F.array_sort(F.collect_list(F.struct("_n", F.struct(*fields).alias("a")))).alias("_list")
+    ).select(F.col("case_id").alias("id"), "_page", F.col("_list.a").alias("_list"))
     kind = lists.schema["_list"].dataType.simpleString()
     return cases.join(lists, "id", "left").select(
-        *cases.columns,
-        F.coalesce("_k", F.lit(0)).alias("part"),
-        F.coalesce("_of", F.lit(1)).alias("parts"),
+        *cases.columns, F.coalesce("_page", F.lit(0)).alias("page"),
         F.coalesce("_list", F.expr(f"CAST(array() AS {kind})")).alias("anomalies"),
     )
 
@@ -184,7 +171,7 @@ def sync_jobs(jobs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def job_logs(
-    jobs: DataFrame, own_logs: DataFrame, run_logs: DataFrame, limit: int | None = 1000
+    jobs: DataFrame, own_logs: DataFrame, run_logs: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """Log lines per job: its own, or those of its run when it has none; oldest first.
 
@@ -277,7 +264,11 @@ def feedback_rates(anomalies: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def hash_files(spark, path: str, pattern: str = "*") -> DataFrame:
-    """File name and SHA-256 of every file below a folder."""
+    """Path below the folder, SHA-256 and size of every file in it.
+
+    A file is read as one value, so it must be smaller than 2 GiB.
+    """
+    base = path.rstrip("/").split("://")[-1].removeprefix("file:")
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -285,7 +276,7 @@ def hash_files(spark, path: str, pattern: str = "*") -> DataFrame:
         .load(path)
     )
     return files.select(
-        F.substring_index("path", "/", -1).alias("file"),
+        F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})").alias("file"),
         F.sha2("content", 256).alias("actual_hash"),
         F.col("length").alias("bytes"),
     )

@@ -7,7 +7,7 @@ not all of it matters:
 * at most one alert is kept per interval-wide bucket, and
 * after an empty bucket the past is forgotten.
 
-A key that fits in a task is folded inside one aggregate. For a larger key, each
+A key that fits in a task is folded in one sorted pass. For a larger key, each
 run of adjacent non-empty buckets stands on its own, and all it needs to know on
 entering a bucket is an offset: how far into the bucket the last kept alert still
 reaches. Runs are cut into blocks of bounded size. A run of one block is folded
@@ -21,10 +21,14 @@ gathered in one place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 from .scan import null_safe_join, running
@@ -138,26 +142,35 @@ def _blocks(points: DataFrame, keys: list[str], fold_rows: int) -> tuple[DataFra
 
 
 def _folded(points: DataFrame, group: list[str], width: int, after: str | None = None) -> DataFrame:
-    """Greedy scan of groups of bounded size; ``after`` is the earliest time that may be kept."""
-    ordered = F.sort_array(F.collect_list(F.struct("_t", "_id")))
-    row_type = "struct<_t: bigint, _id: " + points.schema["_id"].dataType.simpleString() + ">"
-    begin = F.max(after) - width if after else F.lit(None).cast("long")
-    start = F.struct(
-        begin.alias("last"), F.expr(f"CAST(array() AS array<{row_type}>)").alias("kept")
-    )
+    """Greedy scan of groups in one sorted pass; ``after`` is the earliest time that may be kept.
 
-    def step(acc, x):
-        keep = acc["last"].isNull() | (x["_t"] >= acc["last"] + width)
-        return F.when(
-            keep,
-            F.struct(x["_t"].alias("last"), F.array_append(acc["kept"], x).alias("kept")),
-        ).otherwise(acc)
-
-    return (
-        points.groupBy(*group)
-        .agg(F.aggregate(ordered, start, step, lambda acc: acc["kept"]).alias("_kept"))
-        .select(F.explode("_kept._id").alias("_id"))
-    )
+    A task carries only the group at hand and its last kept time, so the work is
+    linear and no group is gathered.
+    """
+    begin = F.col(after) - width if after else F.lit(None).cast("long")
+    rows = points.select(F.to_json(F.struct(*group)).alias("_key"), "_t", "_id", begin.alias("_begin"))
+    rows = rows.repartition("_key").sortWithinPartitions("_key", "_t")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            keys, times = batch.column("_key").to_pylist(), batch.column("_t").to_numpy()
+            begins = batch.column("_begin")
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            kept: list[int] = []
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if keys[start] != current:
+                    current, last = keys[start], begins[start].as_py()
+                at = start if last is None else start + int(np.searchsorted(times[start:end], last + width))
+                while at < end:
+                    kept.append(at)
+                    last = int(times[at])
+                    at += 1 + int(np.searchsorted(times[at + 1 : end], last + width))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(kept, pa.int64()))], names=["_id"])
+
+    return rows.mapInArrow(scan, T.StructType([points.schema["_id"]]))
 
 
 def walk(times: np.ndarray, entries: np.ndarray, first: int, last: int, width: int) -> np.ndarray:

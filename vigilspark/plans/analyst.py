@@ -177,14 +177,15 @@ def _(t):
 
 
 @query("j02_case_documents", """
-SELECT c.id, c.title, count(a.id) AS n, min(a.id) AS first_id, coalesce(max(a.risk_score), -1) AS top_risk
-FROM cases c LEFT JOIN case_links l ON l.case_id = c.id LEFT JOIN anomalies a ON a.id = l.anomaly_id GROUP BY 1, 2""")
-def _(t):
-    docs = J.case_documents(t.cases, t.case_links, t.anomalies)
-    return docs.groupBy("id", "title").agg(
-        F.sum(F.size("anomalies")).alias("n"),
-        F.min(F.array_min("anomalies.id")).alias("first_id"),
-        F.coalesce(F.max(F.array_max("anomalies.risk_score")), F.lit(-1.0)).alias("top_risk"),
+SELECT c.id, c.title, coalesce(page, 0) AS page, count(n) AS n, min(anomaly_id) AS first_id, max(anomaly_id) AS last_id, coalesce(max(risk_score), -1) AS top_risk
+FROM cases c LEFT JOIN (SELECT l.case_id, l.anomaly_id, a.risk_score, n, CAST((n - 1) // 2 AS INT) AS page FROM (
+   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY anomaly_id) AS n FROM case_links) l JOIN anomalies a ON a.id = l.anomaly_id) p ON p.case_id = c.id
+GROUP BY 1, 2, 3""")
+def _(t):
+    docs = J.case_documents(t.cases, t.case_links, t.anomalies, 2)
+    return docs.select(
+        "id", "title", "page", F.size("anomalies").cast("long").alias("n"), F.array_min("anomalies.id").alias("first_id"), F.array_max("anomalies.id").alias("last_id"),
+        F.coalesce(F.array_max("anomalies.risk_score"), F.lit(-1.0)).alias("top_risk"),
     )
 
 
@@ -288,15 +289,22 @@ def _(t):
     return J.feedback_of(t.anomalies, t.user_feedback, 77)
 
 
-@query("j12_audit_hashes")
+@query("j12_audit_hashes", """
+SELECT part, status, count(*) AS n FROM (SELECT 'copy' AS part, 'ok' AS status FROM (SELECT DISTINCT lang FROM documents)
+ UNION ALL SELECT 'swapped', 'mismatch' FROM (SELECT DISTINCT lang FROM documents) UNION ALL SELECT 'gone', 'missing' FROM region) GROUP BY 1, 2""")
 def _(t):
+    """Two folders with one file name in each language folder; the second holds other contents."""
     path = scratch_path(t.spark, "audited")
-    t.documents.write.parquet(path)
+    for part, text in (("copy", F.col("text")), ("swapped", F.upper("text"))):
+        t.documents.select("lang", text.alias("text")).repartition(1, "lang").write.partitionBy("lang").parquet(f"{path}/{part}")
     files = J.hash_files(t.spark, path, "*.parquet")
-    manifest = files.select("file", F.col("actual_hash").alias("expected_hash")).unionByName(
-        t.region.select("r_name", F.lit("0").alias("expected_hash")).withColumnRenamed("r_name", "file")
-    )
-    return J.audit_hashes(files, manifest)
+    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
+    named = files.select(F.regexp_replace("file", "/[^/]*$", "/data").alias("file"), "actual_hash", "bytes")
+    manifest = named.where(folder.startswith("copy") | folder.startswith("swapped")).select(
+        "file", F.when(F.col("file").startswith("copy"), F.col("actual_hash")).otherwise("0").alias("expected_hash")
+    ).unionByName(t.region.select(F.concat(F.lit("gone/"), "r_name").alias("file"), F.lit("0").alias("expected_hash")))
+    found = J.audit_hashes(named, manifest)
+    return found.groupBy(F.substring_index("file", "/", 1).alias("part"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ rollups and counters
@@ -692,9 +700,10 @@ def _(t):
     return Q.page(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 10, 30)
 
 
-@query("w06_deep_page", "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id LIMIT 60000 OFFSET 500")
+@query("w06_deep_page", """
+SELECT event_id, ts, user_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events ORDER BY place LIMIT 60000 OFFSET 500""")
 def _(t):
-    return Q.page(t.events.select("event_id", "ts", "user_id"), ["-ts", "event_id"], 60000, 500)
+    return Q.page(t.events.select("event_id", "ts", "user_id"), ["-ts", "event_id"], 60000, 500, place="place")
 
 
 @query("w07_status_transitions", """

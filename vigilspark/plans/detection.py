@@ -14,10 +14,11 @@ from ..detect.risk import centrality_risk, outlier_risk, percentile_threshold, r
 from ..detect.steps import grid, run_steps, sweep
 from ..detect.volume import VolumeDetector
 from ..functions import scalars as S
+from ..functions.features import preprocess, to_anomalies
 from ..operators import aggregates as A
 from ..rules import fire as R
 from ..rules.graph import parse_graph, relevant, rule_issues
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..streaming import streams as T
 from . import graphs
 from .analyst import ENTITIES, KEPT, OPEN, R6
@@ -198,20 +199,29 @@ def _profiles(t):
     )
 
 
-@query("m01_forest_fit")
+@query("m01_forest_fit", """
+SELECT CAST(range AS INT) AS tree, true AS full_tree, true AS bounded, 1 AS roots FROM range(50)""")
 def _(t):
+    """Per tree: leaves are one more than inner nodes, within the sample's bound, below one root."""
     fitted = IsolationForest(n_estimators=50, contamination=0.05, key="event_id").grow_forest(
         t.events.select("event_id", "value", F.hour("ts").alias("hour"), "user_id")
     )
-    return fitted.tables["nodes"]
+    leaves = F.count_if(F.col("left") < 0)
+    return fitted.tables["nodes"].groupBy("tree").agg(
+        (leaves == F.count_if(F.col("left") >= 0) + 1).alias("full_tree"), (leaves <= 256).alias("bounded"),
+        F.count_if(F.col("node") == 0).cast("int").alias("roots"))
 
 
-@query("m02_forest_score")
+@query("m02_forest_score", """
+SELECT count(DISTINCT user_id) AS entities, true AS flagged_share, true AS in_range, true AS consistent FROM events""")
 def _(t):
-    rows = _profiles(t)
-    return apply_detector(rows, IsolationForest(n_estimators=50, contamination=0.05)).select(
-        "entity_id", S.round6(F.col("risk_score")).alias("risk_score"), "anomaly_type"
-    )
+    """As many rows as entities, 5 % of them flagged, risks in range and in line with the flag."""
+    found = apply_detector(_profiles(t), IsolationForest(n_estimators=50, contamination=0.05))
+    flagged = F.count_if(F.col("anomaly_type") != "normal")
+    return found.agg(
+        F.count(F.lit(1)).alias("entities"), (F.abs(flagged / F.count(F.lit(1)) - 0.05) < 0.02).alias("flagged_share"),
+        F.bool_and(F.col("risk_score").between(0, 100)).alias("in_range"),
+        F.bool_and((F.col("anomaly_type") != "normal") == (F.col("risk_score") >= 50)).alias("consistent"))
 
 
 @query("m03_outlier_risk", f"""
@@ -222,10 +232,19 @@ def _(t):
     return out.select("id", S.round6(F.col("risk_score")).alias("risk_score"), "anomaly_type")
 
 
-@query("m04_autoencoder")
+@query("m04_autoencoder", """
+SELECT count(*) AS entities, true AS loss_falls, true AS in_range, true AS above_threshold FROM embeddings""")
 def _(t):
-    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("entity_id"), F.col("embedding").alias("features"))
-    return apply_detector(rows, Autoencoder(epochs=5)).select("entity_id", "risk_score", "anomaly_type")
+    """Rows of unequal width; the loss falls, and 5 % of the errors are above the threshold."""
+    width = F.when(F.col("vec_id") % 3 == 0, 40).otherwise(F.size("embedding"))
+    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("entity_id"), F.slice("embedding", F.lit(1), width).alias("features"))
+    detector = Autoencoder(epochs=5)
+    artifact = detector.fit(rows)
+    losses = artifact.params["losses"]
+    return detector.score(rows, artifact).agg(
+        F.count(F.lit(1)).alias("entities"), F.lit(losses[-1] < losses[0]).alias("loss_falls"),
+        F.bool_and(F.col("risk_score").between(0, 100)).alias("in_range"),
+        (F.abs(F.avg(F.col("is_anomaly").cast("int")) - 0.05) < 0.01).alias("above_threshold"))
 
 
 @query("m05_reconstruction_risk", """
@@ -246,10 +265,25 @@ def _(t):
     return out.select("id", "score", S.round6(F.col("threshold")).alias("threshold"), "is_anomaly")
 
 
-@query("m07_pca")
+@query("m07_pca", f"""
+SELECT {R6.format("sum(v)")} AS total_variance, true AS explained_adds_up, true AS falls_with_k FROM (
+ SELECT var_pop(x) AS v FROM (SELECT generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY i)""")
 def _(t):
+    """With no axis the error is the total variance; each axis takes its share of it."""
     rows = t.embeddings.select(F.col("vec_id").cast("string").alias("entity_id"), F.col("embedding").alias("features"))
-    return apply_detector(rows, PcaDetector(4)).select("entity_id", "risk_score", "anomaly_type")
+    detector = PcaDetector(4)
+    artifact = detector.fit(rows)
+    dim = artifact.params["dim"]
+    shares = {}
+    for k in (0, 2, 4):
+        artifact.params["k"] = k
+        shares[k] = detector.errors(rows, artifact).agg((F.avg("error") * dim).alias(f"e{k}"))
+    axes = artifact.tables["axes"]
+    both = t.spark.range(1).select(*[shares[k].scalar().alias(f"e{k}") for k in shares])
+    unit = axes.select(F.posexplode("axis").alias("j", "x")).groupBy("j").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    orthonormal = unit.agg(F.bool_and(F.abs(F.col("s") - 1) < 1e-6)).scalar()
+    return both.select(S.round6(F.col("e0")).alias("total_variance"), orthonormal.alias("explained_adds_up"),
+                       ((F.col("e4") < F.col("e2")) & (F.col("e2") < F.col("e0"))).alias("falls_with_k"))
 
 
 PAIRS = """(SELECT DISTINCT least(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS a, greatest(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS b FROM edges)"""
@@ -286,9 +320,10 @@ def _(t):
     return ranks.select("node", S.round6(F.col("rank")).alias("rank"))
 
 
-@query("m09_pagerank_converged")
+@query("m09_pagerank_converged", f"SELECT count(DISTINCT src) AS nodes, 1.0e0 AS total, true AS positive FROM {DIRECTED}")
 def _(t):
-    return G.pagerank(G.build_edges(t.edges))
+    ranks = G.pagerank(G.build_edges(t.edges))
+    return ranks.agg(F.count(F.lit(1)).alias("nodes"), S.round6(F.sum("rank")).alias("total"), F.bool_and(F.col("rank") > 0).alias("positive"))
 
 
 @query("m10_centrality_risk", _rank_sql(5) + f"""
@@ -314,20 +349,23 @@ def _(t):
     return G.k_hop(pairs, ["7"], 3)
 
 
-@query("m13_artifact_round_trip")
+@query("m13_artifact_round_trip", "SELECT count(DISTINCT user_id) AS entities, 0 AS differing FROM events")
 def _(t):
     from datetime import datetime
 
     rows = _profiles(t)
     forest = IsolationForest(n_estimators=20)
     path = scratch_path(t.spark, "artifact")
-    registry = save_artifact(t.spark, forest.fit(rows), path, "forest", datetime(2024, 1, 31))
+    fitted = forest.fit(rows)
+    registry = save_artifact(t.spark, fitted, path, "forest", datetime(2024, 1, 31))
     found = latest_artifact(registry, "forest").first()
     loaded = load_artifact(t.spark, found["path"], found["file_hash"])
-    return forest.score(rows, loaded).select("entity_id", S.round6(F.col("risk_score")).alias("risk_score"))
+    again = forest.score(rows, loaded).select("entity_id", F.col("risk_score").alias("again"))
+    both = forest.score(rows, fitted).select("entity_id", "risk_score").join(again, "entity_id")
+    return both.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("risk_score") != F.col("again")).cast("int").alias("differing"))
 
 
-@query("m14_sweep")
+@query("m14_sweep", "SELECT 2 AS runs, true AS shares_follow FROM (SELECT count(*) FROM events)")
 def _(t):
     rows = _profiles(t)
 
@@ -338,18 +376,40 @@ def _(t):
         return {"flagged": float(share)}
 
     runs = sweep(t.spark, grid({"contamination": [0.05, 0.1], "n_estimators": [10]}), evaluate)
-    return A.compare_runs(runs, ["flagged"])
+    share = F.get_json_object("metrics", "$.flagged").cast("double")
+    close = F.abs(share - F.col("config")["contamination"].cast("double")) <= 0.05
+    return runs.agg(F.count(F.lit(1)).cast("int").alias("runs"), F.bool_and(close).alias("shares_follow"))
 
 
-@query("m15_ordered_steps")
+@query("m15_ordered_steps", "SELECT count(DISTINCT user_id) AS entities, 3 AS completed FROM events")
 def _(t):
     steps = [
         {"type": "preprocess", "hyperparameters": {"fill_na": "median", "normalize": True}},
         {"type": "training", "model_id": "forest", "hyperparameters": {"n_estimators": 20}},
         {"type": "inference", "model_id": "forest"},
     ]
-    found, _status = run_steps(_profiles(t), steps, {"forest": IsolationForest})
-    return found.select("entity_id", S.round6(F.col("risk_score")).alias("risk_score"), "anomaly_type")
+    found, status = run_steps(_profiles(t), steps, {"forest": IsolationForest})
+    done = status.agg(F.count_if(F.col("status") == "completed").cast("int")).scalar()
+    return found.agg(F.count(F.lit(1)).alias("entities"), done.alias("completed"))
+
+
+@query("e2_features_to_alerts", """
+SELECT count(DISTINCT user_id) AS detections, count(DISTINCT user_id) AS anomalies, true AS all_flagged_match, true AS one_alert_each FROM events""")
+def _(t):
+    """Prepare features, fit and score a forest, store anomalies, evaluate a rule, fire alerts."""
+    rows = preprocess(_profiles(t), {"fill_na": "median", "normalize": True})
+    found = apply_detector(rows, IsolationForest(n_estimators=20, contamination=0.1))
+    stored = written(to_anomalies(found, "forest", "run-1", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")), "anomalies")
+    rule = graphs.graph([("m", "model", {"output": "risk_score"}), ("c", "comparison", {"operator": ">=", "value": "50"}),
+                         ("out", "alert", {"severity": "high", "message": "outlier"})], [("m", "c"), ("c", "out")])
+    matches = written(R.evaluate(stored, [(1, parse_graph(rule))]), "matches")
+    none = t.alerts.where("false").select(F.col("rule_id").cast("long"), "entity_id", "severity", "created_at")
+    fired = written(R.fire(matches, none, "2024-01-31 00:00:00"), "alerts")
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    flagged = count(stored.where("anomaly_type <> 'normal'"))
+    return t.spark.range(1).select(
+        count(found).alias("detections"), stored.agg(F.count_distinct("id")).scalar().alias("anomalies"),
+        (flagged == count(matches)).alias("all_flagged_match"), (count(fired) == count(matches)).alias("one_alert_each"))
 
 
 @query("x02_apply_function", """
@@ -439,6 +499,21 @@ def _(t):
     return T.read_kept(t.spark, path)
 
 
+@query("t04_suppress_late", KEPT)
+def _(t):
+    """Three files; a tenth of each file's rows arrives one file later."""
+    source = scratch_path(t.spark, "late")
+    third = F.floor(F.dayofyear("created_at") / 11) + F.when(F.col("id") % 10 == 0, 1).otherwise(0)
+    rows = t.alert_candidates.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    for i in range(4):
+        part = rows.where(F.least(third, F.lit(3)) == i)
+        part.coalesce(1).write.mode("append").parquet(source)
+    path, progress = _paths(t, "kept")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    T.suppress_stream(stream, path, progress, late="25 days")
+    return T.read_kept(t.spark, path)
+
+
 @query("t05_metric_stream", """
 SELECT type, count(*) AS n, count(metric_value) AS metrics FROM (SELECT 'metric' AS type, value AS metric_value FROM events
  UNION ALL SELECT CASE WHEN status IN ('succeeded', 'failed') THEN 'done' ELSE 'status' END, NULL FROM run_status) GROUP BY 1""")

@@ -78,13 +78,18 @@ def release(spark: SparkSession) -> int:
     Frames that still read them stop working, so call it once the results that
     were built on them are stored.
     """
-    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    gone = 0
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+        gone += delete(spark, _made.pop())
     return gone
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on whatever storage it lies on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -79,7 +79,7 @@ def ingest_dataset(spark: SparkSession, path: str) -> DataFrame:
             df.createOrReplaceTempView(f"`{table}`")
             report.append((dataset, log_type, table, "success", df.count(), None))
         except Exception as error:  # one bad type must not stop the others
-            report.append((dataset, log_type, table, "failed", None, str(error)[:500]))
+            report.append((dataset, log_type, table, "failed", None, str(error)))
     failed = [r for r in report if r[3] == "failed"]
     status = "completed" if not failed or len(failed) < len(report) else "failed"
     return spark.createDataFrame(

@@ -17,7 +17,7 @@ from ..operators.joins import ALERT_KEYS, with_case_flags
 from ..operators.scan import null_safe_join
 from ..operators.suppress import suppress
 from ..rules.fire import could_fire, match, required_flags
-from ..session import written
+from ..session import delete, written
 from ..sources.readers import FORMATS, log_options
 
 # What a change notice of each table carries.
@@ -26,6 +26,7 @@ CHANGE_FIELDS = {
     "case": ("operation", "id", "title", "status"),
     "execution": ("operation", "id", "model_id", "status"),
 }
+# Statuses after which a job does not change.
 TERMINAL = ("succeeded", "failed", "cancelled")
 
 
@@ -156,46 +157,82 @@ def suppress_within_watermark(
 
 def suppress_stream(
     stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None,
-    ts: str = "created_at", interval: str = "1 hour", tie: str = "id",
+    ts: str = "created_at", interval: str = "1 hour", tie: str = "id", late: str = "0 seconds", flush: bool = True,
 ) -> None:
     """Exact greedy suppression: an interval since the last kept alert of the key.
 
-    Each batch runs the batch operator, which spreads hot keys, on the rows that
-    the last kept alerts do not already silence. The state, one row per key, is a
-    table per batch; keys whose last alert cannot silence anything newer leave it.
+    Rows wait until the newest time ever seen is ``late`` past them, so what arrives
+    out of order within that bound is judged in order; a row older than what was
+    already judged goes to ``dropped``. Each batch runs the batch operator, which
+    spreads hot keys. The state is a folder per batch: the waiting rows, and the last
+    kept time of keys that can still silence something; older folders are deleted.
+    ``flush`` judges the waiting rows at the end.
     """
     keys = keys or ALERT_KEYS
+    spark = stream.sparkSession
 
-    def state_path(batch_id: int) -> str:
-        return f"{path}/state/batch={batch_id}"
+    def state(batch_id: int, name: str) -> str:
+        return f"{path}/state/batch={batch_id}/{name}"
+
+    def judge(rows: DataFrame, last: DataFrame, out: str) -> DataFrame:
+        """Write what is kept; returns the last kept time per key."""
+        open_rows = null_safe_join(rows, last, keys).where(
+            F.col("_last").isNull() | (F.col(ts) >= F.col("_last") + span(interval))
+        ).drop("_last")
+        suppress(open_rows, keys, ts, interval, "event", tie).write.mode("overwrite").parquet(out)
+        kept = spark.read.schema(rows.schema).parquet(out)
+        new = kept.groupBy(*keys).agg(F.max(ts).alias("_last")).unionByName(last)
+        return new.groupBy(*keys).agg(F.max("_last").alias("_last"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = written(batch, "batch")
-        last = None
+        kind = rows.schema[ts].dataType
         if batch_id > 0:
-            last = spark.read.parquet(state_path(batch_id - 1))
-            open_rows = null_safe_join(rows, last, keys).where(
-                F.col("_last").isNull() | (F.col(ts) >= F.col("_last") + span(interval))
-            ).drop("_last")
+            before = spark.read.parquet(state(batch_id - 1, "seen")).first()
+            waiting = spark.read.schema(rows.schema).parquet(state(batch_id - 1, "waiting"))
+            last = spark.read.parquet(state(batch_id - 1, "last"))
         else:
-            open_rows = rows
-        kept = suppress(open_rows, keys, ts, interval, "event", tie)
-        kept.write.mode("overwrite").parquet(f"{path}/kept/batch={batch_id}")
-        kept = spark.read.schema(rows.schema).parquet(f"{path}/kept/batch={batch_id}")
-        state = kept.groupBy(*keys).agg(F.max(ts).alias("_last"))
-        if last is not None:
-            state = state.unionByName(last).groupBy(*keys).agg(F.max("_last").alias("_last"))
-        horizon = rows.agg(F.max(ts).alias("m")).scalar() - span(interval)
-        state.where(horizon.isNull() | (F.col("_last") > horizon)).write.mode("overwrite").parquet(
-            state_path(batch_id)
-        )
-
-    run_to_end(stream.writeStream.foreachBatch(save), checkpoint)
+            before, waiting = {"newest": None, "judged_to": None}, rows.limit(0)
+            last = waiting.select(*keys, F.col(ts).alias("_last"))
+        seen = [x for x in (rows.agg(F.max(ts)).first()[0], before["newest"]) if x is not None]
+        newest = F.lit(max(seen) if seen else None).cast(kind)
+        known, bound = F.lit(before["judged_to"]).cast(kind), newest - span(late)
+        is_late = F.coalesce(F.col(ts) < known, F.lit(False))
+        rows.where(is_late).write.mode("overwrite").parquet(f"{path}/dropped/batch={batch_id}")
+        pool = written(rows.where(~is_late).unionByName(waiting), "pool")
+        states = judge(pool.where(F.col(ts) < bound), last, f"{path}/kept/batch={batch_id}")
+        states.where(F.coalesce(F.col("_last") > bound - span(interval), F.lit(True))).write.mode("overwrite").parquet(
+            state(batch_id, "last"))
+        pool.where(F.coalesce(F.col(ts) >= bound, F.lit(True))).write.mode("overwrite").parquet(state(batch_id, "waiting"))
+        spark.range(1).select(newest.alias("newest"), F.greatest(bound, known).alias("judged_to")).write.mode(
+            "overwrite").parquet(state(batch_id, "seen"))
+        if batch_id > 1:
+            # Only the newest batch can run again, and it reads the one before.
+            delete(spark, f"{path}/state/batch={batch_id - 2}")
+
+    query = stream.writeStream.foreachBatch(save)
+    run_to_end(query, checkpoint)
+    if not flush:
+        return
+    batches = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/state").select("_metadata.file_path")
+    found = batches.select(F.max(F.regexp_extract("file_path", r"/state/batch=(\d+)/", 1).cast("int"))).first()[0]
+    waiting = written(spark.read.parquet(state(found, "waiting")), "waiting")
+    last = written(spark.read.parquet(state(found, "last")), "last")
+    seen = written(spark.read.parquet(state(found, "seen")), "seen")
+    states = written(judge(waiting, last, f"{path}/kept/flushed={found}"), "last")
+    # From here on, rows older than what was flushed are late.
+    states.write.mode("overwrite").parquet(state(found, "last"))
+    waiting.limit(0).write.mode("overwrite").parquet(state(found, "waiting"))
+    seen.select("newest", F.col("newest").alias("judged_to")).write.mode("overwrite").parquet(state(found, "seen"))
 
 
 def read_kept(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/kept").drop("batch")
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/kept")
+
+
+def read_dropped(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that came too late to be judged."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/dropped")
 
 
 # ------------------------------------------------------------------ windowed features
