@@ -4,7 +4,8 @@ Documents that share a set of shingles form one class; the join runs on classes.
 All shingles have one global order, rare ones first, from a counter array over
 the whole corpus. If two sets overlap enough, the first |x| - t + l shingles of
 each share at least l, for every l; t is the least overlap that x may have with
-a partner. Each class picks its own l: where its prefix meets frequent shingles
+a partner. The smaller set of a pair must overlap even more, so in that role it
+needs a shorter prefix. Each class picks its own l: where its prefix meets frequent shingles
 a longer prefix that asks for more common shingles is cheaper than verifying
 every candidate of a short one. A pair must share min(l_x, l_y) prefix shingles.
 
@@ -105,8 +106,11 @@ def frequency_sketch(docs: DataFrame, size: int, counters: int = COUNTERS) -> np
     return np.zeros(counters, np.uint32) if total is None else total
 
 
-def choose_prefix(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Prefix in global order, the matches it asks for, and each member's estimated frequency above the usual load."""
+def choose_prefix(
+    shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: int
+) -> tuple[np.ndarray, int, np.ndarray, int]:
+    """Prefix in global order, the matches it asks for, each member's estimated frequency above the usual load,
+    and how many of the set's shingles are no more frequent than usual."""
     n = len(shingles)
     counts = sketch[(shingles & np.uint64(len(sketch) - 1)).astype(np.int64)]
     order = np.lexsort((shingles, counts))
@@ -122,10 +126,10 @@ def choose_prefix(shingles: np.ndarray, sketch: np.ndarray, usual: float, percen
         if best is None or cost < best:
             best, match = cost, step
     end = n - least + match
-    return shingles[order[:end]], match, excess[:end]
+    return shingles[order[:end]], match, excess[:end], int((excess == 0).sum())
 
 
-SETS = "doc_id long, n long, key long, match int, prefix array<long>, blocks array<int>"
+SETS = "doc_id long, n long, key long, match int, rare int, prefix array<long>, blocks array<int>"
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -140,31 +144,42 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> Da
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 shingles = shingle_set(text, words, size)
                 if not len(shingles):
-                    rows.append((doc_id, 0, None, 0, [], []))
+                    rows.append((doc_id, 0, None, 0, 0, [], []))
                     continue
-                prefix, match, excess = choose_prefix(shingles, shared.value, usual, percent)
+                prefix, match, excess, rare = choose_prefix(shingles, shared.value, usual, percent)
                 blocks = 1 + (excess / BLOCK).astype(np.int32)
-                rows.append((doc_id, len(shingles), set_key(shingles), match, prefix.view(np.int64),
+                rows.append((doc_id, len(shingles), set_key(shingles), match, rare, prefix.view(np.int64),
                              blocks if blocks.max() > 1 else []))
-            yield dict(zip(("doc_id", "n", "key", "match", "prefix", "blocks"), list(zip(*rows)) or [[]] * 6))
+            yield dict(zip(("doc_id", "n", "key", "match", "rare", "prefix", "blocks"), list(zip(*rows)) or [[]] * 7))
 
     return arrow_map(docs, SETS, run)
 
 
-def star_postings(classes: DataFrame) -> DataFrame:
-    """Postings of shingles that several classes share, each with the hub (least key) of its list or block."""
+def star_postings(classes: DataFrame, percent: int) -> DataFrame:
+    """Postings of shingles that several classes share, each with the hub of its list or block.
+
+    The hub is the class with the least share of rare shingles (then the least key):
+    the text that near copies were made from has none of their changes.
+
+    ``f`` packs a class's facts: set size, matches asked for, and whether the posting
+    belongs to the shorter prefix that it has as the smaller set of a pair.
+    """
     salt = F.when(F.size("blocks") > 0, F.pmod(F.xxhash64("key"), F.col("blocks")[F.col("i")])).otherwise(F.lit(0))
     split = F.when(F.size("blocks") > 0, F.col("blocks")[F.col("i")] > 1).otherwise(F.lit(False))
-    postings = classes.select("key", "blocks", F.posexplode("prefix").alias("i", "h")).select(
-        "h", salt.cast("int").alias("salt"), "key", split.alias("wide")
+    # Overlap with a set of the same size: 2p / (100 + p) of it, rounded up.
+    equal = F.expr(f"n - (({2 * percent} * n + {99 + percent}) div {100 + percent}) + match")
+    facts = (F.col("n") * 16 + F.col("match")) * 2 + (F.col("i") < equal).cast("long")
+    rank = F.floor(F.col("rare") * 255 / F.col("n"))
+    postings = classes.select("key", "n", "match", "rare", "blocks", F.posexplode("prefix").alias("i", "h")).select(
+        "h", salt.cast("int").alias("salt"), "key", "i", facts.cast("int").alias("f"), rank.cast("short").alias("r"), split.alias("wide")
     )
-    postings = postings.repartition("h", "salt").sortWithinPartitions("h", "salt", "key")
+    postings = postings.repartition("h", "salt").sortWithinPartitions("h", "salt", "r", "key")
 
     def hubs(batches):
-        last = None  # the list at hand: (h, salt), hub, and whether its hub is out already
-        hub, shown = 0, True
+        last = None  # the list at hand: (h, salt), its hub, and whether the hub itself is out already
+        hub, hub_f, hub_i, shown = 0, 0, 0, True
         for batch in batches:
-            h, salt, key = (batch[c].to_numpy() for c in ("h", "salt", "key"))
+            h, salt, key, f, i = (batch[c].to_numpy() for c in ("h", "salt", "key", "f", "i"))
             wide = batch["wide"].to_numpy(zero_copy_only=False)
             if not len(h):
                 continue
@@ -172,24 +187,24 @@ def star_postings(classes: DataFrame) -> DataFrame:
             fresh[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
             fresh[0] = (h[0], salt[0]) != last
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), -1))
-            of = np.where(first < 0, hub, key[first])
-            member = ~fresh | wide
-            # the first of a list counts once a second member follows
-            lead = np.zeros(len(h), bool)
-            lead[:-1] = fresh[:-1] & ~fresh[1:] & ~wide[:-1]
-            out_h, out_key, out_hub, out_wide = h[member | lead], key[member | lead], of[member | lead], wide[member | lead]
+            of, of_f = np.where(first < 0, hub, key[first]), np.where(first < 0, hub_f, f[first])
+            # The first of a list counts once a second member follows.
+            out = ~fresh | wide
+            out[:-1] |= fresh[:-1] & ~fresh[1:]
+            rows = {"h": h[out], "key": key[out], "i": i[out], "f": f[out], "hub": of[out], "hub_f": of_f[out], "wide": wide[out]}
             if not fresh[0] and not shown:
-                out_h, out_key = np.append(out_h, h[0]), np.append(out_key, hub)
-                out_hub, out_wide = np.append(out_hub, hub), np.append(out_wide, False)
+                held = {"h": h[0], "key": hub, "i": hub_i, "f": hub_f, "hub": hub, "hub_f": hub_f, "wide": False}
+                rows = {k: np.append(v, held[k]) for k, v in rows.items()}
             start = np.flatnonzero(fresh)
             if len(start):
-                hub, shown = int(key[start[-1]]), bool(start[-1] < len(h) - 1 or wide[-1])
+                at = start[-1]
+                hub, hub_f, hub_i, shown = int(key[at]), int(f[at]), int(i[at]), bool(at < len(h) - 1 or wide[at])
             else:
                 shown = True
             last = (h[-1], salt[-1])
-            yield {"h": out_h, "key": out_key, "hub": out_hub, "wide": out_wide}
+            yield {k: v.astype(np.int32) if k in ("f", "hub_f", "i") else v for k, v in rows.items()}
 
-    return arrow_map(postings, "h long, key long, hub long, wide boolean", hubs)
+    return arrow_map(postings, "h long, key long, i int, f int, hub long, hub_f int, wide boolean", hubs)
 
 
 def membership(ids: DataFrame, column: str, docs: DataFrame) -> DataFrame:
@@ -254,15 +269,42 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return written(arrow_map(both, "a long, b long", run).distinct(), "links")
 
 
+#: Links that one task joins by itself before the star rounds.
+LOCAL_LINKS = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key, comp`` for every linked class; comp is the least key that links reach.
 
-    Large and small stars alternate until the edges are stars around their least
-    member; each round reads the last one from the shared folder.
+    Tasks first shrink their share of the links to a forest of stars; then large
+    and small stars alternate until all edges lead to the least member. One share
+    alone is complete at once. Each round reads the last one from the shared folder.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges, before = written(edges, "edges"), None
-    while True:
+
+    def shrink(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while root.setdefault(top, top) != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch["u"].to_pylist(), batch["v"].to_pylist()):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = [x for x in root if find(x) != x]
+        for at in range(0, len(nodes), 50_000):
+            some = nodes[at : at + 50_000]
+            yield {"u": some, "v": [find(x) for x in some]}
+
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
+    shares = max(1, -(-edges.count() // LOCAL_LINKS))
+    edges, before = written(arrow_map(edges.repartition(shares), "u long, v long", shrink), "edges"), None
+    while shares > 1:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -274,8 +316,8 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("key"), F.col("v").alias("comp")).union(
-        edges.select(F.col("v").alias("key"), F.col("v").alias("comp"))
-    ).distinct()
+        edges.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct()
+    )
 
 
 def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, counters: int = COUNTERS):
@@ -283,62 +325,69 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     sets = written(prefixes(rows, frequency_sketch(rows, size, counters), size, percent), "sets")
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("match").alias("match"),
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("match").alias("match"), F.first("rare").alias("rare"),
         F.first("prefix").alias("prefix"), F.first("blocks").alias("blocks"),
     )
-    shared = written(star_postings(classes), "postings")
-    facts = written(
-        sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("match").alias("match")
-        ), "classes"
-    )
-    sides = [
-        facts.select(F.col("key").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("n").alias(f"{s}_n"),
-                     F.col("match").alias(f"{s}_match"))
-        for s in "ab"
-    ]
-    close = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    shared = written(star_postings(classes, percent), "postings")
+    facts = written(sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    n = {s: F.shiftright(F.col(f"{s}_f"), 5) for s in "ab"}
+    asked = {s: F.shiftright(F.col(f"{s}_f"), 1).bitwiseAND(15) for s in "ab"}
+    close = 100 * F.least(n["a"], n["b"]) >= percent * F.greatest(n["a"], n["b"])
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs that meet in enough prefix shingles and have sizes that allow a link."""
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
-        counted = counted.join(sides[0], "a").join(sides[1], "b")
-        return counted.filter(f"met >= least(a_match, b_match) and {close}").select("a", "b", "a_rep", "b_rep")
-
-    pair = [F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")]
-    star = shared.filter("hub != key").select(*pair)
-    wide = shared.filter("wide").select("h", "hub").distinct()
-    tops = wide.groupBy("h").agg(F.min("hub").alias("key"))
-    star = star.union(wide.join(tops, "h").filter("hub != key").select(*pair))
+        """Pairs (a, b with a_f, b_f) that meet in enough prefix shingles, with a document of each class."""
+        counted = pairs.filter(close).groupBy("a", "b").agg(
+            F.count("*").alias("met"), F.max("a_f").alias("a_f"), F.max("b_f").alias("b_f"))
+        enough = counted.filter(F.col("met") >= F.least(asked["a"], asked["b"])).select("a", "b")
+        for side in "ab":
+            enough = enough.join(facts.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+        return enough
+
+    def pair(left: str, left_f: str, right: str, right_f: str) -> list:
+        """The two classes in order of their keys."""
+        swap = F.col(left) > F.col(right)
+        return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b"),
+                F.when(swap, F.col(right_f)).otherwise(F.col(left_f)).alias("a_f"),
+                F.when(swap, F.col(left_f)).otherwise(F.col(right_f)).alias("b_f")]
+
+    star = shared.filter("hub != key").select(*pair("hub", "hub_f", "key", "f"))
+    wide = shared.filter("wide").select("h", "hub", "hub_f").distinct()
+    tops = wide.groupBy("h").agg(F.min(F.struct("hub", "hub_f")).alias("top"))
+    tops = wide.join(tops, "h").select("hub", "hub_f", F.col("top.hub").alias("key"), F.col("top.hub_f").alias("f"))
+    star = star.union(tops.filter("hub != key").select(*pair("hub", "hub_f", "key", "f")))
     checked = written(candidates(star), "stars")
     links = verify(checked, rows, size, percent)
 
     # Lists that still hold several components, and what enumerating them would cost.
-    for turn in range(4):
+    for turn in range(3):
         comps = written(components(links), "components")
-        named = shared.select("h", "key").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        several = named.groupBy("h").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a != _b")
-        open_lists = written(named.join(several.select("h"), "h"), "open")
-        per = open_lists.groupBy("h", "comp").agg(F.count("*").cast("double").alias("m"))
-        lists = per.groupBy("h").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("pairs"), F.sum("m").alias("m"))
-        cost = lists.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
-        if turn == 3 or cost["pairs"] <= 8 * cost["m"]:
+        named = shared.select("h", "key", "i", "f").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        open_lists = _worth_enumerating(named, percent)
+        smaller = F.col("f").bitwiseAND(1) == 1
+        per = open_lists.groupBy("h").agg(F.count("*").cast("double").alias("m"), F.count_if(smaller).alias("s"))
+        cost = per.agg(F.coalesce(F.sum(F.col("m") * F.col("s")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("m")).first()
+        if turn == 2 or cost["pairs"] <= 16 * cost["m"]:
             break
         # Another star, around another member of each list, joins more components first.
         order = F.xxhash64("key", F.lit(turn))
-        centre = open_lists.groupBy("h").agg(F.min(F.struct(order.alias("o"), "key", "comp")).alias("c"))
+        centre = open_lists.groupBy("h").agg(F.min(F.struct(order.alias("o"), "key", "f", "comp")).alias("c"))
         star = open_lists.join(centre, "h").filter("comp != c.comp").select(
-            F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")
-        )
-        fresh = written(candidates(star).join(checked, ["a", "b"], "left_anti"), "stars")
+            "key", "f", F.col("c.key").alias("hub"), F.col("c.f").alias("hub_f"))
+        fresh = written(candidates(star.select(*pair("hub", "hub_f", "key", "f"))).join(checked, ["a", "b"], "left_anti"), "stars")
         links = written(links.union(verify(fresh, rows, size, percent)), "links")
         checked = checked.union(fresh)
 
-    sized = open_lists.join(facts.select("key", "n"), "key")
-    x = sized.select("h", F.col("key").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-    y = sized.select("h", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
-    across = x.join(y, "h").filter(f"a < b and a_comp != b_comp and {close}").select("a", "b")
-    rest = written(candidates(across).join(checked, ["a", "b"], "left_anti"), "pairs")
+    x = open_lists.filter(smaller).select("h", F.col("key").alias("a"), F.col("comp").alias("a_comp"), F.col("f").alias("a_f"), F.col("i").alias("a_i"))
+    y = open_lists.select("h", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("f").alias("b_f"), F.col("i").alias("b_i"))
+    ordered = (n["a"] < n["b"]) | ((n["a"] == n["b"]) & (F.col("a") < F.col("b")))
+    # Both postings must lie in the prefixes that a pair of these two sizes needs.
+    spare = F.least(asked["a"], asked["b"]) - _overlap(n["a"], n["b"], percent)
+    inside = (F.col("a_i") < n["a"] + spare) & (F.col("b_i") < n["b"] + spare)
+    across = x.join(y, "h").filter(ordered & close & inside & F.expr("a_comp != b_comp"))
+    rest = written(candidates(across).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.expr("a < b"), F.col("a_rep")).otherwise(F.col("b_rep")).alias("a_rep"),
+        F.when(F.expr("a < b"), F.col("b_rep")).otherwise(F.col("a_rep")).alias("b_rep"),
+    ).join(checked, ["a", "b"], "left_anti"), "pairs")
     more = verify(rest, rows, size, percent)
     if not more.isEmpty():
         links = written(links.union(more), "links")
@@ -346,6 +395,37 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     return sets.select("doc_id", "n", "key"), facts, comps
 
 
+def _overlap(m, n, percent: int):
+    """Shingles that sets of sizes ``m`` and ``n`` must have in common to link, rounded up."""
+    return F.ceil(percent * (m + n) / (100 + percent))
+
+
+def _worth_enumerating(lists: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """Postings without those that are in no candidate pair.
+
+    A pair must meet min(l_x, l_y) times inside the prefixes of its two sizes. Per
+    list the smallest set bounds how deep a larger one's prefix can be needed; and
+    a class with fewer postings left than it and all it meets ask for goes.
+    """
+    asked, n = F.shiftright("f", 1).bitwiseAND(15), F.shiftright("f", 5)
+    smaller = F.col("f").bitwiseAND(1) == 1
+    for _ in range(rounds):
+        per = lists.groupBy("h").agg(
+            F.min(asked).alias("low"), F.min(F.when(smaller, n)).alias("least_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b"),
+        ).filter("_a != _b and least_n is not null").select("h", "low", "least_n")
+        partner = F.greatest(F.col("least_n"), F.ceil(percent * n / 100))
+        deep = F.col("i") < n - _overlap(partner, n, percent) + asked
+        held = lists.select("h", "key", "i", "f", "comp").join(per, "h").filter(smaller | deep)
+        held = written(held, "open")
+        short = held.groupBy("key").agg(
+            F.least(F.max(asked), F.min("low")).alias("need"), F.count("*").alias("all"), F.count_if(smaller).alias("as_smaller"))
+        kept = held.join(short, "key").filter("all >= need")
+        # Below the need as the smaller set, the class stays in its lists as the larger one only.
+        flag = F.when(F.col("as_smaller") >= F.col("need"), F.col("f")).otherwise(F.col("f").bitwiseAND(F.lit(-2)))
+        lists = kept.select("h", "key", "i", flag.alias("f"), "comp")
+    return written(lists, "open")
+
+
 def join_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, counters: int = COUNTERS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
