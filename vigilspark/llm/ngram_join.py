@@ -377,17 +377,32 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
         links = written(links.union(verify(fresh, rows, size, percent)), "links")
         checked = checked.union(fresh)
 
-    x = open_lists.filter(smaller).select("h", F.col("key").alias("a"), F.col("comp").alias("a_comp"), F.col("f").alias("a_f"), F.col("i").alias("a_i"))
+    lists = open_lists.groupBy("h").agg(F.count("*").alias("m"), F.min(F.shiftright("f", 1).bitwiseAND(15)).alias("low"))
+    small = open_lists.filter(smaller).join(lists, "h")
+    asks = F.shiftright("f", 1).bitwiseAND(15)
+    # Of its t lists a class must share at least ``need`` with a partner, so one of any t - need + 1
+    # lists finds the partner: the shortest ones are searched.
+    of_key = W.partitionBy("key")
+    ranked = small.withColumn("_t", F.count("*").over(of_key)).withColumn(
+        "_need", F.least(F.max(asks).over(of_key), F.min("low").over(of_key))
+    ).withColumn("_r", F.row_number().over(of_key.orderBy("m", "h")))
+    searched = ranked.filter(F.col("_r") <= F.col("_t") - F.col("_need") + 1)
+    x = searched.select("h", F.col("key").alias("a"), F.col("comp").alias("a_comp"), F.col("f").alias("a_f"), F.col("i").alias("a_i"))
     y = open_lists.select("h", F.col("key").alias("b"), F.col("comp").alias("b_comp"), F.col("f").alias("b_f"), F.col("i").alias("b_i"))
     ordered = (n["a"] < n["b"]) | ((n["a"] == n["b"]) & (F.col("a") < F.col("b")))
     # Both postings must lie in the prefixes that a pair of these two sizes needs.
     spare = F.least(asked["a"], asked["b"]) - _overlap(n["a"], n["b"], percent)
     inside = (F.col("a_i") < n["a"] + spare) & (F.col("b_i") < n["b"] + spare)
     across = x.join(y, "h").filter(ordered & close & inside & F.expr("a_comp != b_comp"))
-    rest = written(candidates(across).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.expr("a < b"), F.col("a_rep")).otherwise(F.col("b_rep")).alias("a_rep"),
-        F.when(F.expr("a < b"), F.col("b_rep")).otherwise(F.col("a_rep")).alias("b_rep"),
-    ).join(checked, ["a", "b"], "left_anti"), "pairs")
+    across = across.select("a", "b", F.least(asked["a"], asked["b"]).alias("need")).distinct()
+    # A class's lists are no more than its prefix, so they travel as one array.
+    as_smaller = open_lists.filter(smaller).groupBy(F.col("key").alias("a")).agg(F.collect_set("h").alias("a_h"))
+    as_larger = open_lists.groupBy(F.col("key").alias("b")).agg(F.collect_set("h").alias("b_h"))
+    met = across.join(as_smaller, "a").join(as_larger, "b").filter(F.size(F.array_intersect("a_h", "b_h")) >= F.col("need"))
+    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    for side in "ab":
+        rest = rest.join(facts.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    rest = written(rest, "pairs")
     more = verify(rest, rows, size, percent)
     if not more.isEmpty():
         links = written(links.union(more), "links")
@@ -404,8 +419,9 @@ def _worth_enumerating(lists: DataFrame, percent: int, rounds: int = 2) -> DataF
     """Postings without those that are in no candidate pair.
 
     A pair must meet min(l_x, l_y) times inside the prefixes of its two sizes. Per
-    list the smallest set bounds how deep a larger one's prefix can be needed; and
-    a class with fewer postings left than it and all it meets ask for goes.
+    list the smallest set bounds how deep a larger one's prefix can be needed. What
+    lies before a match without being shared bounds the overlap; and a class with
+    fewer postings left than it and all it meets ask for goes.
     """
     asked, n = F.shiftright("f", 1).bitwiseAND(15), F.shiftright("f", 5)
     smaller = F.col("f").bitwiseAND(1) == 1
@@ -414,9 +430,15 @@ def _worth_enumerating(lists: DataFrame, percent: int, rounds: int = 2) -> DataF
             F.min(asked).alias("low"), F.min(F.when(smaller, n)).alias("least_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b"),
         ).filter("_a != _b and least_n is not null").select("h", "low", "least_n")
         partner = F.greatest(F.col("least_n"), F.ceil(percent * n / 100))
-        deep = F.col("i") < n - _overlap(partner, n, percent) + asked
-        held = lists.select("h", "key", "i", "f", "comp").join(per, "h").filter(smaller | deep)
-        held = written(held, "open")
+        need = _overlap(partner, n, percent)
+        held = lists.select("h", "key", "i", "f", "comp").join(per, "h").withColumn("_need", need)
+        held = held.filter(smaller | (F.col("i") < n - F.col("_need") + asked))
+        # A shingle before this one in the class's order that is in no open list is matched by
+        # no partner that matches this one; too many of them leave too little to overlap.
+        rank = F.row_number().over(W.partitionBy("key").orderBy("i")) - 1
+        held = held.withColumn("_left", n - (F.col("i") - rank)).filter(F.col("_left") >= F.col("_need"))
+        alike = smaller & (F.col("_left") >= _overlap(n, n, percent))
+        held = written(held.withColumn("f", F.when(alike, F.col("f")).otherwise(F.col("f").bitwiseAND(F.lit(-2)))).drop("_need", "_left"), "open")
         short = held.groupBy("key").agg(
             F.least(F.max(asked), F.min("low")).alias("need"), F.count("*").alias("all"), F.count_if(smaller).alias("as_smaller"))
         kept = held.join(short, "key").filter("all >= need")
