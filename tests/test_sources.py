@@ -8,6 +8,7 @@ from vigilspark.functions import features as P
 from vigilspark.functions import scalars as S
 from vigilspark.operators import aggregates as A
 from vigilspark.operators.joins import audit_hashes, case_documents, hash_files
+from vigilspark.operators.sets import merge_users
 from vigilspark.sources import catalog, readers, sinks
 
 
@@ -204,3 +205,17 @@ def test_filters_reach_the_scan(spark, tables):
     df = spark.read.parquet(path).selectExpr("o_orderkey id", "o_orderstatus status", "o_orderpriority severity", "o_orderdate created_at")
     plan = query_cases(df, status="O")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,O)" in plan and "TakeOrderedAndProject" in plan and "o_totalprice" not in plan
+
+
+def test_first_listed_model_of_a_name_counts(spark, tmp_path):
+    models = lambda text: {"models": [{"model_name": "m", "description": text, "enabled": True, "components": []}]}
+    path = tmp_path / "twice.json"
+    path.write_text(json.dumps({"z": models("first"), "a": models("second")}))
+    rows, _ = readers.flatten_model_groups(spark, str(path))
+    assert [(r["model_group"], r["description"]) for r in rows.collect()] == [("z", "first")]
+
+
+def test_merge_users_keeps_the_least_new_row(spark):
+    known = spark.createDataFrame([("a", 9)], "user string, seen int")
+    new = spark.createDataFrame([("b", 3), ("b", 1), ("a", 0), ("b", 2)], "user string, seen int").repartition(3)
+    assert sorted(map(tuple, merge_users(known, new).collect())) == [("a", 9), ("b", 1)]

@@ -17,13 +17,15 @@ def recent(anomalies: DataFrame, n: int = 10) -> DataFrame:
 
 
 def first_rows(
-    df: DataFrame, keys: list[str], order: list[str], n: int, salts: int = 32
+    df: DataFrame, keys: list[str], order: list[str], n: int, salts: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows of each key.
 
     A hot key is cut twice before one task sees it: Spark applies the rank
     filter on the map side, and the salted pass leaves ``salts * n`` rows a key.
+    There are as many salts as shuffle partitions unless given.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*order), F.lit(salts))
     for extra in (["_salt"], []):
         rank = F.row_number().over(Window.partitionBy(*keys, *extra).orderBy(*order))

@@ -14,8 +14,12 @@ def extract_users(df: DataFrame, id_feature: str, out: str = "user") -> DataFram
 
 
 def merge_users(known: DataFrame, new: DataFrame, key: str = "user") -> DataFrame:
-    """Known users plus the unseen ones; a user seen again keeps the known row."""
-    fresh = new.dropDuplicates([key]).join(known.select(key), key, "left_anti")
+    """Known users plus the unseen ones; a user seen again keeps the known row.
+
+    Of several new rows of a user, the least in column order stays.
+    """
+    single = new.groupBy(key).agg(F.min(F.struct(*new.columns)).alias("_row")).select("_row.*")
+    fresh = single.join(known.select(key), key, "left_anti")
     return known.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -162,7 +162,10 @@ def flatten_source_groups(
 def flatten_model_groups(
     spark: SparkSession, path: str, known: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(models, components) of a model configuration; models with a known name are skipped."""
+    """(models, components) of a model configuration; models with a known name are skipped.
+
+    Of several models of one name, the first listed counts.
+    """
     component = "STRUCT<filename: STRING, type: STRING, file_hash: STRING, data_hash: STRING>"
     model = (
         "STRUCT<model_name: STRING, description: STRING, enabled: BOOLEAN, runtime: STRING, "
@@ -170,10 +173,11 @@ def flatten_model_groups(
     )
     text = spark.read.text(path, wholetext=True)
     rows = (
-        text.select(F.explode(F.from_json("value", f"MAP<STRING, STRUCT<models: ARRAY<{model}>>>")).alias("grp", "m"))
-        .select("grp", F.explode("m.models").alias("m"))
-        .select(F.col("m.model_name").alias("name"), F.col("grp").alias("model_group"), "m")
-        .dropDuplicates(["name"])
+        text.select(F.posexplode(F.from_json("value", f"MAP<STRING, STRUCT<models: ARRAY<{model}>>>")).alias("_g", "grp", "m"))
+        .select("_g", "grp", F.posexplode("m.models").alias("_p", "m"))
+        .select(F.col("m.model_name").alias("name"), F.struct("_g", "_p", F.col("grp").alias("model_group"), "m").alias("_row"))
+        .groupBy("name").agg(F.min("_row").alias("_row"))
+        .select("name", "_row.model_group", "_row.m")
     )
     if known is not None:
         rows = rows.join(known.select("name"), "name", "left_anti")
