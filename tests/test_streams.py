@@ -88,6 +88,16 @@ def test_metric_stream_sends_each_row_once(spark, tmp_path):
     assert len(rows) == 4 and [r["status"] for r in rows if r["type"] == "done"] == ["succeeded"]
 
 
+def test_metric_stream_carries_the_place_of_a_metric(spark, tmp_path):
+    metrics, jobs, out, cp = (str(tmp_path / d) for d in ("m", "j", "o", "c"))
+    layout = "job_id string, metric_name string, metric_value double, epoch int, step int, created_at timestamp"
+    spark.createDataFrame([("j", "loss", 1.0, 2, None, START)], layout).write.parquet(metrics)
+    spark.createDataFrame([("j", "running")], "id string, status string").write.parquet(jobs)
+    T.to_table(T.metric_stream(stream(spark, metrics), stream(spark, jobs)), out, cp)
+    rows = {r["type"]: (r["epoch"], r["step"], r["created_at"]) for r in spark.read.parquet(out).collect()}
+    assert rows == {"metric": (2, None, START), "status": (None, None, None)}
+
+
 def test_late_rows_are_ignored_and_open_windows_wait(spark, tmp_path):
     layout = "entity_id string, ts timestamp, failed boolean, bytes double"
     path = str(tmp_path / "in")

@@ -7,7 +7,7 @@ again after a failure leaves the same files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -72,19 +72,27 @@ def ingest_stream(
 
 
 def metric_stream(metrics: DataFrame, jobs: DataFrame) -> DataFrame:
-    """New metric rows, status changes, and ``done`` once a job has ended.
+    """New metric rows and status rows; the row of an ended job is ``done``.
 
-    The stream's own progress replaces a counter of rows already sent.
+    The stream's own progress replaces a counter of rows already sent. A metric
+    carries its ``epoch``, ``step`` and ``created_at``, null where the input has none.
     """
     none = F.lit(None)
+    place = {"epoch": "long", "step": "long", "created_at": "timestamp"}
+
+    def given(name: str) -> Column:
+        return F.col(name) if name in metrics.columns else none
+
     values = metrics.select(
         "job_id", F.lit("metric").alias("type"), "metric_name", "metric_value",
         none.cast("string").alias("status"),
+        *[given(name).cast(kind).alias(name) for name, kind in place.items()],
     )
     states = jobs.select(
         F.col("id").alias("job_id"),
         F.when(F.col("status").isin(*TERMINAL), "done").otherwise("status").alias("type"),
         none.cast("string").alias("metric_name"), none.cast("double").alias("metric_value"), "status",
+        *[none.cast(kind).alias(name) for name, kind in place.items()],
     )
     return values.unionByName(states)
 
