@@ -69,3 +69,23 @@ def test_labels_decide(spark):
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op4_secret_scan"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_values_of_unquoted_names(spark, forest):
+    wanted = {f"TOKEN={KEY}": KEY, "DB_PASSWORD_PROD=wJalrXUtnFEMI7K7MDENGbPxRfiCY&3": "wJalrXUtnFEMI7K7MDENGbPxRfiCY&3",
+              "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYz9Qk2LmT": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYz9Qk2LmT",
+              "PORT=8080\nGITHUB_TOKEN=ghp_x7Kq2mVb9TzRw4LpYc8NsJd3HfGa6Xe1\nLEVEL=debug\n": "ghp_x7Kq2mVb9TzRw4LpYc8NsJd3HfGa6Xe1",
+              f"see /v1/api/token={KEY}": KEY, f"GIT_COMMIT={KEY}": None}
+    docs = spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")
+    found = ss.judge(ss.find_candidates(docs), forest)
+    assert {r.doc_id: r.candidate for r in found.filter("confirmed").collect()} == {
+        i: v for i, v in enumerate(wanted.values()) if v}
+    assert [r.text for r in ss.redact(docs).orderBy("doc_id").collect()] == [
+        t.replace(v, "[SECRET]") if v else t for t, v in wanted.items()]
+
+
+def test_padding_is_part_of_a_run_and_an_assignment_is_not(spark):
+    texts = ["x dGhpcyBpcyBzb21lIHRleHQxMg== y", '"dGhpcyBpcyBzb21lIHRleHQxMg=="', "LONG_SETTING_NAME_2=short", f"BUILD={KEY}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.candidate) for r in ss.find_candidates(docs).collect()) == [
+        (0, "dGhpcyBpcyBzb21lIHRleHQxMg=="), (1, "dGhpcyBpcyBzb21lIHRleHQxMg=="), (2, "LONG_SETTING_NAME_2"), (3, KEY)]

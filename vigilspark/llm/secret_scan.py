@@ -19,16 +19,27 @@ from pyspark.sql import functions as F
 
 from ..session import configure, written
 
-LETTERS = r"A-Za-z0-9+/_=.~-"
-LONG_RUN = rf"(?<![{LETTERS}])(?=[A-Za-z+/_=.~-]*[0-9])[{LETTERS}]{{15,}}[A-Za-z0-9+/_=]"
-ASSIGNED = r"""(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key)["']? ?[:=] ?["']?)[^\s"'<>{}()\[\],;]{8,}"""
-CANDIDATE = f"{ASSIGNED}|{LONG_RUN}"
+LETTERS = r"A-Za-z0-9+/_.~-"
+NAME = r"[\w.-]"
+SECRET_WORDS = r"(?i:password|passwd|pwd|secret|token|apikey|api_key)"
+ASSIGN = r"""["']? ?[:=] ?["']?+"""
+VALUE = r"""[^\s"'<>{}()\[\],;]{8,}"""
+# A whole name with a secret's word in it, up to its value; each name is passed over a fixed number of times.
+NAMED = rf"(?={NAME}++{ASSIGN}{VALUE})(?={NAME}*?{SECRET_WORDS}){NAME}++{ASSIGN}"
+LEAD = rf"(?<!{NAME}){NAMED}"
+# '=' ends a name; at the end of a run it is padding unless a value follows.
+PADDING = r"""(?:={1,2}(?!["'`]?[^\s"'`<>{}()\[\],;:.&]))?"""
+LONG_RUN = (rf"(?<![{LETTERS}])(?=[A-Za-z+/_.~-]*[0-9])(?!(?:[{LETTERS}]*[+/~])?+{NAMED})"
+            rf"[{LETTERS}]{{15,}}[A-Za-z0-9+/_]{PADDING}")
+CANDIDATE = f"{LEAD}{VALUE}|{LONG_RUN}"
 CONTEXT = 64  # characters kept on either side
 MASK = "[SECRET]"
 THRESHOLD = 0.5
 #: Generated labelled findings that the forest of the query learns from.
 FIT_ROWS = 6_000
 SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
+# The candidate is the value of a name with a secret's word in it.
+NAMED_BEFORE = rf"""{SECRET_NAMES}{NAME}*+["'`]?\]?\s*+[:=]{{1,3}}+>?+\s*+((Bearer|Basic|Token)\s++)?["'`]?"""
 HASH_NAMES = r"(?i)\b(sha-?\d*|md5(sum)?|commit|checksum|digest|hash|revision|rev|etag|uuid|guid|build|version|isbn|order|id)\b"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|spec|examples?|samples?|mocks?|fixtures?|docs?|readme|vendor|lock)([/_.-]|$)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|change-?me|your[-_]|x{4,}|0{6,}|123456|abcdef|redacted)"
@@ -43,7 +54,7 @@ DICTIONARY = (
 
 FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_turns", "f_vowel_turns", "f_distinct", "f_hex",
             "f_dictionary", "f_placeholder", "f_slashes", "f_dots", "f_dashes", "f_test_path", "f_secret_name", "f_hash_name",
-            "f_assigned", "f_quoted", "f_in_url"]
+            "f_assigned", "f_named", "f_quoted", "f_in_url"]
 
 
 def find_candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -55,18 +66,27 @@ def find_candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _parts(text: Column) -> tuple[Column, Column]:
+    """Texts between the matches, and the matches, each with the name before its value."""
     return F.split(text, CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
 
-def _explode(rows: DataFrame) -> DataFrame:
+def _lead(match: Column) -> Column:
+    """The part of a match before its candidate."""
+    return F.regexp_extract(match, f"^{LEAD}(?=.)", 0)
+
+
+def _explode(rows: DataFrame, *keep: str) -> DataFrame:
     gaps, found = _parts(F.col("_t"))
-    rows = rows.select("uid", "doc_id", "path", gaps.alias("_g"), found.alias("_c"))
+    rows = rows.select("uid", "doc_id", "path", *keep, gaps.alias("_g"), found.alias("_c"))
+    rows = rows.withColumn("_l", F.transform("_c", _lead))
     item = lambda c, i: F.struct(
-        c.alias("candidate"), F.right(F.col("_g")[i], F.lit(CONTEXT)).alias("before"),
-        F.left(F.col("_g")[i + 1], F.lit(CONTEXT)).alias("after"), F.length(F.col("_g")[i]).cast("long").alias("gap"),
+        F.substr(c, F.length(F.col("_l")[i]) + 1).alias("candidate"),
+        F.right(F.concat(F.right(F.col("_g")[i], F.lit(CONTEXT)), F.col("_l")[i]), F.lit(CONTEXT)).alias("before"),
+        F.left(F.col("_g")[i + 1], F.lit(CONTEXT)).alias("after"),
+        (F.length(F.col("_g")[i]) + F.length(F.col("_l")[i])).cast("long").alias("gap"),
     )
-    each = rows.select("uid", "doc_id", "path", F.posexplode(F.transform("_c", item)).alias("i", "_x")).select(
-        "uid", "doc_id", "path", "i", "_x.*")
+    each = rows.select("uid", "doc_id", "path", *keep, F.posexplode(F.transform("_c", item)).alias("i", "_x")).select(
+        "uid", "doc_id", "path", *keep, "i", "_x.*")
     # Offsets are running sums over the candidates of one document.
     until = W.partitionBy("uid").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     size = F.length("candidate").cast("long")
@@ -92,7 +112,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "f_dictionary": 1 - F.length(uncovered) / n, "f_placeholder": hit(c, PLACEHOLDER),
         "f_slashes": share("/"), "f_dots": share("."), "f_dashes": share("-"), "f_test_path": hit(path, TEST_PATH),
         "f_secret_name": hit(before, SECRET_NAMES), "f_hash_name": hit(F.right(before, F.lit(24)), HASH_NAMES),
-        "f_assigned": hit(before, r"""[:=]\s*["'`]?$"""), "f_quoted": hit(before, "[\"'`]$") * hit(after, "^[\"'`]"),
+        "f_assigned": hit(before, r"""[:=]\s*["'`]?$"""), "f_named": hit(before, f"{NAMED_BEFORE}$"), "f_quoted": hit(before, "[\"'`]$") * hit(after, "^[\"'`]"),
         "f_in_url": hit(before, "(https?:/*|www[.]|@)\\S*$"),
     }
     return findings.withColumns({k: v.cast("double") for k, v in values.items()})
@@ -103,7 +123,9 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
 
     Secrets: digests, mixed-case keys and prefixed keys under a secret's name.
     Not secrets: the same digests under a hash's name or in test paths, uuids, paths,
-    hosts, versions, plain numbers, joined words and placeholders.
+    hosts, versions, plain numbers, joined words and placeholders. Each stands in a text,
+    prose or lines of settings, from which ``find_candidates`` takes it as in a scan; what
+    else it finds there is no secret.
     """
     r = spark.range(0, rows, 1, 4).withColumn("s", F.sha2(F.concat(F.lit("finding "), F.col("id")), 256))
     pick = lambda at, n: F.pmod(F.conv(F.substring("s", at, 6), 16, 10).cast("long"), F.lit(n)).cast("int")
@@ -119,8 +141,9 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     digits = lambda at, n: F.lpad(F.conv(F.substring("s", at, 12), 16, 10), n, "7")
     uuid = F.concat_ws("-", F.substring(s, 1, 8), F.substring(s, 9, 4), F.substring(s, 13, 4), F.substring(s, 17, 4), F.substring(s, 21, 12))
     named = one(13, 'token = "', "api_key: '", "password=", "secret: ", "Authorization: Bearer ", 'SECRET_KEY = "', "token: ",
-                'TOKEN = "')
-    plain = one(13, "commit ", "sha1: ", "md5sum = ", 'checksum: "', "revision ", 'etag: "', "build id=", "hash ")
+                'TOKEN = "', "TOKEN=", "AWS_SECRET_ACCESS_KEY=", "export DB_PASSWORD_PROD=", "GITHUB_TOKEN=", 'CLIENT_SECRET="')
+    plain = one(13, "commit ", "sha1: ", "md5sum = ", 'checksum: "', "revision ", 'etag: "', "build id=", "hash ", "GIT_COMMIT=",
+                "IMAGE_DIGEST=")
     prose = one(13, "see ", "in the ", " and ", "https://", "mail to x@", "file ", "number ", "from ")
     names = F.concat_ws("/", word(19), F.concat(word(25), pick(31, 90).cast("string")), F.concat(word(37), F.lit(".py")))
     host = F.concat_ws(".", F.concat(word(19), pick(31, 90).cast("string")), word(25), F.lit("example.com"))
@@ -137,8 +160,16 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     path = F.when(kind == 19, one(55, "tests/test_login.py", "docs/examples/auth.md", "spec/fixtures/keys.yml")).otherwise(
         one(55, "src/app/main.py", "config/settings.env", "", "", "src3", "deploy/run.sh"))
     filler = F.concat_ws(" ", word(19), word(31), word(43), F.lit(""))
-    return r.select(candidate.alias("candidate"), F.concat(filler, lead).alias("before"), F.concat(quote, F.lit(" "), filler).alias("after"),
-                    path.alias("path"), label.cast("double").alias("label"))
+    setting = F.concat(F.upper(word(31)), F.lit("_"), F.upper(word(43)), F.lit("="), word(19), F.lit("\n"))
+    lines = lead.endswith("=") & (pick(57, 2) == 0)
+    # The names of one-line settings are followed by nothing but the end of the line.
+    text = F.when(lines, F.concat(setting, lead, candidate, F.lit("\n"), setting)).otherwise(
+        F.concat(filler, lead, candidate, quote, F.lit(" "), filler))
+    texts = r.select("id", text.alias("_t"), path.alias("path"), label.alias("_y"), candidate.alias("_v"))
+    found = _explode(texts.select(F.col("id").alias("uid"), F.col("id").alias("doc_id"), "_t", "path", "_y", "_v"), "_y", "_v")
+    # A finding of a part of the secret, or of more than it, counts as the secret.
+    same = F.contains("candidate", "_v") | F.contains("_v", "candidate")
+    return found.select("candidate", "before", "after", "path", F.when(same, F.col("_y")).otherwise(0).cast("double").alias("label"))
 
 
 def fit_forest(findings: DataFrame, trees: int = 40, depth: int = 9, seed: int = 5) -> PipelineModel:
@@ -186,7 +217,7 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, path: str | None
     confirmed = judge(found, model, threshold).filter("confirmed").groupBy("uid").agg(F.collect_set("i").alias("_i"))
     gaps, cands = _parts(F.col("_d.text"))
     joined = rows.join(confirmed, "uid", "left").select("_d", "_i", gaps.alias("_g"), cands.alias("_c"))
-    kept = F.transform("_c", lambda c, i: F.concat(F.col("_g")[i], F.when(F.array_contains("_i", i), mask).otherwise(c)))
+    kept = F.transform("_c", lambda c, i: F.concat(F.col("_g")[i], F.when(F.array_contains("_i", i), F.concat(_lead(c), F.lit(mask))).otherwise(c)))
     text = F.when(F.col("_i").isNull(), F.col("_d.text")).otherwise(
         F.concat(F.array_join(kept, ""), F.element_at("_g", -1)))
     changed = joined.select(*[text.alias("text") if c == "text" else F.col(f"_d.`{c}`").alias(c) for c in columns])
