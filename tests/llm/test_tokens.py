@@ -41,6 +41,12 @@ def test_same_ids_as_the_library(library):
         assert list(encoder.ids(text or "")) == library(text)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a \n"])
+def test_very_long_runs(library, run):
+    text = "start " + run * 2_000_000 + " end <|endoftext|>"
+    assert ByteEncoder(default_path()).ids(text).tolist() == library(text)
+
+
 def check_packing(rows, texts, library, capacity):
     rebuilt, sequences = {}, {}
     for r in rows:

@@ -29,7 +29,8 @@ class ByteEncoder:
     The vocabulary's merge order equals its id order, so the same ids come from
     its ranks alone, which is several times faster than the library on words it
     has not cached. Strings of special tokens inside a text become their id, as
-    the library does by default.
+    the library does by default. Texts with runs too long for the encoder's split, such as
+    a million blanks, are encoded by the library itself.
     """
 
     def __init__(self, path: str):
@@ -45,6 +46,19 @@ class ByteEncoder:
         self.encoding = tiktoken.Encoding(
             "byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special
         )
+        self.path, self.library = path, None
+
+    def _library_ids(self, text: str) -> np.ndarray:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
+        if not text:
+            return np.empty(0, np.uint32)
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return self._library_ids(text)
