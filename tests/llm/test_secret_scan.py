@@ -89,3 +89,19 @@ def test_padding_is_part_of_a_run_and_an_assignment_is_not(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted((r.doc_id, r.candidate) for r in ss.find_candidates(docs).collect()) == [
         (0, "dGhpcyBpcyBzb21lIHRleHQxMg=="), (1, "dGhpcyBpcyBzb21lIHRleHQxMg=="), (2, "LONG_SETTING_NAME_2"), (3, KEY)]
+
+
+def test_every_form_of_assignment_is_found(spark, forest):
+    secret = {'password     = "Tr0ub4dor&3"': "Tr0ub4dor&3", "password\t= Tr0ub4dor&3": "Tr0ub4dor&3", "password => 'Tr0ub4dor&3'": "Tr0ub4dor&3",
+              'passphrase = "Tr0ub4dor&3"': "Tr0ub4dor&3", "access_key: Ab3dEf7hIj2": "Ab3dEf7hIj2", "DB_PASSWORD_PROD=Tr0ub4dor&3": "Tr0ub4dor&3",
+              "postgres://app:Tr0ub4dor@db": "Tr0ub4dor", 'password := "Tr0(ub4;dor"': "Tr0(ub4;dor"}
+    other = ["password = settings.DB_PASSWORD", 'password: "${DB_PASSWORD}"', "token: required", "author: Johnson-Smith"]
+    docs = spark.createDataFrame(list(enumerate([*secret, *other])), "doc_id long, text string")
+    found = ss.judge(ss.find_candidates(docs), forest).collect()
+    assert {r.doc_id: r.candidate for r in found if r.doc_id < len(secret)} == dict(enumerate(secret.values()))
+    assert sorted(r.doc_id for r in found if r.confirmed) == list(range(len(secret)))
+
+
+def test_long_runs_of_names_end(spark):
+    texts = ["token" * 40_000 + " x", "pass " * 40_000, "a." * 100_000 + "=", "://" * 60_000, " " * 200_000 + "token" + " " * 200_000]
+    assert ss.find_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0

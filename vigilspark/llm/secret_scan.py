@@ -21,28 +21,33 @@ from ..session import configure, written
 
 LETTERS = r"A-Za-z0-9+/_.~-"
 NAME = r"[\w.-]"
-SECRET_WORDS = r"(?i:password|passwd|pwd|secret|token|apikey|api_key)"
-ASSIGN = r"""["']? ?[:=] ?["']?+"""
-VALUE = r"""[^\s"'<>{}()\[\],;]{8,}"""
+# Words of names for secrets; not passed, secretary, tokenizer or author.
+SECRET_NAMES = (r"(?i:pass(?:word|wd|phrase|code|key)|pass(?![a-z])|pwd|secret(?!ar)|token(?!i[sz])|api[_.-]?key|access[_.-]?key"
+                r"|private[_.-]?key|credential|bearer|auth(?!or(?:s?(?![a-z])|ed|ing|it)))")
+ASSIGN = r"""["'`]?\]?[ \t]*+[:=]{1,3}+>?+[ \t]*+(?:(?i:bearer|basic|token)[ \t]++)?+["'`]?+"""
+# Up to the closing quote, or up to a blank or bracket where no quote opened.
+VALUE = r"""(?:(?<=")[^\s"]{8,}+(?=")|(?<=')[^\s']{8,}+(?=')|(?<=`)[^\s`]{8,}+(?=`)|[^\s"'<>{}()\[\],;]{8,})"""
 # A whole name with a secret's word in it, up to its value; each name is passed over a fixed number of times.
-NAMED = rf"(?={NAME}++{ASSIGN}{VALUE})(?={NAME}*?{SECRET_WORDS}){NAME}++{ASSIGN}"
+NAMED = rf"(?={NAME}++{ASSIGN}{VALUE})(?={NAME}*?{SECRET_NAMES}){NAME}++{ASSIGN}"
 LEAD = rf"(?<!{NAME}){NAMED}"
+# A password of any length in the address of a server.
+LOGIN = r"""://[^\s/:@"'<>]*+:"""
+LOGIN_VALUE = r"""[^\s/?#@"'<>]++(?=@)"""
 # '=' ends a name; at the end of a run it is padding unless a value follows.
 PADDING = r"""(?:={1,2}(?!["'`]?[^\s"'`<>{}()\[\],;:.&]))?"""
 LONG_RUN = (rf"(?<![{LETTERS}])(?=[A-Za-z+/_.~-]*[0-9])(?!(?:[{LETTERS}]*[+/~])?+{NAMED})"
             rf"[{LETTERS}]{{15,}}[A-Za-z0-9+/_]{PADDING}")
-CANDIDATE = f"{LEAD}{VALUE}|{LONG_RUN}"
+CANDIDATE = f"{LEAD}{VALUE}|{LOGIN}{LOGIN_VALUE}|{LONG_RUN}"
 CONTEXT = 64  # characters kept on either side
 MASK = "[SECRET]"
 THRESHOLD = 0.5
 #: Generated labelled findings that the forest of the query learns from.
 FIT_ROWS = 6_000
-SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
 # The candidate is the value of a name with a secret's word in it.
 NAMED_BEFORE = rf"""{SECRET_NAMES}{NAME}*+["'`]?\]?\s*+[:=]{{1,3}}+>?+\s*+((Bearer|Basic|Token)\s++)?["'`]?"""
 HASH_NAMES = r"(?i)\b(sha-?\d*|md5(sum)?|commit|checksum|digest|hash|revision|rev|etag|uuid|guid|build|version|isbn|order|id)\b"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|spec|examples?|samples?|mocks?|fixtures?|docs?|readme|vendor|lock)([/_.-]|$)"
-PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|change-?me|your[-_]|x{4,}|0{6,}|123456|abcdef|redacted)"
+PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|change-?me|your[-_]|x{4,}|0{6,}|123456|abcdef|redacted|[$%{]\{|\{\{|%[(]|^\$[a-z_]+$)"
 # Words that names, paths and placeholders are made of; fixed values.
 DICTIONARY = (
     "the and that with this from for have not are was were will your you example sample dummy test tests value name "
@@ -54,7 +59,7 @@ DICTIONARY = (
 
 FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_turns", "f_vowel_turns", "f_distinct", "f_hex",
             "f_dictionary", "f_placeholder", "f_slashes", "f_dots", "f_dashes", "f_test_path", "f_secret_name", "f_hash_name",
-            "f_assigned", "f_named", "f_quoted", "f_in_url"]
+            "f_assigned", "f_named", "f_quoted", "f_in_url", "f_login"]
 
 
 def find_candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -72,7 +77,7 @@ def _parts(text: Column) -> tuple[Column, Column]:
 
 def _lead(match: Column) -> Column:
     """The part of a match before its candidate."""
-    return F.regexp_extract(match, f"^{LEAD}(?=.)", 0)
+    return F.regexp_extract(match, f"^(?:{NAME}++{ASSIGN}|{LOGIN})(?=.)", 0)
 
 
 def _explode(rows: DataFrame, *keep: str) -> DataFrame:
@@ -112,8 +117,8 @@ def with_features(findings: DataFrame) -> DataFrame:
         "f_dictionary": 1 - F.length(uncovered) / n, "f_placeholder": hit(c, PLACEHOLDER),
         "f_slashes": share("/"), "f_dots": share("."), "f_dashes": share("-"), "f_test_path": hit(path, TEST_PATH),
         "f_secret_name": hit(before, SECRET_NAMES), "f_hash_name": hit(F.right(before, F.lit(24)), HASH_NAMES),
-        "f_assigned": hit(before, r"""[:=]\s*["'`]?$"""), "f_named": hit(before, f"{NAMED_BEFORE}$"), "f_quoted": hit(before, "[\"'`]$") * hit(after, "^[\"'`]"),
-        "f_in_url": hit(before, "(https?:/*|www[.]|@)\\S*$"),
+        "f_assigned": hit(before, r"""[:=]>?\s*["'`]?$"""), "f_named": hit(before, f"{NAMED_BEFORE}$"), "f_quoted": hit(before, "[\"'`]$") * hit(after, "^[\"'`]"),
+        "f_in_url": hit(before, "(https?:/*|www[.]|@)\\S*$"), "f_login": hit(before, f"{LOGIN}$"),
     }
     return findings.withColumns({k: v.cast("double") for k, v in values.items()})
 
@@ -121,9 +126,11 @@ def with_features(findings: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     """Generated findings with labels, for when nobody has labelled any.
 
-    Secrets: digests, mixed-case keys and prefixed keys under a secret's name.
+    Secrets: digests, mixed-case keys, prefixed keys, short and word-like passwords under a
+    secret's name, and passwords in addresses.
     Not secrets: the same digests under a hash's name or in test paths, uuids, paths,
-    hosts, versions, plain numbers, joined words and placeholders. Each stands in a text,
+    hosts, versions, plain numbers, joined words, placeholders, and plain words
+    and references to variables under a secret's name. Each stands in a text,
     prose or lines of settings, from which ``find_candidates`` takes it as in a scan; what
     else it finds there is no secret.
     """
@@ -141,7 +148,9 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     digits = lambda at, n: F.lpad(F.conv(F.substring("s", at, 12), 16, 10), n, "7")
     uuid = F.concat_ws("-", F.substring(s, 1, 8), F.substring(s, 9, 4), F.substring(s, 13, 4), F.substring(s, 17, 4), F.substring(s, 21, 12))
     named = one(13, 'token = "', "api_key: '", "password=", "secret: ", "Authorization: Bearer ", 'SECRET_KEY = "', "token: ",
-                'TOKEN = "', "TOKEN=", "AWS_SECRET_ACCESS_KEY=", "export DB_PASSWORD_PROD=", "GITHUB_TOKEN=", 'CLIENT_SECRET="')
+                'TOKEN = "', "TOKEN=", "AWS_SECRET_ACCESS_KEY=", "export DB_PASSWORD_PROD=", "GITHUB_TOKEN=", 'CLIENT_SECRET="',
+                'passphrase = "', "passwd\t= ", 'password => "', "access_key: ", 'private_key := "', "credentials: ", 'db.auth = "', "api-key: ",
+                'config["password"] = "', 'password        = "', 'DB_PASS="', "db_password='", '"password": "')
     plain = one(13, "commit ", "sha1: ", "md5sum = ", 'checksum: "', "revision ", 'etag: "', "build id=", "hash ", "GIT_COMMIT=",
                 "IMAGE_DIGEST=")
     prose = one(13, "see ", "in the ", " and ", "https://", "mail to x@", "file ", "number ", "from ")
@@ -151,12 +160,27 @@ def labelled_findings(spark: SparkSession, rows: int = FIT_ROWS) -> DataFrame:
     joined = F.concat(word(19), word(25), word(37), word(43), pick(31, 90).cast("string"))
     holder = one(43, F.concat(F.lit("your-"), word(19), F.lit("-goes-here-1")), F.lit("xxxxxxxxxxxxxxxx1234"),
                  F.concat(word(19), F.lit("_example_123456")), F.lit("changeme00000000"), F.concat(F.lit("<"), word(19), F.lit("_placeholder1>")))
-    kind = pick(49, 20)
-    label = F.when(kind < 8, 1).otherwise(0)
-    candidate = (F.when(kind < 8, secret).when(kind < 11, hexes).when(kind < 12, uuid).when(kind < 13, names).when(kind < 14, host)
+    common = one(19, "sunshine", "dragon", "monkey", "football", "shadow", "winter", "summer", "princess", "charlie", "battery", "horse", "purple")
+    twin = one(25, "staple", "tiger", "rocket", "orange", "silver", "thunder", "coffee", "hunter")
+    mark, figures = one(31, "!", "&", "#", "-", ".", "$", "_", ""), pick(37, 990).cast("string")
+    # Passwords as people choose them, and short ones by chance.
+    short = one(43, F.concat(F.initcap(common), figures, mark), F.concat(common, mark, figures), F.concat(common, figures, twin),
+                F.concat(F.translate(F.initcap(common), "aeo", "430"), mark, figures), F.concat(F.initcap(common), mark, F.initcap(twin)),
+                F.substring(mixed, 1, 8), F.substring(mixed, 2, 10), F.substring(mixed, 3, 12), F.substring(mixed, 4, 16))
+    refer = one(43, "request.form.password", "os.environ.get", "settings.DB_PASSWORD", "string_value", "undefined", "required", "password_field",
+                "self._secret", "process.env.API_KEY", "${DB_PASSWORD}", "{{secret_key}}", "%(password)s", "$DB_PASSWORD", "get_password",
+                "function", F.concat(F.lit("https://"), host, F.lit("/login")), F.concat_ws("_", word(19), word(25)),
+                F.concat_ws(".", word(19), word(25)), F.concat(word(19), word(25)), F.concat_ws(".", F.lit("self"), word(19), word(25)))
+    blank = one(43, "password", "pass", "xxxxx", "${DB_PASS}", "secret", "your-password", "$PASSWORD", "changeme")
+    kind = pick(49, 28)
+    label = F.when((kind < 8) | kind.between(20, 23), 1).otherwise(0)
+    address = kind.isin(23, 26)
+    candidate = (F.when(kind < 8, secret).when(kind.between(20, 22), short).when(kind == 23, F.when(pick(57, 4) == 0, secret).otherwise(short))
+                 .when(kind == 26, blank).when(kind > 23, refer).when(kind < 11, hexes).when(kind < 12, uuid).when(kind < 13, names).when(kind < 14, host)
                  .when(kind < 15, version).when(kind < 16, digits(19, 16)).when(kind < 17, joined).when(kind < 19, holder).otherwise(secret))
-    lead = F.when((kind < 8) | (kind >= 17), named).when(kind < 12, plain).otherwise(prose)
-    quote = F.when(lead.endswith('"'), '"').when(lead.endswith("'"), "'").otherwise(" ")
+    login = F.concat(one(13, "postgres", "postgresql", "mysql", "https", "redis", "amqp", "mongodb"), F.lit("://"), one(7, "app", "admin", "root", "", "svc"), F.lit(":"))
+    lead = F.when(address, login).when((kind < 8) | (kind >= 17), named).when(kind < 12, plain).otherwise(prose)
+    quote = F.when(address, "@db").when(lead.endswith('"'), '"').when(lead.endswith("'"), "'").otherwise(" ")
     path = F.when(kind == 19, one(55, "tests/test_login.py", "docs/examples/auth.md", "spec/fixtures/keys.yml")).otherwise(
         one(55, "src/app/main.py", "config/settings.env", "", "", "src3", "deploy/run.sh"))
     filler = F.concat_ws(" ", word(19), word(31), word(43), F.lit(""))
