@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     binary_output,
     chat_format,
+    importance,
     license_scan,
     neighbours,
     ngram_join,
@@ -92,3 +93,8 @@ def op8(docs: DataFrame) -> DataFrame:
 @query("op10_nearest_neighbours", "embeddings")
 def op10(embeddings: DataFrame) -> DataFrame:
     return neighbours.nearest(embeddings)
+
+
+@query("op13_importance_resampling", "documents benchmark")
+def op13(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return importance.importance(docs, benchmark)
