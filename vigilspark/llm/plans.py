@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     binary_output,
     chat_format,
+    fingerprints,
     importance,
     license_scan,
     neighbours,
@@ -18,6 +19,7 @@ from . import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    turn_repair,
 )
 from .common import prepare
 
@@ -98,3 +100,13 @@ def op10(embeddings: DataFrame) -> DataFrame:
 @query("op13_importance_resampling", "documents benchmark")
 def op13(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return importance.importance(docs, benchmark)
+
+
+@query("op12_turn_repair", "conversations")
+def op12(conversations: DataFrame) -> DataFrame:
+    return turn_repair.repair_digest(turn_repair.damage(conversations), conversations)
+
+
+@query("op11_fingerprints", "documents")
+def op11(docs: DataFrame) -> DataFrame:
+    return fingerprints.compare_edited(docs)
