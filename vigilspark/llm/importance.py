@@ -12,6 +12,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -111,7 +112,7 @@ class WordDictionary:
         if not self.words:
             return self.payloads
         # Every word between two delimiters is in the dictionary, so each match is a word.
-        found = np.fromiter((i for _, i in self.automaton.iter(f" {piece.decode('latin-1')} ")), np.int64)
+        found = np.fromiter(map(itemgetter(1), self.automaton.iter(f" {piece.decode('latin-1')} ")), np.int64)
         return self.payloads[found]
 
 
@@ -155,18 +156,37 @@ def feature_buckets(words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([crc, pairs]) % np.uint32(buckets)).astype(np.int64)
 
 
-def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """How many features of all rows' ``text`` fall into each bucket; tasks send one sum per bucket."""
+def _kind(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def hashed(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Add ``features``: the buckets of ``text``'s features in order, as packed unsigned integers."""
+    kind = _kind(buckets)
+
+    @F.pandas_udf("binary")
+    def hash_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        dictionary = WordDictionary()
+        for batch in batches:
+            yield pd.Series([feature_buckets(words, buckets).astype(kind).tobytes()
+                             for words in word_payloads(batch.tolist(), dictionary)], dtype=object)
+
+    return texts.withColumn("features", hash_texts(F.col("text").cast("binary")))
+
+
+def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """How many ``features`` of all rows fall into each bucket; tasks send one sum per bucket."""
+    kind = _kind(buckets)
 
     def count(batches):
-        dictionary, total = WordDictionary(), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for words in word_payloads(batch["text"].to_pylist(), dictionary):
-                total += np.bincount(feature_buckets(words, buckets), minlength=buckets)
+            for packed in batch["features"].to_pylist():
+                total += np.bincount(np.frombuffer(packed, kind), minlength=buckets)
         held = np.flatnonzero(total)
         yield {"bucket": held.astype(np.int32), "n": total[held]}
 
-    parts = arrow_map(texts.select(F.col("text").cast("binary").alias("text")), "bucket int, n long", count)
+    parts = arrow_map(features.select("features"), "bucket int, n long", count)
     out = np.zeros(buckets, np.int64)
     # At most one row per bucket comes back, whatever the size of the corpus.
     for row in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -182,26 +202,25 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, target: DataFrame, seed: int = 7, buckets: int = BUCKETS, rows: bool = False) -> DataFrame:
-    """``doc_id, n_features, weight, score`` of every row, and the row itself as ``doc`` if asked for."""
-    gain = gains(bucket_counts(docs, buckets), bucket_counts(target, buckets))
-
-    @F.pandas_udf("n_features long, weight long")
-    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        dictionary = WordDictionary()
-        for texts in batches:
-            n, mean = [], []
-            for words in word_payloads(texts.tolist(), dictionary):
-                found = feature_buckets(words, buckets)
-                n.append(len(found))
-                mean.append(int(gain[found].sum()) // len(found) if len(found) else 0)
-            yield pd.DataFrame({"n_features": np.array(n, np.int64), "weight": np.array(mean, np.int64)})
+    """``doc_id, n_features, weight, score`` of every row, and the row itself as ``doc`` if asked for.
 
+    Texts are scanned once; counting and scoring both read the written buckets.
+    """
     doc = [F.struct("*").alias("doc")] if rows else []
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"), *doc)
-    out = named.withColumn("_w", weigh("_text")).select("doc_id", "_w.n_features", "_w.weight", *(["doc"] if rows else []))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *doc)
+    table = written(hashed(named, buckets).drop("text"), "features")
+    gain, kind = gains(bucket_counts(table, buckets), bucket_counts(hashed(target.select("text"), buckets), buckets)), _kind(buckets)
+
+    @F.pandas_udf("long")
+    def weigh(features: pd.Series) -> pd.Series:
+        found = (gain[np.frombuffer(packed, kind)] for packed in features)
+        return pd.Series([int(g.sum()) // len(g) if len(g) else 0 for g in found], dtype="int64")
+
     mark = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(mark.cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
+    n = (F.octet_length("features") / np.dtype(kind).itemsize).cast("long")
+    out = table.select("doc_id", n.alias("n_features"), weigh("features").alias("weight"), *(["doc"] if rows else []))
     return out.withColumn("score", F.col("weight") + noise.cast("long"))
 
 
