@@ -1,8 +1,9 @@
-"""Dense autoencoder trained by full-batch gradient descent over partitions.
+"""Dense autoencoder trained over partitions, full batch or in mini-batches.
 
-The weights fit in a closure; each epoch one Spark job sums the gradients of all
-rows. Per-partition sums are added up by Spark, one row per weight, so the
-driver reads as many numbers as there are weights whatever the data size.
+The weights fit in a closure. With a full batch each epoch is one Spark job that
+sums the gradients of all rows; with ``batch_size`` each round is one job of local
+steps whose weights are averaged (see ``training``). Either way the driver reads as
+many numbers as there are weights, whatever the data size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..functions.features import numeric_features
 from ..functions.scalars import align_dim
 from ..operators.scan import percentiles
 from ..session import written
+from . import training
 from .base import Artifact, Detector
 from .risk import reconstruction_risk
 
@@ -88,7 +90,7 @@ class Autoencoder(Detector):
 
     def __init__(
         self, hidden: tuple[int, ...] = (16, 8, 16), epochs: int = 50, lr: float = 0.01,
-        metric: str = "mse", output: str = "linear", seed: int = 42,
+        metric: str = "mse", output: str = "linear", seed: int = 42, batch_size: int | None = None, shards: int = 8,
     ):
         self.hidden = tuple(hidden)
         self.epochs = epochs
@@ -96,6 +98,8 @@ class Autoencoder(Detector):
         self.metric = metric
         self.output = output
         self.seed = seed
+        self.batch_size = batch_size
+        self.shards = shards
 
     def _features(self, df: DataFrame, dim: int | None = None) -> DataFrame:
         if "features" not in df.columns:
@@ -103,26 +107,18 @@ class Autoencoder(Detector):
         wide = F.col("features").cast("array<double>")
         return df.withColumn("features", align_dim(wide, dim) if dim else wide)
 
-    def _epoch(self, rows: DataFrame, flat: np.ndarray, dim: int) -> tuple[np.ndarray, float]:
+    def _gradient(self, dim: int) -> training.Gradient:
         hidden, output = self.hidden, self.output
 
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            layers = unpack(flat, dim, hidden)
+        def of_batch(flat: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, float, float]:
+            layers, x = unpack(flat, dim, hidden), _matrix(batch, dim)
             total, loss = np.zeros(len(flat)), 0.0
-            for batch in batches:
-                x = _matrix(batch, dim)
-                for at in range(0, len(x), _BLOCK):
-                    g, e = gradient(x[at : at + _BLOCK], layers, output)
-                    total, loss = total + g, loss + e
-            sums = pa.array(np.append(total, loss))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat) + 1, dtype=np.int32)), sums], names=["pos", "g"]
-            )
-
-        parts = rows.select("features").mapInArrow(partial, "pos int, g double")
-        summed = parts.groupBy("pos").agg(F.sum("g").alias("g")).toPandas().sort_values("pos")
-        values = summed["g"].to_numpy()
-        return values[:-1], float(values[-1])
+            for at in range(0, len(x), _BLOCK):
+                g, e = gradient(x[at : at + _BLOCK], layers, output)
+                total, loss = total + g, loss + e
+            return total, loss, float(len(x) * dim)
+
+        return of_batch
 
     def fit(self, df: DataFrame, params: dict | None = None) -> Artifact:
         for name, value in (params or {}).items():
@@ -135,17 +131,10 @@ class Autoencoder(Detector):
         # Shorter rows are padded to the widest one.
         rows = raw.select(align_dim(F.col("features"), dim).alias("features"))
         flat = start_weights(dim, self.hidden, self.seed)
-        first, second = np.zeros_like(flat), np.zeros_like(flat)
-        losses = []
-        for epoch in range(1, self.epochs + 1):
-            total, loss = self._epoch(rows, flat, dim)
-            g = total / (n * dim)
-            losses.append(loss / (n * dim))
-            # Adam with its usual constants.
-            first = 0.9 * first + 0.1 * g
-            second = 0.999 * second + 0.001 * g * g
-            step = (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-            flat = flat - self.lr * step
+        if self.batch_size:
+            flat, losses = training.mini_batches(rows, self._gradient(dim), flat, self.epochs, self.lr, self.batch_size, self.shards)
+        else:
+            flat, losses = training.full_batch(rows, self._gradient(dim), flat, self.epochs, self.lr)
         spark = df.sparkSession
         weights = spark.createDataFrame(
             [(i, float(w)) for i, w in enumerate(flat)], "pos int, weight double"

@@ -64,10 +64,10 @@ def pagerank(
     """PageRank of an undirected graph: ``node, rank``, summing to one.
 
     Stops when the ranks move by less than ``N * tol`` in total, or after
-    ``fixed_iter`` steps. Edges are shuffled and written once, spread by
-    ``(src, salt)``: a hub with more than ``hub_edges`` edges is cut into salted
-    pieces, so no bucket holds all its edges. Every step then shuffles only
-    ranks and map-side-combined contributions.
+    ``fixed_iter`` steps. Edges are shuffled and written once, bucketed by ``src``.
+    If a hub has more than ``hub_edges`` edges they are spread by ``(src, salt)``
+    instead: a hub is cut into salted pieces, so no bucket holds all its edges. Every
+    step then shuffles map-side-combined contributions, and with hubs the ranks too.
     """
     directed = both_ways(edges)
     degree = written(directed.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "degree")
@@ -79,36 +79,36 @@ def pagerank(
     hubs = degree.where(F.col("deg") > hub_edges).select(
         "src", F.ceil(F.col("deg") / hub_edges).cast("int").alias("pieces")
     )
-    salted = (
-        directed.join(hubs, "src", "left")
-        .select(
-            "src", "dst",
-            F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1))).cast("int").alias("salt"),
-        )
-    )
     spark = edges.sparkSession
     # Fewer buckets than shuffle partitions would make Spark shuffle the edges
     # again; more than the catalog's limit (100,000) are refused.
     shuffle_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle_partitions, min(int(facts["m"] // 5_000_000) + 1, 50_000))
-    table = _bucketed(salted, ["src", "salt"], buckets)
-    # A node's share per edge and the number of its pieces; fixed for all steps.
-    nodes = written(
+    # Without hubs a node's edges lie where its rank is summed, and nothing but the sums moves.
+    salt = [] if hubs.isEmpty() else ["salt"]
+    salted = (
+        directed.join(hubs, "src", "left").select(
+            "src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1))).cast("int").alias("salt"))
+        if salt else directed
+    )
+    table = _bucketed(salted, ["src", *salt], buckets)
+    # A node's share per edge and the number of its pieces; fixed for all steps. Bucketed
+    # like the sums of a step, which therefore meet it in place.
+    nodes = _bucketed(
         degree.join(hubs, "src", "left").select(
             F.col("src").alias("node"), "deg", F.coalesce("pieces", F.lit(1)).alias("pieces")
         ),
-        "nodes",
+        ["node"], shuffle_partitions,
     )
     ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"))
     steps = fixed_iter if fixed_iter is not None else max_iter
     for i in range(1, steps + 1):
+        pieces = [F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt")] if salt else []
         shares = ranks.join(nodes, "node").select(
-            F.col("node").alias("src"),
-            (F.col("rank") / F.col("deg")).alias("share"),
-            F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"),
+            F.col("node").alias("src"), (F.col("rank") / F.col("deg")).alias("share"), *pieces
         )
         # In an undirected graph every node receives something and none dangles.
-        moved = table.join(shares, ["src", "salt"]).groupBy("dst").agg(
+        moved = table.join(shares, ["src", *salt]).groupBy("dst").agg(
             ((1.0 - alpha) / n + alpha * F.sum("share")).alias("rank")
         ).withColumnRenamed("dst", "node")
         if fixed_iter is not None:

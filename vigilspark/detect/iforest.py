@@ -90,6 +90,41 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
 
 
+def _pool(share: float):
+    """Keeps each row with probability ``share``, decided by its mark.
+
+    Rows are drawn, not keys or distinct values: of equal rows within a batch the first has
+    the mark of its content, the others one of their place. So distinct rows are drawn alike
+    under any partitioning, and a row that fills batches has its share of the pool.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = np.uint64(TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            mark = batch.column("_copy").to_numpy().view(np.uint64)
+            first = np.zeros(len(mark), bool)
+            first[np.unique(mark, return_index=True)[1]] = True
+            place = at + np.arange(1, len(mark) + 1, dtype=np.uint64)
+            at = at + np.uint64(len(mark))
+            copy = np.where(first, mark, _mixed(mark ^ _mixed(place)))
+            kept = np.flatnonzero((_mixed(copy) >> np.uint64(11)) < share * float(1 << 53))
+            if len(kept):
+                some = batch.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([some.column("_k"), some.column("features"), pa.array(copy[kept].view(np.int64))], names=["_k", "features", "_copy"])
+
+    return run
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """One round of a public 64-bit mixing function."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 class IsolationForest(Detector):
     kind = "isolation_forest"
 
@@ -111,19 +146,14 @@ class IsolationForest(Detector):
     def samples(self, df: DataFrame, n: int) -> DataFrame:
         """(tree, features): at most ``max_samples`` rows for every tree.
 
-        One pass keeps a pool whose expected size does not grow with the data;
-        the trees then draw from the pool only.
+        One pass without a shuffle keeps a pool whose expected size does not grow with
+        the data; the trees then draw from the pool only.
         """
         size = self._psi(n)
         pool_rows = min(n, 2 * size * self.n_estimators)
-        # Rows are drawn, not keys: each distinct row has its expected number of copies
-        # in the pool, the fraction decided by its hash, however its key repeats.
-        rows = df.groupBy(F.col(self.key).alias("_k"), "features").agg(F.count(F.lit(1)).alias("_c"))
-        expected = F.col("_c") * F.lit(pool_rows / n)
-        part = _uniform(F.col("_k"), F.xxhash64("features"), F.lit(self.seed)) < expected - F.floor(expected)
-        copies = (F.floor(expected) + part.cast("long")).cast("int")
-        pool = rows.withColumn("_n", copies).where(F.col("_n") > 0).select(
-            "_k", "features", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+        mark = F.xxhash64(F.col(self.key), F.xxhash64("features"), F.lit(self.seed))
+        rows = df.select(F.col(self.key).alias("_k"), "features", mark.alias("_copy"))
+        pool = rows.mapInArrow(_pool(pool_rows / n), rows.schema)
         share = min(1.0, 3.0 * size / pool_rows)
         trees = F.sequence(F.lit(0), F.lit(self.n_estimators - 1))
         ticket = lambda t: _uniform(F.col("_k"), F.xxhash64("features"), F.col("_copy"), t, F.lit(self.seed + 1))

@@ -70,8 +70,13 @@ def merge_entities(
     ``first_seen`` becomes the earliest time known; ``keep_first_seen`` leaves
     that of an already known entity untouched even when a late row is older.
     """
+    return merge_profiles(entities, entity_rollup(anomalies), keep_first_seen)
+
+
+def merge_profiles(entities: DataFrame, rollup: DataFrame, keep_first_seen: bool = False) -> DataFrame:
+    """Fold the rollup of new anomalies into the entity table, as ``merge_entities`` does."""
     old = entities.withColumn("_old", F.col("first_seen"))
-    new = entity_rollup(anomalies).withColumn("_old", F.lit(None).cast(entities.schema["first_seen"].dataType))
+    new = rollup.withColumn("_old", F.lit(None).cast(entities.schema["first_seen"].dataType))
     first = F.min("first_seen")
     if keep_first_seen:
         first = F.coalesce(F.max("_old"), first)

@@ -10,6 +10,7 @@ from ..detect.base import GroupFunction, apply_detector
 from ..detect.iforest import IsolationForest
 from ..detect.pca import PcaDetector
 from ..detect.registry import latest_artifact, load_artifact, save_artifact
+from ..detect.sequence import SequenceDetector
 from ..detect.risk import centrality_risk, outlier_risk, percentile_threshold, reconstruction_risk
 from ..detect.steps import grid, run_steps, sweep
 from ..detect.volume import VolumeDetector
@@ -19,6 +20,8 @@ from ..operators import aggregates as A
 from ..rules import fire as R
 from ..rules.graph import parse_graph, relevant, rule_issues
 from ..session import scratch_path, written
+from ..sources import snapshots
+from ..streaming import status
 from ..streaming import streams as T
 from . import graphs
 from .analyst import ENTITIES, KEPT, OPEN, R6
@@ -286,6 +289,26 @@ def _(t):
                        ((F.col("e4") < F.col("e2")) & (F.col("e2") < F.col("e0"))).alias("falls_with_k"))
 
 
+@query("m07_sequence", f"""
+WITH r AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, value) - 1 AS pos FROM events),
+w AS (SELECT user_id, ts, value, pos, unnest(range(greatest(0, CAST(floor((pos - 12) / 8.0) AS BIGINT) + 1), pos // 8 + 1)) AS "window" FROM r)
+SELECT CAST(user_id AS VARCHAR) AS entity_id, "window", min(ts) AS first_at, max(ts) AS last_at, CAST(count(*) AS INT) AS "rows",
+ {R6.format("CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)")} AS total, true AS scored
+FROM w GROUP BY user_id, "window" HAVING "window" = 0 OR max(pos) >= ("window" - 1) * 8 + 12""")
+def _(t):
+    """Windows of 12 events, one every 8, of each user, and that every one of them has an error of the fitted network."""
+    rows = t.events.select(F.col("user_id").cast("string").alias("entity_id"), "ts", "event_id", "value", F.hour("ts").alias("hour"))
+    detector = SequenceDetector(order=("ts", "event_id"), columns=["value", "hour"], length=12, step=8, hidden=8, epochs=4)
+    artifact = detector.fit(rows)
+    falls = artifact.params["losses"][-1] < artifact.params["losses"][0]
+    totals = detector.windows(rows).select("entity_id", "window", F.aggregate(
+        F.transform("steps", lambda s: s[0].cast("decimal(18,2)")), F.lit(0).cast("decimal(28,2)"),
+        lambda a, x: (a + x).cast("decimal(28,2)")).cast("double").alias("total"))
+    scored = detector.errors(rows, artifact).join(totals, ["entity_id", "window"])
+    return scored.select("entity_id", "window", "first_at", "last_at", "rows", S.round6(F.col("total")).alias("total"),
+                         ((F.col("error") >= 0) & F.lit(falls)).alias("scored"))
+
+
 PAIRS = """(SELECT DISTINCT least(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS a, greatest(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS b FROM edges)"""
 DIRECTED = f"""(SELECT a AS src, b AS dst FROM {PAIRS} UNION ALL SELECT b, a FROM {PAIRS} WHERE a <> b)"""
 
@@ -476,6 +499,31 @@ def _(t):
     )
 
 
+BEFORE = "(SELECT id, entity_id, risk_score FROM anomalies WHERE timestamp < TIMESTAMP '2024-01-30 00:00:00')"
+AFTER = """(SELECT id, entity_id, CASE WHEN anomaly_type = 'error' AND timestamp >= TIMESTAMP '2024-01-23 00:00:00' THEN risk_score / 2 ELSE risk_score END AS risk_score
+ FROM anomalies WHERE NOT (anomaly_type = 'signup' AND timestamp < TIMESTAMP '2024-01-05 00:00:00'))"""
+
+
+@query("t01_snapshot_changes", f"""
+SELECT 'anomaly_changed' AS channel, CASE WHEN b.id IS NULL THEN 'INSERT' WHEN a.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+ coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN b.entity_id ELSE a.entity_id END AS entity_id,
+ CASE WHEN a.id IS NULL THEN b.risk_score ELSE a.risk_score END AS risk_score
+FROM {BEFORE} b FULL JOIN {AFTER} a ON a.id = b.id
+WHERE b.id IS NULL OR a.id IS NULL OR a.entity_id IS DISTINCT FROM b.entity_id OR a.risk_score IS DISTINCT FROM b.risk_score""")
+def _(t):
+    """Yesterday's table against today's: new anomalies, corrected risks, signups past their time."""
+    rows = t.anomalies.select("id", "entity_id", "risk_score", "timestamp", "anomaly_type")
+    halved = (F.col("anomaly_type") == "error") & (F.col("timestamp") >= F.lit("2024-01-23").cast("timestamp_ntz"))
+    after = rows.where(~((F.col("anomaly_type") == "signup") & (F.col("timestamp") < F.lit("2024-01-05").cast("timestamp_ntz"))))
+    after = after.withColumn("risk_score", F.when(halved, F.col("risk_score") / 2).otherwise(F.col("risk_score")))
+    paths = [scratch_path(t.spark, "snapshot") for _ in range(2)]
+    for path, df in zip(paths, (rows.where(F.col("timestamp") < F.lit("2024-01-30").cast("timestamp_ntz")), after)):
+        snapshots.write_snapshot(df.drop("timestamp", "anomaly_type"), path, "id", buckets=16)
+    feed = T.change_feed(snapshots.snapshot_changes(t.spark, *paths, "id"), "anomaly")
+    payload = F.from_json("payload", "operation string, id long, entity_id string, risk_score double")
+    return feed.select("channel", payload.alias("p")).select("channel", "p.*")
+
+
 @query("t02_entity_rollup_stream", f"SELECT * FROM {ENTITIES}")
 def _(t):
     path, progress = _paths(t, "rollup")
@@ -529,6 +577,27 @@ def _(t):
     )
 
 
+@query("t05_status_changes", """
+SELECT CAST(run_id AS VARCHAR) AS job_id, ts AS at, id AS seq, e.event, status, e.progress, CASE WHEN e.event = 'status' THEN CAST(id % 100 AS BIGINT) END AS epoch_current
+FROM (SELECT *, lag(status) OVER w AS before, row_number() OVER w AS n,
+  coalesce(sum(CASE WHEN status IN ('succeeded', 'failed') THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+ FROM run_status WINDOW w AS (PARTITION BY run_id ORDER BY ts, id)) r
+JOIN (VALUES ('status', 0.5e0), ('done', NULL)) AS e(event, progress)
+ ON CASE e.event WHEN 'status' THEN r.n = 1 OR r.before IS DISTINCT FROM r.status ELSE r.status IN ('succeeded', 'failed') END
+WHERE r.ended = 0""")
+def _(t):
+    """Each run's events up to its end, read back from their payloads."""
+    path, progress = _paths(t, "status")
+    jobs = _stream(t, "run_status").select(
+        F.col("run_id").alias("id"), "status", F.col("ts").alias("at"), F.col("id").alias("seq"), F.lit(0.5).alias("progress"),
+        (F.col("id") % 100).alias("epoch_current"))
+    status.write_status_events(jobs, path, progress)
+    sent = status.as_messages(t.spark.read.schema(status.EVENTS).parquet(path))
+    payload = F.from_json("data", "status string, progress double, epoch_current bigint")
+    return sent.select("job_id", "at", "seq", "event", payload.alias("p")).select(
+        "job_id", F.col("at").cast("timestamp_ntz").alias("at"), "seq", "event", "p.*")
+
+
 @query("t06_ingest_stream", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def _(t):
     source = scratch_path(t.spark, "proxy")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import span
 from ..operators.joins import ALERT_KEYS, with_case_flags
+from ..operators.profiles import merge_into, read_profiles
 from ..operators.scan import null_safe_join
 from ..operators.suppress import suppress
 from ..rules.fire import could_fire, match, required_flags
@@ -114,24 +115,21 @@ def entity_rollup_stream(stream: DataFrame) -> DataFrame:
     )
 
 
-def write_rollup(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the entity table current: each batch writes the entities it changed."""
+def write_rollup(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> None:
+    """Keep the entity table current: each batch is merged as a generation of its own number.
+
+    A batch that runs again after a failure replaces its own generation.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        merge_into(batch, path, batch_id, buckets)
 
-    run_to_end(
-        entity_rollup_stream(stream).writeStream.outputMode("update").foreachBatch(save), checkpoint
-    )
+    run_to_end(stream.writeStream.foreachBatch(save), checkpoint)
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of every entity over all batches."""
-    rows = spark.read.parquet(path)
-    keys = ["entity_id", "entity_type"]
-    fields = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.col("batch")).alias("_r"))
-    return newest.select(*keys, "_r.*")
+    """The entity table after the newest batch; one generation is read, however many batches there were."""
+    return read_profiles(spark, path)
 
 
 # ------------------------------------------------------------------ rules
