@@ -47,9 +47,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """Write once, pre-shuffled by ``keys``, so that every later join reads it in place."""
+    return _in_buckets(df.repartition(buckets, *keys), keys, buckets)
+
+
+def _in_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """The same for rows that a shuffle by ``keys`` into as many partitions has just left in place."""
     spark = df.sparkSession
     name = f"vigil_edges_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer = df.write.bucketBy(buckets, *keys).sortBy(*keys)
     writer.option("path", scratch_path(spark, "edges")).saveAsTable(name)
     table = spark.table(name)
     # The plan holds the files and their layout; the name is not needed any more.
@@ -57,33 +62,24 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return table
 
 
-def pagerank(
-    edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6,
-    fixed_iter: int | None = None, hub_edges: int = 200_000, keep_every: int = 5,
-) -> DataFrame:
-    """PageRank of an undirected graph: ``node, rank``, summing to one.
+def adjacency(edges: DataFrame, hub_edges: int = 200_000) -> tuple[DataFrame, list[str], DataFrame]:
+    """Edges in both directions, shuffled and written once; their keys; and ``node, deg, pieces`` of every node.
 
-    Stops when the ranks move by less than ``N * tol`` in total, or after
-    ``fixed_iter`` steps. Edges are shuffled and written once, bucketed by ``src``.
-    If a hub has more than ``hub_edges`` edges they are spread by ``(src, salt)``
-    instead: a hub is cut into salted pieces, so no bucket holds all its edges. Every
-    step then shuffles map-side-combined contributions, and with hubs the ranks too.
+    Buckets follow ``src``. If a node has more than ``hub_edges`` edges they follow ``(src, salt)``
+    instead, and such a node is cut into ``pieces``, so no bucket holds all its edges. The node table
+    is bucketed like a shuffle by node, which therefore meets it in place.
     """
     directed = both_ways(edges)
     degree = written(directed.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "degree")
-    facts = degree.agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("m")).first()
-    n = facts["n"]
-    if not n:
-        raise ValueError("the graph has no edges")
+    m = degree.agg(F.sum("deg")).first()[0] or 0
     # At most 1/hub_edges of all edges can be hubs.
     hubs = degree.where(F.col("deg") > hub_edges).select(
         "src", F.ceil(F.col("deg") / hub_edges).cast("int").alias("pieces")
     )
-    spark = edges.sparkSession
     # Fewer buckets than shuffle partitions would make Spark shuffle the edges
     # again; more than the catalog's limit (100,000) are refused.
-    shuffle_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffle_partitions, min(int(facts["m"] // 5_000_000) + 1, 50_000))
+    shuffle_partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shuffle_partitions, min(int(m // 5_000_000) + 1, 50_000))
     # Without hubs a node's edges lie where its rank is summed, and nothing but the sums moves.
     salt = [] if hubs.isEmpty() else ["salt"]
     salted = (
@@ -91,24 +87,41 @@ def pagerank(
             "src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1))).cast("int").alias("salt"))
         if salt else directed
     )
-    table = _bucketed(salted, ["src", *salt], buckets)
-    # A node's share per edge and the number of its pieces; fixed for all steps. Bucketed
-    # like the sums of a step, which therefore meet it in place.
-    nodes = _bucketed(
-        degree.join(hubs, "src", "left").select(
-            F.col("src").alias("node"), "deg", F.coalesce("pieces", F.lit(1)).alias("pieces")
-        ),
-        ["node"], shuffle_partitions,
+    nodes = degree.join(hubs, "src", "left").select(
+        F.col("src").alias("node"), "deg", F.coalesce("pieces", F.lit(1)).alias("pieces")
     )
+    return _bucketed(salted, ["src", *salt], buckets), ["src", *salt], _bucketed(nodes, ["node"], shuffle_partitions)
+
+
+def _to_edges(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``node`` and ``pieces``, one for each place where the node's edges lie."""
+    pieces = [F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt")] if "salt" in keys else []
+    rest = [c for c in rows.columns if c not in ("node", "pieces")]
+    return rows.select(F.col("node").alias("src"), *rest, *pieces)
+
+
+def pagerank(
+    edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6,
+    fixed_iter: int | None = None, hub_edges: int = 200_000, keep_every: int = 5,
+) -> DataFrame:
+    """PageRank of an undirected graph: ``node, rank``, summing to one.
+
+    Stops when the ranks move by less than ``N * tol`` in total, or after
+    ``fixed_iter`` steps. Edges are shuffled and written once, bucketed by ``src``.
+    If a hub has more than ``hub_edges`` edges they are spread by ``(src, salt)``
+    instead: a hub is cut into salted pieces, so no bucket holds all its edges. Every
+    step then shuffles map-side-combined contributions, and with hubs the ranks too.
+    """
+    table, keys, nodes = adjacency(edges, hub_edges)
+    n = nodes.count()
+    if not n:
+        raise ValueError("the graph has no edges")
     ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"))
     steps = fixed_iter if fixed_iter is not None else max_iter
     for i in range(1, steps + 1):
-        pieces = [F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt")] if salt else []
-        shares = ranks.join(nodes, "node").select(
-            F.col("node").alias("src"), (F.col("rank") / F.col("deg")).alias("share"), *pieces
-        )
+        shares = ranks.join(nodes, "node").select("node", "pieces", (F.col("rank") / F.col("deg")).alias("share"))
         # In an undirected graph every node receives something and none dangles.
-        moved = table.join(shares, ["src", *salt]).groupBy("dst").agg(
+        moved = table.join(_to_edges(shares, keys), keys).groupBy("dst").agg(
             ((1.0 - alpha) / n + alpha * F.sum("share")).alias("rank")
         ).withColumnRenamed("dst", "node")
         if fixed_iter is not None:
@@ -144,6 +157,51 @@ def k_hop(edges: DataFrame, start: list[str] | DataFrame, k: int) -> DataFrame:
     return visited
 
 
+#: Starts that one walk carries, one bit each.
+STARTS = 63
+
+
+def reach_step(table: DataFrame, keys: list[str], nodes: DataFrame, hops: list[DataFrame]) -> DataFrame:
+    """``node, mask`` of what the last of ``hops`` reaches over one edge and no hop has reached before.
+
+    Masks are merged before and after the one shuffle, by ``dst``; edges, nodes and hops lie in
+    buckets and stay where they are (with hubs the last hop is spread to their pieces).
+    """
+    front = hops[-1] if len(keys) == 1 else hops[-1].join(nodes.select("node", "pieces"), "node")
+    reached = table.join(_to_edges(front, keys), keys).groupBy("dst").agg(F.bit_or("mask").alias("mask"))
+    reached = reached.withColumnRenamed("dst", "node")
+    known = F.lit(0).cast("long")
+    for i, hop in enumerate(hops):
+        reached = reached.join(hop.select("node", F.col("mask").alias(f"m{i}")), "node", "left")
+        known = known.bitwiseOR(F.coalesce(f"m{i}", F.lit(0).cast("long")))
+    return reached.select("node", F.col("mask").bitwiseAND(F.bitwise_not(known)).alias("mask")).where("mask <> 0")
+
+
+def k_hop_many(edges: DataFrame, starts: list, k: int, hub_edges: int = 200_000) -> DataFrame:
+    """``start, node, hop``: nodes within ``k`` hops of each start, with the smallest hop count.
+
+    Up to 63 starts walk together, as bits of one mask per node; a longer list walks in groups.
+    Starts that are no nodes reach nothing.
+    """
+    spark = edges.sparkSession
+    table, keys, nodes = adjacency(edges, hub_edges)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names, found = sorted({str(s) for s in starts if s is not None}), None
+    for at in range(0, len(names), STARTS):
+        group = names[at : at + STARTS]
+        first = spark.createDataFrame([(name, 1 << i) for i, name in enumerate(group)], "node string, mask bigint")
+        hops = [_bucketed(first.join(nodes.select("node"), "node", "left_semi"), ["node"], partitions)]
+        for _ in range(k):
+            hops.append(_in_buckets(reach_step(table, keys, nodes, hops), ["node"], partitions))
+        bits = F.filter(F.sequence(F.lit(0), F.lit(len(group) - 1)),
+                        lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+        start = F.element_at(F.array(*[F.lit(name) for name in group]), F.col("bit") + 1)
+        for hop, reached in enumerate(hops):
+            rows = reached.select("node", F.explode(bits).alias("bit")).select(start.alias("start"), "node", F.lit(hop).alias("hop"))
+            found = rows if found is None else found.unionByName(rows)
+    return found if found is not None else spark.createDataFrame([], "start string, node string, hop int")
+
+
 class CentralityDetector(Detector):
     """Central nodes of a graph as risky entities."""
 

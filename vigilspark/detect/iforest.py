@@ -85,6 +85,17 @@ def mean_depth(points: np.ndarray, trees: list[dict[str, np.ndarray]]) -> np.nda
     return total / max(len(trees), 1)
 
 
+def prefix_depths(points: np.ndarray, trees: list[dict[str, np.ndarray]], sizes: list[int]) -> np.ndarray:
+    """Mean path lengths over the first trees, one column per number of trees; each tree is walked once."""
+    out, total, done = np.zeros((len(points), len(sizes))), np.zeros(len(points)), 0
+    for i in np.argsort(sizes):
+        more = trees[done : sizes[i]]
+        total = total + mean_depth(points, more) * len(more)
+        done = max(done, min(sizes[i], len(trees)))
+        out[:, i] = total / max(done, 1)
+    return out
+
+
 def _uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends only on the given values."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
@@ -231,3 +242,43 @@ class IsolationForest(Detector):
         if "entity_id" not in df.columns:
             out = out.withColumn("entity_id", F.col(self.key).cast("string"))
         return out.drop("features")
+
+
+def sweep_forest(
+    df: DataFrame, configs: list[dict], key: str = "entity_id", max_samples: int | str = "auto", seed: int = 42,
+    experiment_id: str = "sweep",
+) -> DataFrame:
+    """Forests of several sizes and contaminations as experiment runs, from one forest and one scan.
+
+    A smaller forest is the first trees of the largest one. The features are read to grow that
+    forest and once to score them for all sizes; thresholds and shares of all configurations come
+    from the scores in two further passes, however many configurations there are.
+    """
+    sizes = sorted({int(c["n_estimators"]) for c in configs})
+    names = {f"q{i}": q for i, q in enumerate(sorted({float(c["contamination"]) for c in configs}))}
+    forest = IsolationForest(n_estimators=sizes[-1], max_samples=max_samples, seed=seed, key=key)
+    rows = written(forest._features(df).select(key, "features"), "features")
+    artifact = forest.grow_forest(rows)
+    trees = forest_arrays(artifact.tables["nodes"].toPandas())
+    norm = average_path(artifact.params["sample_size"]) or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            scores = -np.power(2.0, -prefix_depths(points, trees, sizes) / norm)
+            yield pa.RecordBatch.from_arrays([pa.array(list(scores), pa.list_(pa.float64()))], names=["scores"])
+
+    scores = written(rows.select("features").mapInArrow(run, "scores array<double>"), "scores")
+    flat = scores.select(F.posexplode("scores").alias("size", "score"))
+    limits = percentiles(flat, "score", names, ["size"])
+    counted = flat.join(limits, "size").groupBy("size").agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(q).alias(q) for q in names], *[F.count_if(F.col("score") < F.col(q)).alias(f"below_{q}") for q in names])
+    # One row per forest size.
+    found = {sizes[r["size"]]: r for r in counted.collect()}
+    of = {q: name for name, q in names.items()}
+    runs = []
+    for i, config in enumerate(configs):
+        row, q = found[int(config["n_estimators"])], of[float(config["contamination"])]
+        runs.append((i, experiment_id, {k: str(v) for k, v in config.items()}, {"flagged": row[f"below_{q}"] / row["n"], "threshold": row[q]}))
+    table = df.sparkSession.createDataFrame(runs, "id int, experiment_id string, config map<string,string>, values map<string,double>")
+    return table.select("id", "experiment_id", "config", F.to_json("values").alias("metrics"))

@@ -7,6 +7,9 @@ that can shrink (open cases, recent alerts) is reduced to distinct keys first.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,10 +266,24 @@ def feedback_rates(anomalies: DataFrame, feedback: DataFrame) -> DataFrame:
     )
 
 
-def hash_files(spark, path: str, pattern: str = "*") -> DataFrame:
-    """Path below the folder, SHA-256 and size of every file in it.
+def _opened(path: str):
+    """A stream over a file of any file system that Arrow knows; runs in a task."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream(unquote(urlparse(path).path))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner)
 
-    A file is read as one value, so it must be smaller than 2 GiB.
+
+def hash_files(spark, path: str, pattern: str = "*", block: int = 4 << 20, opened=_opened) -> DataFrame:
+    """Path below the folder, SHA-256 and size of every file in it that is not empty (Spark lists no empty ones).
+
+    Rows carry paths only. A task opens a file and hashes it block by block, so a file of any size
+    takes the memory of one block. ``opened`` makes a binary stream of a full path; give one for a
+    file system that Arrow cannot open.
     """
     base = path.rstrip("/").split("://")[-1].removeprefix("file:")
     files = (
@@ -274,11 +291,23 @@ def hash_files(spark, path: str, pattern: str = "*") -> DataFrame:
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
+        .select("path", "length")
     )
-    return files.select(
+
+    def digest(batches):
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                sha = hashlib.sha256()
+                with opened(name) as stream:
+                    while piece := stream.read(block):
+                        sha.update(piece)
+                found.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "length", "actual_hash"])
+
+    return files.mapInArrow(digest, "path string, length long, actual_hash string").select(
         F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})").alias("file"),
-        F.sha2("content", 256).alias("actual_hash"),
-        F.col("length").alias("bytes"),
+        "actual_hash", F.col("length").alias("bytes"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..detect import graph as G
 from ..detect.autoencoder import Autoencoder
 from ..detect.base import GroupFunction, apply_detector
-from ..detect.iforest import IsolationForest
+from ..detect.iforest import IsolationForest, sweep_forest
 from ..detect.pca import PcaDetector
 from ..detect.registry import latest_artifact, load_artifact, save_artifact
 from ..detect.sequence import SequenceDetector
@@ -372,6 +372,17 @@ def _(t):
     return G.k_hop(pairs, ["7"], 3)
 
 
+@query("m12_many_starts", """
+WITH RECURSIVE d AS (SELECT o_custkey AS s, o_orderkey AS t FROM orders UNION SELECT o_orderkey, o_custkey FROM orders),
+ walk(start, node, hop) AS (SELECT n_nationkey, CAST(n_nationkey AS BIGINT), 0 FROM nation WHERE n_nationkey IN (SELECT s FROM d)
+  UNION SELECT walk.start, d.t, walk.hop + 1 FROM walk JOIN d ON d.s = walk.node WHERE walk.hop < 3)
+SELECT CAST(start AS VARCHAR) AS start, CAST(node AS VARCHAR) AS node, min(hop) AS hop FROM walk GROUP BY 1, 2""")
+def _(t):
+    """From as many starts as there are nations, over the graph of customers and orders."""
+    starts = [r[0] for r in t.nation.select("n_nationkey").collect()]
+    return G.k_hop_many(G.build_edges(t.orders, "o_custkey", "o_orderkey"), starts, 3)
+
+
 @query("m13_artifact_round_trip", "SELECT count(DISTINCT user_id) AS entities, 0 AS differing FROM events")
 def _(t):
     from datetime import datetime
@@ -404,6 +415,20 @@ def _(t):
     return runs.agg(F.count(F.lit(1)).cast("int").alias("runs"), F.bool_and(close).alias("shares_follow"))
 
 
+@query("m14_sweep_one_scan", """
+SELECT n AS n_estimators, c AS contamination, true AS share_follows, e.entities
+FROM (VALUES ('10'), ('20'), ('40')) AS a(n), (VALUES ('0.05'), ('0.1')) AS b(c), (SELECT count(DISTINCT user_id) AS entities FROM events) e""")
+def _(t):
+    """Six configurations of one forest; each flags its share of the entities, to one entity or two in a hundred."""
+    rows = written(_profiles(t), "profiles")
+    entities = rows.agg(F.count(F.lit(1))).scalar()
+    runs = sweep_forest(rows, grid({"n_estimators": [10, 20, 40], "contamination": [0.05, 0.1]}))
+    flagged = F.get_json_object("metrics", "$.flagged").cast("double")
+    config = {c: F.col("config")[c].alias(c) for c in ("n_estimators", "contamination")}
+    return runs.select(*config.values(), (F.abs(flagged - F.col("config")["contamination"].cast("double")) <= 0.02 + 1 / entities).alias("share_follows"),
+                       entities.alias("entities"))
+
+
 @query("m15_ordered_steps", "SELECT count(DISTINCT user_id) AS entities, 3 AS completed FROM events")
 def _(t):
     steps = [

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import features as P
 from ..functions import scalars as S
+from ..operators import aggregates as A
 from ..session import scratch_path
 from ..sources import catalog, readers, sinks
 from .analyst import R6
@@ -71,6 +74,21 @@ def _(t):
     return catalog.ingest_dataset(t.spark, root).select("log_type", "status", "row_count", "run_status")
 
 
+@query("s05_history", """
+SELECT id, status, "rows", documents, failed, floor("rows" / 1024 * 100 + 0.5) / 100 AS spark, floor(documents / 1024 * 100 + 0.5) / 100 AS search
+FROM (SELECT 'run-1' AS id, 'completed' AS status, s.n + p.n AS "rows", s.n + p.n AS documents, CAST(0 AS BIGINT) AS failed
+ FROM (SELECT count(*) AS n FROM supplier) s, (SELECT count(*) AS n FROM part) p)""")
+def _(t):
+    """Counts observed by an ingest, through the history (A18) and the totals (A19)."""
+    root = scratch_path(t.spark, "dataset")
+    t.supplier.write.option("sep", "\t").csv(f"{root}/dns")
+    t.part.write.options(sep=" ", header="true", encoding="ISO-8859-1").csv(f"{root}/proxy")
+    t.region.select("r_name").write.text(f"{root}/odd")
+    runs = catalog.ingest_to_tables(t.spark, root, scratch_path(t.spark, "ingested"), "run-1", datetime(2024, 1, 30, 12))
+    day = A.ingestion_history(runs, AS_OF).where(F.col("day") == F.lit("2024-01-30").cast("date")).select("spark", "search")
+    return A.ingestion_totals(runs).select("*", day.select("spark").scalar().alias("spark"), day.select("search").scalar().alias("search"))
+
+
 def _group(t):
     root = scratch_path(t.spark, "group")
     t.customer.write.options(sep=" ", header="true").csv(f"{root}/accounts")

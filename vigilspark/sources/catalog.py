@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from . import readers
 from .readers import FORMATS, TEXT_SUFFIXES, log_options, suffix
+from .sinks import export_documents
 
 
 def _name(table: str) -> str:
@@ -89,6 +93,37 @@ def ingest_dataset(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def ingest_to_tables(
+    spark: SparkSession, path: str, target: str, run_id: str, at: datetime | None = None, documents: bool = True,
+) -> DataFrame:
+    """Write every log-type folder of a dataset as a table (and search documents) below ``target``.
+
+    Returns one row of the run history: its counts per log type are observed while writing, so
+    no data is scanned to be counted. A type that fails is left out and named in ``errors``; the
+    run counts as completed when at least one type was written or nothing failed.
+    """
+    dataset = path.rstrip("/").rsplit("/", 1)[-1]
+    tables, searched, errors = {}, {}, []
+    for folder, is_folder in _children(spark, path):
+        if not is_folder:
+            continue
+        log_type = folder.rstrip("/").rsplit("/", 1)[-1]
+        table = f"{target}/tables/{dataset}_{log_type}"
+        try:
+            seen = Observation()
+            rows = read_log_folder(spark, folder, log_type)
+            rows.observe(seen, F.count(F.lit(1)).alias("row_count")).write.mode("overwrite").parquet(table)
+            tables[log_type] = {"row_count": seen.get["row_count"]}
+            if documents:
+                sent = export_documents(spark.read.schema(rows.schema).parquet(table), f"{target}/documents/{dataset}-{log_type}").first()
+                searched[log_type] = {"document_count": sent["success"], "failed": sent["failed"]}
+        except Exception as error:  # one bad type must not stop the others
+            errors.append(f"{log_type}: {error}")
+    status = "completed" if not errors or tables else "failed"
+    details = json.dumps({"spark": tables, "elasticsearch": searched, "errors": errors})
+    return spark.createDataFrame([(run_id, status, at or datetime.now(), details)], schemas.INGESTION_RUNS)
+
+
 def table_metrics(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """Rows, schema and non-empty partitions of the session's tables."""
     names = names or [t.name for t in spark.catalog.listTables()]
@@ -116,5 +151,5 @@ def run_sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "ingest_dataset", "read_log_folder", "readers", "register_table", "run_sql", "table_metrics",
+    "ingest_dataset", "ingest_to_tables", "read_log_folder", "readers", "register_table", "run_sql", "table_metrics",
 ]
