@@ -68,20 +68,20 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = shingle_hashes(df, text, "_shingles")
     ends = F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)),
                        lambda b: F.shiftleft(b.cast("long"), _SHIFT).bitwiseOR(_long(_REST)))
-    df = df.withColumn("_sorted", F.sort_array(F.concat("_shingles", ends)))
-    df = df.withColumn("_any", F.size("_shingles") > 0).drop("_shingles")
+    df = df.withColumn("_sorted", F.sort_array(F.concat("_shingles", ends))).drop("_shingles")
     # In sorted order a bin starts where the top bits change, so this leaves one value per bin.
     least = F.filter("_sorted", lambda x, i: (i == 0) | (F.shiftright(x, _SHIFT) != F.shiftright(F.get("_sorted", i - 1), _SHIFT)))
     values = F.transform(least, lambda x: F.when(x.bitwiseAND(_long(_REST)) != _long(_REST), x.bitwiseAND(_long(LOW))))
     df = df.withColumn("_values", values).drop("_sorted")
     every = F.sequence(F.lit(0), F.lit(BINS - 1))
+    # A column that the next step names once would be computed anew for every bin inside its
+    # lambda; this one is named twice, so it is computed once per row.
     df = df.withColumn("_full", F.filter(every, lambda i: F.get("_values", i).isNotNull()))
-    df = df.withColumn("_dense", F.transform(every, lambda i: _tried("_values", "_full", i)))
     packed = F.transform(
         F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)),
         lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(PER_LONG - 1)), _long(0),
-                              lambda acc, t: F.shiftleft(acc, BITS).bitwiseOR(F.get("_dense", w * PER_LONG + t))))
-    return df.withColumn(out, F.when(F.col("_any"), packed)).drop("_values", "_full", "_dense", "_any")
+                              lambda acc, t: F.shiftleft(acc, BITS).bitwiseOR(_tried("_values", "_full", w * PER_LONG + t))))
+    return df.withColumn(out, F.when(F.size("_full") > 0, packed)).drop("_values", "_full")
 
 
 def as_text(packed: Column) -> Column:
@@ -136,19 +136,21 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     mark = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit(":"), F.col("text"))
     keyed = named.withColumn("key", F.md5(mark.cast("binary")))
     links = written(following(keyed), "links")
-    # Each document sends the previous one as much of its beginning as that one needs.
+    # Each document sends the previous one as much of its beginning as that one needs. Both joins
+    # take the same columns of ``keyed``, so its texts are shuffled once.
     heads = keyed.join(links, "key").groupBy("key").agg(
-        F.first("prev_key").alias("prev_key"), F.first(F.expr("substring(text, 1, prev_half)")).alias("head"))
-    heads = heads.select(F.col("prev_key").alias("key"), F.col("key").alias("next_key"), "head")
+        F.first("prev_key").alias("prev_key"), F.first("doc_id").alias("next_id"),
+        F.first(F.expr("substring(text, 1, prev_half)")).alias("head"))
+    heads = heads.select(F.col("prev_key").alias("key"), F.col("key").alias("next_key"), "next_id", "head")
     n = F.length("text")
     both = keyed.join(heads, "key").select(
-        "doc_id", "key", "next_key", "text", n.cast("long").alias("n_chars"),
+        "doc_id", "key", "next_key", "next_id", "text", n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - F.expr("length(text) div 2").cast("int")), "head").alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     both = fingerprint(fingerprint(both, "text", "packed"), "edited", "edited_packed")
-    found = written(both.select("doc_id", "key", "next_key", "n_chars", "edited_sha256", "packed", "edited_packed"), "fingerprints")
+    found = written(both.select("doc_id", "key", "next_key", "next_id", "n_chars", "edited_sha256", "packed", "edited_packed"), "fingerprints")
     others = found.groupBy(F.col("key").alias("next_key")).agg(F.first("packed").alias("next_packed"))
     own, edited, after = F.col("packed"), F.col("edited_packed"), F.col("next_packed")
     return found.join(others, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
-        likeness(own, edited).alias("near_edited"), likeness(own, after).alias("near_next"))
+        likeness(own, edited).alias("near_edited"), likeness(own, after).alias("near_next"), "next_id")
