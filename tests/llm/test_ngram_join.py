@@ -91,6 +91,39 @@ def test_odd_rows(spark):
     assert got == sorted([("1", 0, "1"), ("2", 0, "2"), ("3", 0, "3"), ("4", 1, "4"), ("4", 1, "4"), ("5", 1, "4"),
                           ("None", 1, "None"), ("6", 29_996, "6"), ("7", 29_997, "6"), ("8", 1, "8"), ("8", 1, "8")])
     kept = sorted(repr(r.doc_id) for r in ngram_join.keep_one(frame(spark, rows)).collect())
-    assert kept == sorted(map(repr, [1, 2, 3, 4, None, 6, 8]))
+    # The two texts of id 8 do not link, so both stay.
+    assert kept == sorted(map(repr, [1, 2, 3, 4, None, 6, 8, 8]))
     empty = frame(spark, rows).limit(0)
     assert ngram_join.join_documents(empty).count() == ngram_join.keep_one(empty).count() == 0
+
+
+def test_keep_one_leaves_one_row_of_every_component(spark):
+    """Repeated ids over different texts, one id on a third of the rows, clashing column names."""
+    rng = random.Random(12)
+    bases = [[f"b{k}w{i}" for i in range(40)] for k in range(12)]
+    texts = [" ".join(b) for b in bases] + [" ".join(b[:39] + ["end"]) for b in bases] + ["", None, " \n"]
+    rows = [(rng.choice([1, 2, 3, 8, 9, None, 7, 7, 7]), rng.choice(texts)) for _ in range(150)] + [(3, texts[0]), (8, texts[0]), (8, texts[5])]
+    wide = [(i, t, f"{n}", n % 3, n, n, n, n, "k", n) for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(wide, "doc_id long, text string, _id string, _n int, _c int, _r int, id int, comp int, mark string, row int").repartition(7)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = [tuple(r) for r in kept.collect()]
+    assert set(kept) <= set(wide) and len(set(kept)) == len(kept)
+    lone = [r for r in wide if r[0] is None or not (r[1] or "").split()]
+    base = lambda r: r[1].split()[0]
+    groups = {}
+    for r in wide:
+        if r not in lone:
+            groups.setdefault(base(r), []).append(r)
+    found = [r for r in kept if r not in lone]
+    assert sorted(r for r in kept if r in lone) == sorted(lone) if all(r[0] is not None for r in lone) else len(kept) - len(found) == len(lone)
+    assert sorted(map(base, found)) == sorted(groups)
+    for r in found:
+        assert r[0] == min(x[0] for x in groups[base(r)])
+
+
+def test_keep_one_with_a_hot_id_of_equal_rows(spark):
+    text = " ".join(f"h{i}" for i in range(30))
+    rows = [(5, text)] * 3000 + [(6, text), (5, "another text that stays whole here")] + [(i, f"lone text number {i} with words") for i in range(100, 200)]
+    kept = ngram_join.keep_one(frame(spark, rows)).collect()
+    assert len(kept) == 102 and sum(r["doc_id"] == 5 for r in kept) == 2

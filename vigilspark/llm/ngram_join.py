@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,28 +130,30 @@ def choose_prefix(
     return shingles[order[:end]], match, excess[:end], int((excess == 0).sum())
 
 
-SETS = "doc_id long, n long, key long, match int, rare int, prefix array<long>, blocks array<int>"
+SETS = "doc_id long, mark long, n long, key long, match int, rare int, prefix array<long>, blocks array<int>"
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
+def prefixes(docs: DataFrame, shared: Broadcast, size: int, percent: int) -> DataFrame:
+    """Class and prefix of every row, from the broadcast frequency sketch, which has a fixed size."""
+    sketch = shared.value
     load = float(sketch.sum(dtype=np.int64)) / len(sketch)
     usual = load + 4 * load**0.5 + 1
+    del sketch
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for doc_id, mark, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "text"))):
                 shingles = shingle_set(text, words, size)
                 if not len(shingles):
-                    rows.append((doc_id, 0, None, 0, 0, [], []))
+                    rows.append((doc_id, mark, 0, None, 0, 0, [], []))
                     continue
                 prefix, match, excess, rare = choose_prefix(shingles, shared.value, usual, percent)
                 blocks = 1 + (excess / BLOCK).astype(np.int32)
-                rows.append((doc_id, len(shingles), set_key(shingles), match, rare, prefix.view(np.int64),
+                rows.append((doc_id, mark, len(shingles), set_key(shingles), match, rare, prefix.view(np.int64),
                              blocks if blocks.max() > 1 else []))
-            yield dict(zip(("doc_id", "n", "key", "match", "rare", "prefix", "blocks"), list(zip(*rows)) or [[]] * 7))
+            yield dict(zip(("doc_id", "mark", "n", "key", "match", "rare", "prefix", "blocks"), list(zip(*rows)) or [[]] * 8))
 
     return arrow_map(docs, SETS, run)
 
@@ -207,8 +210,11 @@ def star_postings(classes: DataFrame, percent: int) -> DataFrame:
     return arrow_map(postings, "h long, key long, i int, f int, hub long, hub_f int, wide boolean", hubs)
 
 
-def membership(ids: DataFrame, column: str, docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``column`` may be in ``ids``: a bit set of bounded size, only to spare a shuffle."""
+def membership(ids: DataFrame, column: str, docs: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """Rows of ``docs`` whose ``column`` may be in ``ids``: a bit set of bounded size, only to spare a shuffle.
+
+    The bit set is returned as well; destroy it once the rows have been used.
+    """
     number = ids.count()
     bits = 1 << 12
     while bits < min(FILTER_BITS, 12 * number):
@@ -227,7 +233,7 @@ def membership(ids: DataFrame, column: str, docs: DataFrame) -> DataFrame:
 
     packed = tree_merge(arrow_map(ids.select(column), "v binary", fill), union=True)
     if packed is None:
-        return docs.limit(0)
+        return docs.limit(0), None
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # at most FILTER_BITS / 8 bytes
 
     @F.pandas_udf("boolean")
@@ -237,20 +243,21 @@ def membership(ids: DataFrame, column: str, docs: DataFrame) -> DataFrame:
         at = places(x.to_numpy())
         return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0))
 
-    return docs.filter(F.col(column).isNotNull()).filter(may_hold(F.col(column)))
+    return docs.filter(F.col(column).isNotNull()).filter(may_hold(F.col(column))), shared
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b, of classes; a_rep, b_rep, a document of each) whose whole texts link."""
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a_rep").alias("doc_id")).union(pairs.select("b_rep")).distinct()
-    texts = membership(ids, "doc_id", docs)
+    texts, shared = membership(ids, "doc_id", docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("b_rep"), F.col("text").alias("b_text")), "b_rep").join(
         texts.select(F.col("doc_id").alias("a_rep"), F.col("text").alias("a_text")), "a_rep"
     ).select("a", "b", "a_text", "b_text")
 
     def run(batches):
-        words, kept_text, kept = WordHashes(), None, None
+        words = WordHashes()
+        kept_text, kept = None, shingle_set(None, words, size)
         for batch in batches:
             out = []
             for a, b, a_text, b_text in zip(*(batch[c].to_pylist() for c in ("a", "b", "a_text", "b_text"))):
@@ -266,7 +273,10 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
             a, b = list(zip(*out)) or [[], []]
             yield {"a": a, "b": b}
 
-    return written(arrow_map(both, "a long, b long", run).distinct(), "links")
+    links = written(arrow_map(both, "a long, b long", run).distinct(), "links")
+    if shared is not None:
+        shared.destroy()
+    return links
 
 
 #: Links that one task joins by itself before the star rounds.
@@ -323,12 +333,14 @@ def components(links: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, counters: int = COUNTERS):
     """Set size and class of every row, and the component of every class that has a link."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    sets = written(prefixes(rows, frequency_sketch(rows, size, counters), size, percent), "sets")
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(rows, size, counters))
+    sets = written(prefixes(rows.withColumn("mark", F.xxhash64("text")), shared, size, percent), "sets")
+    shared.destroy()
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("match").alias("match"), F.first("rare").alias("rare"),
         F.first("prefix").alias("prefix"), F.first("blocks").alias("blocks"),
     )
-    shared = written(star_postings(classes, percent), "postings")
+    postings = written(star_postings(classes, percent), "postings")
     facts = written(sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     n = {s: F.shiftright(F.col(f"{s}_f"), 5) for s in "ab"}
     asked = {s: F.shiftright(F.col(f"{s}_f"), 1).bitwiseAND(15) for s in "ab"}
@@ -350,8 +362,8 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
                 F.when(swap, F.col(right_f)).otherwise(F.col(left_f)).alias("a_f"),
                 F.when(swap, F.col(left_f)).otherwise(F.col(right_f)).alias("b_f")]
 
-    star = shared.filter("hub != key").select(*pair("hub", "hub_f", "key", "f"))
-    wide = shared.filter("wide").select("h", "hub", "hub_f").distinct()
+    star = postings.filter("hub != key").select(*pair("hub", "hub_f", "key", "f"))
+    wide = postings.filter("wide").select("h", "hub", "hub_f").distinct()
     tops = wide.groupBy("h").agg(F.min(F.struct("hub", "hub_f")).alias("top"))
     tops = wide.join(tops, "h").select("hub", "hub_f", F.col("top.hub").alias("key"), F.col("top.hub_f").alias("f"))
     star = star.union(tops.filter("hub != key").select(*pair("hub", "hub_f", "key", "f")))
@@ -361,7 +373,7 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     # Lists that still hold several components, and what enumerating them would cost.
     for turn in range(3):
         comps = written(components(links), "components")
-        named = shared.select("h", "key", "i", "f").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        named = postings.select("h", "key", "i", "f").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         open_lists = _worth_enumerating(named, percent)
         smaller = F.col("f").bitwiseAND(1) == 1
         per = open_lists.groupBy("h").agg(F.count("*").cast("double").alias("m"), F.count_if(smaller).alias("s"))
@@ -407,7 +419,7 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     if not more.isEmpty():
         links = written(links.union(more), "links")
         comps = written(components(links), "components")
-    return sets.select("doc_id", "n", "key"), facts, comps
+    return sets.select("doc_id", "mark", "n", "key"), facts, comps
 
 
 def _overlap(m, n, percent: int):
@@ -458,24 +470,34 @@ def join_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     """
     prepare(docs.sparkSession)
     sets, facts, comps = linked_classes(docs, size, percent, counters)
-    named = facts.select("key", "rep").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = written(named.join(least, "comp").select("key", "component_id"), "classes")
+    of_class = written(_component_ids(facts, comps), "classes")
     lone = sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rest = sets.filter("n > 0 and doc_id is not null").join(of_class, "key")
     return rest.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(lone)
 
 
+def _component_ids(facts: DataFrame, comps: DataFrame) -> DataFrame:
+    """``key, comp, component_id`` of every class."""
+    named = facts.select("key", "rep").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "comp").select("key", "comp", "component_id")
+
+
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that of the least ``doc_id``; rows without words or id all stay.
+    """One row of each component, with its own columns; rows without words or id all stay.
 
-    Of several rows with that same id, the one of the least hash of all columns stays.
+    Rows are judged one by one, also if ids repeat: of a component's rows the one of the least
+    ``doc_id`` stays, among those the one of the least hash of its text, then of all its columns.
+    Every component thus keeps exactly one row. Columns may have any names, also those used here.
     """
-    found = join_documents(docs, size, percent).filter("doc_id is not null")
-    heads = found.groupBy("doc_id").agg(F.max("n_shingles").alias("_n"), F.min("component_id").alias("_c"))
-    heads = written(heads.filter("_n = 0 or _c = doc_id").select(F.col("doc_id").alias("_id"), "_n"), "heads")
-    columns = docs.columns
-    joined = docs.join(heads, F.col("doc_id").cast("long") == F.col("_id"))
-    order = W.partitionBy("_id").orderBy(F.xxhash64(*columns))
-    first = joined.withColumn("_r", F.row_number().over(order)).filter("_r = 1 or _n = 0")
-    return first.select(*columns).unionByName(docs.filter("doc_id is null"))
+    prepare(docs.sparkSession)
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("words"))
+    lone = F.col("id").isNull() | (F.btrim(F.coalesce("words", F.lit("")), F.lit(" \t\n\x0b\f\r")) == "")
+    sets, facts, comps = linked_classes(docs, size, percent)
+    first = sets.filter("n > 0 and doc_id is not null").join(_component_ids(facts, comps), "key").filter("doc_id = component_id")
+    # The least id is known, so a component of any size is one short aggregate.
+    heads = written(first.groupBy("comp").agg(F.first("doc_id").alias("id"), F.min("mark").alias("mark")), "heads")
+    alike = named.filter(~lone).withColumn("mark", F.xxhash64("words")).join(heads, ["id", "mark"])
+    # Rows of one id and text are folded where they lie before they move.
+    kept = alike.groupBy("comp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*").unionAll(named.filter(lone).select("row.*"))

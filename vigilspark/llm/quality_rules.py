@@ -8,6 +8,7 @@ that a batch of documents walks all trees level by level.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,13 +238,19 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS,
+         fit_on: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns.
 
-    The verdict is computed beside the row, so repeated or null ids need no join.
+    The verdict is computed beside the row, so repeated or null ids need no join. The trees are
+    fitted on ``fit_on`` (by default ``docs``): give the whole labelled documents where ``docs``
+    is what another filter has left of them. Without labels of both kinds there are no trees;
+    the base rules then decide alone, and a warning says so.
     """
     prepare(docs.sparkSession)
-    model = fit_rules(document_statistics(docs), labels, rows)
+    model = fit_rules(document_statistics(docs if fit_on is None else fit_on), labels, rows)
+    if model is None:
+        warnings.warn("no labels of both kinds among the documents: only the base rules decide", stacklevel=2)
     counts = COUNTS + MORE_COUNTS
 
     @F.pandas_udf("boolean")
