@@ -20,16 +20,17 @@ from vigilspark.llm.common import prepare
 from vigilspark.session import scratch_path
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_classifier.keep(docs, _labels(spark, sf_dir))
+    return quality_classifier.keep(docs, _table(spark, sf_dir, "labels"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs, _labels(spark, sf_dir))
+    # The classifier has removed most documents of label 0, so the trees learn from the whole table.
+    return quality_rules.keep(docs, _table(spark, sf_dir, "labels"), fit_on=_table(spark, sf_dir, "documents"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
