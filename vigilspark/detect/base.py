@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -135,3 +135,15 @@ def log_line(
 ) -> DataFrame:
     """One reported log line as a row of the log table."""
     return spark.createDataFrame([(line_id, run_id, level, message, at)], schemas.MODEL_LOGS)
+
+
+def metric_rows(df: DataFrame, job_id: Column, value: Column, name: str, epoch: Column | None = None, step: Column | None = None) -> DataFrame:
+    """What a whole frame reports as rows of the metric table, in the layout of ``log_metric``."""
+    given = {"job_id": job_id, "metric_name": F.lit(name), "metric_value": value, "epoch": epoch, "step": step}
+    return df.select(*[(given[f.name] if given[f.name] is not None else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.TRAINING_METRICS])
+
+
+def line_rows(df: DataFrame, line_id: Column, run_id: Column, level: Column, message: Column, at: Column) -> DataFrame:
+    """Log lines of a whole frame as rows of the log table, in the layout of ``log_line``."""
+    values = (line_id, run_id, level, message, at)
+    return df.select(*[v.cast(f.dataType).alias(f.name) for f, v in zip(schemas.MODEL_LOGS, values)])

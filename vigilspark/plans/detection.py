@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..detect import graph as G
 from ..detect.autoencoder import Autoencoder
-from ..detect.base import GroupFunction, apply_detector
+from ..detect.base import GroupFunction, apply_detector, line_rows, log_line, log_metric, metric_rows
 from ..detect.iforest import IsolationForest, sweep_forest
 from ..detect.pca import PcaDetector
 from ..detect.registry import latest_artifact, load_artifact, save_artifact
@@ -137,6 +139,17 @@ def _(t):
     return R.fire(_matches(t), t.alerts, NOON, interval="48 hours").drop("alert_context")
 
 
+@query("r10_alert_context", f"""
+SELECT f.id, k.risk_score, k.anomaly_type, CAST(k.model_id AS VARCHAR) AS model_id, k.action, a.details AS anomaly_details
+FROM {FIRED} f JOIN {MATCHES} k ON f.id = sha256(concat_ws('|', CAST(k.rule_id AS VARCHAR), CAST(k.anomaly_id AS VARCHAR), CAST(k.alert_node AS VARCHAR)))
+JOIN anomalies a ON a.id = k.anomaly_id""")
+def _(t):
+    """What each alert says about the anomaly that caused it."""
+    fired = R.fire(_matches(t), t.alerts, NOON, interval="48 hours")
+    layout = "risk_score double, anomaly_type string, model_id string, action string, anomaly_details string"
+    return fired.select("id", F.from_json("alert_context", layout).alias("c")).select("id", "c.*")
+
+
 EVENT_KEPT = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT * FROM {MATCHES} k WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.rule_id = k.rule_id
    AND a.entity_id = k.entity_id AND a.severity = k.severity AND a.created_at > TIMESTAMP '{NOON}' - INTERVAL '1' HOUR)),
  kept AS (SELECT rule_id, entity_id, severity, min(event_time) AS event_time FROM m GROUP BY 1, 2, 3
@@ -493,6 +506,42 @@ def _(t):
     return out.select("entity_id", S.round6(F.col("risk_score")).alias("risk_score"), "anomaly_type")
 
 
+@query("x03_reported", """
+SELECT job_id, x, loss, CASE WHEN x = first_x THEN lines END AS lines, CASE WHEN x = first_x THEN errors END AS errors FROM (
+ SELECT CAST(user_id AS VARCHAR) AS job_id, CAST(day(ts) AS BIGINT) AS x, max(value) AS loss, min(CAST(day(ts) AS BIGINT)) OVER (PARTITION BY user_id) AS first_x FROM events GROUP BY user_id, day(ts))
+JOIN (SELECT CAST(user_id AS VARCHAR) AS run, count(*) AS lines, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1) ON run = job_id
+UNION ALL SELECT 'one', 3, 0.25, 1, 1""")
+def _(t):
+    """Reported metrics as curves (A31) and reported log lines by level (A20), whole frames and single reports."""
+    job = F.col("user_id").cast("string")
+    metrics = metric_rows(t.events, job, F.col("value"), "loss", epoch=F.dayofmonth("ts"))
+    metrics = metrics.unionByName(log_metric(t.spark, "one", "loss", 0.25, epoch=3))
+    level = F.when(F.col("event_type") == "error", "error").otherwise("info")
+    lines = line_rows(t.events, F.col("event_id"), job, level, F.col("event_type"), F.col("ts"))
+    lines = lines.unionByName(log_line(t.spark, "l", "one", "error", "text", datetime(2024, 1, 1)))
+    curves = A.training_curves(metrics, ["loss"])
+    first = curves.groupBy("job_id").agg(F.min("x").alias("x"))
+    levels = A.log_levels(lines).join(first, F.col("model_run_id") == F.col("job_id")).select("job_id", "x", "lines", "errors")
+    return curves.join(levels, ["job_id", "x"], "left").select("job_id", "x", "loss", "lines", "errors")
+
+
+@query("e2_alert_history", f"""
+WITH m AS (SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1),
+ recent AS (SELECT DISTINCT entity_id FROM alerts WHERE rule_id = 7 AND severity = 'high' AND created_at > TIMESTAMP '{NOON}' - INTERVAL '48' HOUR)
+SELECT 7 AS rule_id, concat('user-', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS entity_id, least(100, top) AS risk_score FROM m
+WHERE least(100, top) >= 50 AND concat('user-', lpad(CAST(user_id AS VARCHAR), 4, '0')) NOT IN (SELECT entity_id FROM recent)""")
+def _(t):
+    """Results of a detector, stored as anomalies, against the alert history: who was alerted lately is left out."""
+    entity = F.concat(F.lit("user-"), F.lpad(F.col("user_id").cast("string"), 4, "0"))
+    found = t.events.groupBy(entity.alias("entity_id")).agg(F.least(F.lit(100.0), F.max("value")).alias("risk_score"))
+    stored = written(to_anomalies(found.withColumn("anomaly_type", F.lit("peak")), "peaks", "run-1", F.lit(NOON).cast("timestamp_ntz")), "anomalies")
+    rule = graphs.graph([("m", "model", {"output": "risk_score"}), ("c", "comparison", {"operator": ">=", "value": "50"}),
+                         ("out", "alert", {"severity": "high", "message": "peak"})], [("m", "c"), ("c", "out")])
+    fired = R.fire(R.evaluate(stored, [(7, parse_graph(rule))]), t.alerts, NOON, interval="48 hours")
+    context = F.from_json("alert_context", "risk_score double")
+    return fired.select(F.col("rule_id").cast("int").alias("rule_id"), "entity_id", context["risk_score"].alias("risk_score"))
+
+
 # ------------------------------------------------------------------ streams
 
 

@@ -173,6 +173,22 @@ def _(t):
     return catalog.table_metrics(t.spark, ["vigil_part", "vigil_lineitem"]).select("table_name", "row_count")
 
 
+_NAMES = "(SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE SELECT * FROM {0}))"
+
+
+@query("s11_table_schema", f"""
+SELECT 'vigil_part' AS table_name, {_NAMES.format('part')} AS columns, true AS partitioned, count(*) AS row_count FROM part
+UNION ALL SELECT 'vigil_orders', {_NAMES.format('orders')}, true, count(*) FROM orders""")
+def _(t):
+    """Columns as the metrics name them, and as many partitions as tasks that found rows."""
+    t.part.repartition(3).createOrReplaceTempView("vigil_part")
+    t.orders.repartition(3).createOrReplaceTempView("vigil_orders")
+    found = catalog.table_metrics(t.spark, ["vigil_part", "vigil_orders"])
+    fields = F.from_json("schema_json", "fields array<struct<name: string>>")["fields"]["name"]
+    return found.select("table_name", F.array_join(F.array_sort(fields), ",").alias("columns"),
+                        (F.col("partition_count") == 3).alias("partitioned"), "row_count")
+
+
 @query("s12_run_sql", "SELECT event_type, count(*) AS n, max(value) AS top FROM events GROUP BY event_type")
 def _(t):
     return catalog.run_sql(
@@ -203,6 +219,30 @@ def _(t):
     return found.select("slug", "log_name", "type")
 
 
+_MODEL_NAME = "concat('model-', CAST(s_suppkey % 700 AS VARCHAR))"
+
+
+@query("s14_model_groups", f"""
+SELECT name, min_by(model_group, s_suppkey) AS model_group, min_by(status, s_suppkey) AS status, min_by(runtime, s_suppkey) AS runtime,
+ '1.0.0' AS version, CAST(2 AS BIGINT) AS components
+FROM (SELECT s_suppkey, {_MODEL_NAME} AS name, concat('group-', lpad(CAST(s_suppkey AS VARCHAR), 9, '0')) AS model_group,
+  CASE WHEN s_acctbal > 0 THEN 'installed' ELSE 'disabled' END AS status, CASE WHEN s_nationkey = 5 THEN 'python-base' ELSE 'spark' END AS runtime FROM supplier)
+WHERE name <> 'model-7' GROUP BY 1""")
+def _(t):
+    """A model configuration with one group a line, in which names repeat and one is known already."""
+    part = lambda name: F.struct(F.lit(name).alias("filename"), F.lit("external").alias("type"))
+    name = F.concat(F.lit("model-"), (F.col("s_suppkey") % 700).cast("string"))
+    model = F.struct(name.alias("model_name"), (F.col("s_acctbal") > 0).alias("enabled"),
+                     F.when(F.col("s_nationkey") != 5, "spark").alias("runtime"), F.array(part("MODEL.py"), part("model.yaml")).alias("components"))
+    group = F.concat(F.lit("group-"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
+    path = scratch_path(t.spark, "models")
+    t.supplier.select(F.to_json(F.create_map(group, F.struct(F.array(model).alias("models"))))).write.text(path)
+    known = t.supplier.where("s_suppkey % 700 = 7").select(name.alias("name"))
+    models, parts = readers.flatten_model_groups(t.spark, path, known, lines=True)
+    counts = parts.groupBy("name").agg(F.count(F.lit(1)).alias("components"))
+    return models.select("name", "model_group", "status", "runtime", "version").join(counts, "name")
+
+
 @query("p01_coerce_numeric", """
 SELECT id, CAST(amount AS DOUBLE) AS amount, TRY_CAST(mostly AS DOUBLE) AS mostly, rarely, CAST(sparse AS DOUBLE) AS sparse, word FROM raw_text""")
 def _(t):
@@ -298,6 +338,27 @@ def _(t):
     return valid.select("id").unionByName(rejected.select("id")).unionByName(ok.select("id")).unionByName(bad.select("id"))
 
 
+@query("p12_rejected", """
+SELECT part, reason, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (
+ SELECT 'cases' AS part, id, CASE WHEN id % 11 = 0 THEN 'title missing' WHEN severity = 'low' THEN 'severity not allowed'
+  WHEN status = 'closed' THEN 'status not allowed' ELSE 'valid' END AS reason FROM cases
+ UNION ALL SELECT 'feedback', id, CASE WHEN feedback_type = 'needs_review' THEN 'feedback_type not allowed' ELSE 'valid' END FROM user_feedback) GROUP BY 1, 2""")
+def _(t):
+    """Titles blanked, severities and statuses outside the lists, a feedback type that is null."""
+    cases = t.cases.withColumns({
+        "title": F.when(F.col("id") % 11 == 0, " ").otherwise(F.col("title")),
+        "severity": F.when(F.col("severity") != "low", F.col("severity")),
+        "status": F.regexp_replace("status", "closed", "Closed")})
+    feedback = t.user_feedback.withColumn("feedback_type", F.when(F.col("feedback_type") != "needs_review", F.col("feedback_type")))
+    found = None
+    for part, table, df in (("cases", "cases", cases), ("feedback", "feedback", feedback)):
+        valid, rejected = P.validate(df, table)
+        both = valid.select("id", F.lit("valid").alias("reason")).unionByName(rejected.select("id", "reason"))
+        both = both.select(F.lit(part).alias("part"), "id", "reason")
+        found = both if found is None else found.unionByName(both)
+    return found.groupBy("part", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 @query("p13_severity", """
 SELECT id, CASE WHEN r > 80 THEN 'critical' WHEN r > 50 THEN 'high' WHEN r > 20 THEN 'medium' ELSE 'low' END AS trend,
   CASE WHEN r >= 80 THEN 'critical' WHEN r >= 50 THEN 'high' WHEN r >= 20 THEN 'medium' ELSE 'low' END AS entity,

@@ -160,18 +160,20 @@ def flatten_source_groups(
 
 
 def flatten_model_groups(
-    spark: SparkSession, path: str, known: DataFrame | None = None
+    spark: SparkSession, path: str, known: DataFrame | None = None, lines: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(models, components) of a model configuration; models with a known name are skipped.
 
-    Of several models of one name, the first listed counts.
+    Of several models of one name, the first listed counts. A configuration of any size is read
+    with ``lines``: one JSON object of groups a line, read by as many tasks as the file has splits;
+    the first one of a name is then that of the least place in its line, then of the least group.
     """
     component = "STRUCT<filename: STRING, type: STRING, file_hash: STRING, data_hash: STRING>"
     model = (
         "STRUCT<model_name: STRING, description: STRING, enabled: BOOLEAN, runtime: STRING, "
         f"components: ARRAY<{component}>>"
     )
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not lines)
     rows = (
         text.select(F.posexplode(F.from_json("value", f"MAP<STRING, STRUCT<models: ARRAY<{model}>>>")).alias("_g", "grp", "m"))
         .select("_g", "grp", F.posexplode("m.models").alias("_p", "m"))
