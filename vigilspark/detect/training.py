@@ -108,21 +108,28 @@ def mini_batches(
         start = flat
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, current = np.zeros(len(start) + 2), None
-            at, adam, loss, weight = start, None, 0.0, 0.0
+            current, at, adam, loss, weight = None, start, None, 0.0, 0.0
 
-            def closed() -> np.ndarray:
-                return np.concatenate([at * weight, [loss, weight]])
+            def closed() -> pa.RecordBatch:
+                out = _vector(np.concatenate([at * weight, [loss, weight]]))
+                return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, current, np.int32))], names=["pos", "v", "shard"])
 
             for shard, piece in _pieces(batches, batch_size):
                 if shard != current:
-                    total = total + closed() if adam else total
+                    if adam:
+                        yield closed()
                     current, at, adam, loss, weight = shard, start, Adam(len(start), lr), 0.0, 0.0
                 g, more, w = gradient(at, piece.drop_columns(["_shard", "_at"]))
                 at, loss, weight = adam.moved(at, g / w), loss + more, weight + w
-            yield _vector(total + closed() if adam else total)
-
-        total = _summed(placed.mapInArrow(local, _LAYOUT), len(start) + 2)
+            if adam:
+                yield closed()
+
+        parts = placed.mapInArrow(local, f"{_LAYOUT}, shard int")
+        # Shards are added in their order, so that the sum is the same every time.
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("shard", "v"))), lambda s: s["v"])
+        total = np.zeros(len(start) + 2)
+        for row in parts.groupBy("pos").agg(F.aggregate(in_order, F.lit(0.0), lambda a, v: a + v).alias("v")).collect():
+            total[row["pos"]] = row["v"]
         flat = total[:-2] / total[-1]
         losses.append(float(total[-2] / total[-1]))
     return flat, losses
