@@ -120,7 +120,7 @@ def test_gradients_by_differences():
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = (spark.read.parquet(f"{SF_LABELS}/{t}.parquet") for t in ("documents", "labels"))
     twisted = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 3 = 1, 1 - quality, quality) quality")
-    a, b = qc.fit_classifier(docs, labels, epochs=2), qc.fit_classifier(docs, twisted, epochs=2)
+    a, b = qc.fit_classifier(docs, labels, rounds=2), qc.fit_classifier(docs, twisted, rounds=2)
     assert all((a.p[k] == b.p[k]).all() for k in a.p)
 
 
@@ -136,3 +136,30 @@ def test_odd_rows(spark, fit):
     assert qr.judge(docs.limit(0), labels).count() == qc.classify(docs.limit(0), labels).count() == 0
     assert qr.keep(docs, labels).columns == qc.keep(docs, labels).columns == docs.columns
     assert qr.keep(docs, labels).count() == rules.filter("kept").count()
+
+
+def test_every_passage_of_a_sampled_text_counts(spark):
+    """Texts differ only in one passage, far behind 64 others."""
+    plain, odd_one = "the same plain words " * 25, "XX99 YY88 ZZ77 QQ66 " * 25
+    rows = [(i, plain * 70 + (odd_one if i % 2 else plain) + plain * 20, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1 - r[2]) for r in rows], "doc_id long, quality int")
+    found = qc.classify(docs, labels).collect()
+    assert auc([(r.score, 1 - r.doc_id % 2) for r in found]) > 0.99
+
+
+def test_blocks_of_passages():
+    number = np.array([3, 4, 1, 90, 2, 2])
+    assert [b.tolist() for b in qc._blocks(number, 8)] == [[0, 1, 2], [3], [4, 5]]
+    assert list(qc._blocks(np.zeros(0, int), 8)) == []
+
+
+def test_rules_of_a_filtered_table_learn_from_the_whole(spark):
+    """All documents of label 0 are gone; the rules still judge as they do on the whole table."""
+    docs, labels = (spark.read.parquet(f"{SF_LABELS}/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi")
+    whole = {r.doc_id for r in qr.keep(docs, labels).select("doc_id").collect()}
+    left = {r.doc_id for r in qr.keep(good, labels, fit_on=docs).select("doc_id").collect()}
+    assert left == whole & {r.doc_id for r in good.collect()}
+    with pytest.warns(UserWarning, match="only the base rules"):
+        qr.keep(good, labels)

@@ -15,17 +15,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..detect import training
+from ..session import written
 from .common import arrow_map, prepare
 
 PASSAGE = 100  # words
 SHAPES, ENDINGS = 192, 320
 WIDTH = SHAPES + ENDINGS
-#: Labelled rows to learn from (those of smallest hash), and passages that one of them lends to the fit.
-FIT_ROWS, FIT_PASSAGES = 4_000, 64
+#: Labelled rows to learn from (those of smallest hash), with all their passages.
+FIT_ROWS = 4_000
+#: Rounds of local steps over the sample, rows of a step, shards that step side by side.
+ROUNDS, STEP_ROWS, SHARDS = 16, 32, 4
+#: Passages of one step whose activations are held at once, unless one text has more.
+STEP_PASSAGES = 8_192
 
 
 def word_codes(word: bytes) -> tuple[int, int]:
-    """Hash buckets of a word's shape (runs of one kind as one sign) and of its case-free last three bytes."""
+    """Hash buckets of a word's shape and of its case-free last three bytes.
+
+    The shape has one sign, at most twice in a row, for a run of one kind; only its first 24 signs are a feature.
+    """
     import xxhash
 
     shape = re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]+", b"A", re.sub(rb"[0-9]+", b"0", word)))
@@ -103,22 +112,16 @@ class GatedAttention:
         return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ du, "U": h.T @ dg, "w": (u * g).T @ de,
                 "c": f["z"].T @ off, "d": off.sum(keepdims=True)}
 
-    def fit(self, x: np.ndarray, number: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 128,
-            rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> GatedAttention:
-        rng, first, step = np.random.default_rng(seed), np.cumsum(number) - number, 0
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(y), batch):
-                some = order[at : at + batch]
-                rows = np.concatenate([np.arange(first[i], first[i] + number[i]) for i in some])
-                step += 1
-                for k, d in self.gradients(x[rows], number[some], y[some]).items():
-                    d = d + decay * self.p[k]
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    s[k] = 0.999 * s[k] + 0.001 * d * d
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    @property
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()]).astype(np.float64)
+
+    def at(self, flat: np.ndarray) -> GatedAttention:
+        """The same network at other weights."""
+        start = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[start : start + v.size].reshape(v.shape).astype(np.float32)
+            start += v.size
         return self
 
     def score(self, x: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -133,11 +136,13 @@ def learnable(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, fit_passages: int = FIT_PASSAGES,
-                   epochs: int = 30) -> GatedAttention | None:
-    """Learn from a bounded sample: ``rows`` documents with ``fit_passages`` evenly spaced passages each.
+def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int = ROUNDS,
+                   decay: float = 1e-4) -> GatedAttention | None:
+    """Learn from at most ``rows`` labelled documents, each with all its passages.
 
-    None when there are no labels of both kinds.
+    The passages stay in a table and gradients are made in tasks; the driver holds weights only.
+    Of several rows with one labelled id that of the least text hash counts. None when there are
+    no labels of both kinds.
     """
     prepare(docs.sparkSession)
 
@@ -145,20 +150,41 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, fit
         builder = Bags()
         for batch in batches:
             x, number = builder.passages(batch["text"].to_pylist())
-            first = np.cumsum(number) - number
-            takes = [np.unique(np.linspace(f, f + n - 1, min(n, fit_passages)).astype(int)) for f, n in zip(first, number)]
-            yield {"doc_id": batch["doc_id"], "_y": batch["_y"], "n": [len(t) for t in takes],
-                   "x": [x[t].astype("<f2").tobytes() for t in takes]}
+            last = np.cumsum(number)
+            yield {"_y": batch["_y"], "n": number.astype(np.int32), "x": [x[e - n : e].astype("<f2").tobytes() for e, n in zip(last, number)]}
 
     # The sample has a fixed bound, so it may be broadcast.
     sample = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(learnable(labels, rows)), "doc_id")
-    found = arrow_map(sample, "doc_id long, _y int, n int, x binary", bags)
-    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(rows).collect()
-    y = np.array([r["_y"] for r in found], np.float32)
-    if len(np.unique(y)) < 2:
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_y").alias("_y"))
+    table = written(arrow_map(sample.select("_y", "text"), "_y int, n int, x binary", bags), "passages")
+    if table.agg(F.count_distinct("_y")).first()[0] < 2:
         return None
-    x = np.concatenate([np.frombuffer(r["x"], "<f2").reshape(-1, WIDTH) for r in found]).astype(np.float32)
-    return GatedAttention().fit(x, np.array([r["n"] for r in found]), y, epochs)
+
+    def gradient(flat: np.ndarray, batch) -> tuple[np.ndarray, float, float]:
+        model, total = GatedAttention().at(flat), decay * flat * batch.num_rows
+        number = batch.column("n").to_numpy()
+        for some in _blocks(number, STEP_PASSAGES):
+            x = np.concatenate([np.frombuffer(batch.column("x")[i].as_py(), "<f2").reshape(-1, WIDTH) for i in some]).astype(np.float32)
+            y = batch.column("_y").to_numpy()[some].astype(np.float32)
+            found = model.gradients(x, number[some], y)
+            total = total + np.concatenate([found[k].ravel() for k in model.p]) * float(len(some))
+        return total, 0.0, float(batch.num_rows)
+
+    model = GatedAttention()
+    flat, _ = training.mini_batches(table, gradient, model.flat, rounds, 0.01, STEP_ROWS, SHARDS)
+    return model.at(flat)
+
+
+def _blocks(number: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Runs of rows with at most ``most`` passages together, or one row with more."""
+    start, held = 0, 0
+    for i, n in enumerate(number):
+        if held and held + n > most:
+            yield np.arange(start, i)
+            start, held = i, 0
+        held += int(n)
+    if start < len(number):
+        yield np.arange(start, len(number))
 
 
 def score_texts(model: GatedAttention | None, builder: Bags, texts: list[str | None]) -> np.ndarray:
