@@ -78,3 +78,60 @@ def test_chi_square_law():
     draws = np.random.default_rng(2).chisquare(nn.DIMENSIONS, 200_000)
     for x in (1.0, 7.0, 20.0):
         assert abs(float(nn.chi_square(np.array(x))) - (draws <= x).mean()) < 0.005
+
+
+def test_long_and_short_finite_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 6))
+    x[3] *= 1e155
+    x[40] *= 1e-155
+    x[41] *= 1e-155
+    x[60] *= 1e300
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = brute_force(rows), found(nn.nearest(df))
+    assert got.keys() == want.keys() and recall(got, want) >= 0.95
+    for q, best in got.items():
+        assert len(best) == 20 and all(score == float((x[q] * x[i]).sum()) for i, score in best)
+
+
+def visited_share(x, queries):
+    """Leaves that queries visit in the band that holds most points, of all its leaves."""
+    log = nn.log_lengths(x)
+    octave = np.floor(log.max() - log).astype(int)
+    bands = nn.length_bands(list(zip(*map(np.ndarray.tolist, np.unique(octave, return_counts=True)))))
+    first, last = max(bands, key=lambda b: ((octave >= b[0]) & (octave <= b[1])).sum())
+    band = x[(octave >= first) & (octave <= last)]
+    longest, direction = nn.log_lengths(band).max(), nn.projection(x.shape[1] + 1)
+    leaves = nn.Leaves(nn.lifted(nn.shrunk(band, longest)) @ direction)
+    lengths = nn.log_lengths(queries)
+    projected = np.column_stack([nn.shrunk(queries, lengths), np.zeros(len(queries))]) @ direction
+    _, _, visited = nn.search(queries, projected, leaves, band, lengths + longest, 21, nn.STOP, np.full(len(queries), -np.inf))
+    return visited.mean() / len(leaves.rows)
+
+
+def test_one_long_vector_does_not_loosen_the_test():
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 32))
+    x = centres[rng.integers(0, 40, 8_192)] + 0.3 * rng.standard_normal((8_192, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plain = visited_share(x, x[:200])
+    longer = visited_share(np.vstack([x, 1000 * x[5]]), x[:200])
+    print(f"leaves visited: {plain:.3f}, with one vector 1,000 times longer {longer:.3f}")
+    assert plain < 0.6 and longer <= plain + 1e-9
+
+
+def test_bands():
+    assert nn.length_bands([(0, 100)]) == [(0, 0)]
+    assert nn.length_bands([(0, 1), (9, 500), (10, 400), (11, 3), (30, 2)]) == [(0, 0), (9, 9), (10, 30)]
+    x = np.array([[3.0, 4.0], [1e-160, 0.0], [6e200, 8e200]])
+    assert np.allclose(nn.log_lengths(x), [np.log2(5), np.log2(1e-160), np.log2(1e201)])
+    assert np.allclose(np.linalg.norm(nn.shrunk(x, nn.log_lengths(x)), axis=1), 1)
+
+
+def test_uneven_lengths_over_bands(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2_000, 8)) * (2.0 ** rng.integers(-12, 3, (2_000, 1)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(found(nn.nearest(df, 20, 5, cell_rows=200)), brute_force(rows, 20, 5)) >= 0.95

@@ -1,7 +1,10 @@
 """Approximate nearest neighbours by stable projections and a kd-tree.
 
-Vectors get one extra coordinate that makes all of them equally long, which turns
-the largest inner product into the least distance. A few Gaussian projections
+Vectors are cut into bands of similar length. Within a band they are scaled by its
+longest one and get one extra coordinate that makes all of them equally long, which
+turns the largest inner product with a query of unit length into the least distance.
+A band that cannot beat what a query has found in longer ones is left out for it, by
+the exact bound on inner products. A few Gaussian projections
 keep distances up to a chi-square factor: the squared projected distance over
 the squared true one follows a chi-square law with as many degrees of freedom.
 A kd-tree over the projections gives candidates in rising projected distance;
@@ -53,9 +56,37 @@ def projection(width: int, dimensions: int = DIMENSIONS, seed: int = 11) -> np.n
     return np.random.default_rng([seed, width]).standard_normal((width, dimensions))
 
 
-def lifted(x: np.ndarray, longest: float) -> np.ndarray:
-    """Vectors with the coordinate that makes their length ``longest``."""
-    return np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0.0))])
+def lifted(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one at most with the coordinate that makes their length one."""
+    return np.column_stack([x, np.sqrt(np.maximum(1.0 - (x * x).sum(axis=1), 0.0))])
+
+
+def log_lengths(x: np.ndarray) -> np.ndarray:
+    """Binary logarithms of lengths; neither squares nor lengths can overflow or vanish on the way."""
+    top = np.abs(x).max(axis=1)
+    return np.log2(top) + 0.5 * np.log2(np.square(x / top[:, None]).sum(axis=1))
+
+
+def shrunk(x: np.ndarray, log: np.ndarray | float) -> np.ndarray:
+    """``x`` divided by two to the power ``log`` (one number, or one per row)."""
+    whole = np.floor(log)
+    out = np.ldexp(x.T, -whole.astype(int) if isinstance(whole, np.ndarray) else -int(whole))
+    return (out / np.exp2(log - whole)).T
+
+
+def length_bands(octaves: list[tuple[int, int]], share: float = 1 / 16) -> list[tuple[int, int]]:
+    """First and last octave of each band, from the number of points per octave below the longest point.
+
+    A new band starts at every octave with a considerable share of the points, so a few much
+    longer points are a band of their own and do not loosen the test for the others.
+    """
+    total, bands = sum(n for _, n in octaves), []
+    for octave, n in sorted(octaves):
+        if not bands or n >= share * total:
+            bands.append((octave, octave))
+        else:
+            bands[-1] = (bands[-1][0], octave)
+    return bands
 
 
 class Splits:
@@ -122,38 +153,41 @@ class Leaves:
 
 
 def search(
-    queries: np.ndarray, projected: np.ndarray, leaves: Leaves, vectors: np.ndarray, longest: float, k: int,
+    queries: np.ndarray, projected: np.ndarray, leaves: Leaves, vectors: np.ndarray, log: np.ndarray, k: int,
     stop: float, floor: np.ndarray,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Best inner products and row numbers (-1: none) for each query, best first, ties to the earlier row.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best inner products, row numbers (-1: none) and leaves visited of each query; best first, ties to the earlier row.
 
     Leaf by leaf in rising projected distance, all queries of the block side by
-    side; a query leaves when the chi-square test holds at its next leaf.
-    ``floor`` is what the k-th product is known to reach elsewhere.
+    side; a query leaves when the chi-square test holds at its next leaf. ``log`` is the
+    logarithm of the query's length times that of the longest vector, by which products are
+    measured in the test; ``floor`` is what the k-th product is known to reach elsewhere.
     """
     best = np.full((len(queries), k), -np.inf)
     names = np.full((len(queries), k), -1, np.int64)
+    visited = np.zeros(len(queries), np.int64)
     gaps = box_gaps(projected, leaves.low, leaves.high)
     order = np.argsort(gaps, axis=1, kind="stable")
     alive = np.arange(len(queries))
-    square = (queries * queries).sum(axis=1)
     for turn in range(order.shape[1]):
         leaf = order[alive, turn]
-        reach = square[alive] + longest**2 - 2 * np.maximum(best[alive, -1], floor[alive])
+        reach = 2.0 - 2.0 * shrunk(np.maximum(best[alive, -1], floor[alive]), log[alive])
         going = chi_square(gaps[alive, leaf] / np.maximum(reach, 1e-12)) < stop
         alive, leaf = alive[going], leaf[going]
         if not len(alive):
             break
+        visited[alive] += 1
         for one in np.unique(leaf):
             who, rows = alive[leaf == one], leaves.rows[one]
             # One fixed order of summation, so that equal vectors have equal products.
-            score = (queries[who][:, None, :] * vectors[rows][None, :, :]).sum(axis=2)
-            score = np.concatenate([best[who], score], axis=1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (queries[who][:, None, :] * vectors[rows][None, :, :]).sum(axis=2)
+            score = np.concatenate([best[who], np.where(np.isnan(score), -np.inf, score)], axis=1)
             name = np.concatenate([names[who], np.broadcast_to(rows, (len(who), len(rows)))], axis=1)
             take = np.lexsort((name, -score), axis=1)[:, :k]
             best[who] = np.take_along_axis(score, take, axis=1)
             names[who] = np.take_along_axis(name, take, axis=1)
-    return best, names
+    return best, names, visited
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -176,7 +210,8 @@ def nearest(
     Equal vectors are indexed once, with their ``k + 1`` least ids, which is all that
     any query can return of them; so a vector that a third of all rows share is one
     point. Rows of a repeated ``vec_id`` count as one neighbour when their vectors are
-    equal. Other columns are ignored; an empty table gives no rows.
+    equal. Products beyond the range of doubles are infinite, those of no defined sign come last.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = prepare(vectors.sparkSession)
     rows = usable(vectors).withColumn("d", F.size("v")).withColumn("key", F.xxhash64("v"))
@@ -186,16 +221,17 @@ def nearest(
     points = written(
         members.groupBy("key", "v").agg(F.max("d").alias("d"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "points"
     ).withColumn("uid", F.monotonically_increasing_id())
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    squares = F.aggregate(F.transform("v", lambda x: x / F.col("top")), F.lit(0.0), lambda a, x: a + x * x)
+    points = points.withColumn("top", top).withColumn("log", F.log2("top") + 0.5 * F.log2(squares)).drop("top")
     points = written(points, "points")
     asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "key", "v").distinct()
     asked = written(asked.join(points.select("key", "v", "uid", "d"), ["key", "v"]).select("vec_id", "uid", "d", "v"), "queries")
 
     outs = []
-    for width, longest, number in (
-        points.groupBy("d").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).collect()
-    ):
-        outs.append(_of_width(points.filter(F.col("d") == width), asked.filter(F.col("d") == width), width,
-                              math.sqrt(longest), number, k, stop, fit_rows, cell_rows))
+    for width, longest in points.groupBy("d").agg(F.max("log")).collect():
+        of_width = points.filter(F.col("d") == width).withColumn("octave", F.floor(F.lit(longest) - F.col("log")).cast("int"))
+        outs.append(_of_width(of_width, asked.filter(F.col("d") == width), width, k, stop, fit_rows, cell_rows))
     if not outs:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = outs[0]
@@ -204,23 +240,60 @@ def nearest(
     return out
 
 
-def _of_width(points, asked, width, longest, number, k, stop, fit_rows, cell_rows):
+FOUND = "uid long, vec_id long, score double"
+
+
+def _of_width(points, asked, width, k, stop, fit_rows, cell_rows):
+    # One search per distinct vector asked; the reader's own row is taken out at the end.
+    distinct = asked.select("uid", "v").dropDuplicates(["uid"])
+    # There are about two thousand octaves in double precision.
+    octaves = {r["octave"]: r for r in points.groupBy("octave").agg(F.count("*").alias("n"), F.max("log").alias("log")).collect()}
+    by = W.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+    found = None
+    for first, last in length_bands([(o, r["n"]) for o, r in octaves.items()]):
+        inside = [r for o, r in octaves.items() if first <= o <= last]
+        band = points.filter(F.col("octave").between(first, last))
+        new = _search_band(band, distinct, found, width, max(r["log"] for r in inside), sum(r["n"] for r in inside),
+                           k, stop, fit_rows, cell_rows)
+        both = new if found is None else found.unionByName(new)
+        found = written(both.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k + 1).drop("_r"), "found")
+    own = asked.select(F.col("vec_id").alias("query_id"), "uid").join(found, "uid").filter("query_id != vec_id")
+    place = W.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
+    return own.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score")
+
+
+def _with_floor(queries, found, k):
+    """Queries with their k-th best product so far, null while there are fewer; one more counts for the query's own row."""
+    if found is None:
+        return queries.withColumn("floor", F.lit(None).cast("double"))
+    floors = found.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("m"))
+    floors = floors.select("uid", F.when(F.col("n") > k, F.col("m")).alias("floor"))
+    return queries.join(floors, "uid", "left").select("uid", "v", "floor")
+
+
+def _search_band(points, queries, found, width, log, number, k, stop, fit_rows, cell_rows):
     direction = projection(width + 1)
 
-    def project(batch_vectors) -> np.ndarray:
-        return lifted(np.array(batch_vectors, float).reshape(len(batch_vectors), width), longest) @ direction
+    def matrix(vectors) -> np.ndarray:
+        return np.array(vectors, float).reshape(len(vectors), width)
 
-    sample = points.orderBy(F.xxhash64("uid")).limit(fit_rows).select("v").collect()
-    tree = Splits(project([r["v"] for r in sample]), min(MAX_CELLS, max(1, number // cell_rows)))
+    def project(batches):
+        for batch in batches:
+            v = batch["v"].to_pylist()
+            yield {"uid": batch["uid"], "p": list(lifted(shrunk(matrix(v), log)) @ direction) if v else []}
+
+    # The sample reaches the driver as projected points of a few numbers.
+    sample = arrow_map(points.select("uid", "v"), "uid long, p array<double>", project)
+    sample = sample.orderBy(F.xxhash64("uid")).limit(fit_rows).select("p").collect()
+    tree = Splits(np.array([r["p"] for r in sample]).reshape(len(sample), DIMENSIONS), min(MAX_CELLS, max(1, number // cell_rows)))
 
     def deal(batches):
         for batch in batches:
             v = batch["v"].to_pylist()
-            yield {"cell": tree.cell(project(v)) if v else [], "uid": batch["uid"], "v": batch["v"], "ids": batch["ids"]}
+            yield {"cell": tree.cell(lifted(shrunk(matrix(v), log)) @ direction) if v else [], "uid": batch["uid"], "v": batch["v"], "ids": batch["ids"]}
 
     placed = written(arrow_map(points.select("uid", "v", "ids"), "cell long, uid long, v array<double>, ids array<long>", deal), "cells")
-    # One search per distinct vector asked; the reader's own row is taken out at the end.
-    distinct = asked.select("uid", "v").dropDuplicates(["uid"])
 
     def visit(batches, home: bool):
         # The lifted query has a zero last coordinate: its distance falls as the inner product rises.
@@ -228,40 +301,38 @@ def _of_width(points, asked, width, longest, number, k, stop, fit_rows, cell_row
             v, uid = batch["v"].to_pylist(), batch["uid"].to_numpy()
             if not v:
                 continue
-            x = np.array(v, float).reshape(len(v), width)
-            projected = np.column_stack([x, np.zeros(len(x))]) @ direction
+            x = matrix(v)
+            lengths = log_lengths(x)
+            projected = np.column_stack([shrunk(x, lengths), np.zeros(len(x))]) @ direction
             own = tree.cell(projected)
+            floor = np.array([f if f is not None else -np.inf for f in batch["floor"].to_pylist()])
+            level = shrunk(floor, lengths + log)
+            # No product with this band exceeds the lengths' product, which is level 1.
+            within = level <= 1 + 1e-9
             if home:
-                query, cell = np.arange(len(x)), own
+                query = np.flatnonzero(within)
+                cell = own[query]
             else:
-                floor = np.array([f if f is not None else -np.inf for f in batch["floor"].to_pylist()])
-                reach = np.maximum((x * x).sum(axis=1) + longest**2 - 2 * floor, 1e-12)
-                go = chi_square(tree.gaps(projected) / reach[:, None]) < stop
+                go = chi_square(tree.gaps(projected) / np.maximum(2.0 - 2.0 * level, 1e-12)[:, None]) < stop
                 go[np.arange(len(x)), own] = False
-                query, cell = np.nonzero(go)
-            yield {"cell": cell, "uid": uid[query], "v": [v[i] for i in query],
-                   "floor": [None] * len(query) if home else floor[query]}
+                query, cell = np.nonzero(go & within[:, None])
+            yield {"cell": cell, "uid": uid[query], "v": [v[i] for i in query], "floor": [None if f == -np.inf else f for f in floor[query]]}
 
     schema = "cell long, uid long, v array<double>, floor double"
+
     def searched(visits: DataFrame) -> DataFrame:
-        return _search_cells(placed, written(visits, "visits"), width, longest, direction, k, stop, cell_rows)
+        return _search_cells(placed, written(visits, "visits"), log, direction, k, stop, cell_rows)
 
-    first = written(searched(arrow_map(distinct, schema, lambda b: visit(b, True))), "found")
+    first = written(searched(arrow_map(_with_floor(queries, found, k), schema, lambda b: visit(b, True))), "found")
     # The k-th best product so far is what another cell must be able to beat.
-    floors = first.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("m"))
-    floors = floors.select("uid", F.when(F.col("n") > k, F.col("m")).alias("floor"))
-    again = distinct.join(floors, "uid", "left").select("uid", "v", "floor")
-    second = searched(arrow_map(again, schema, lambda b: visit(b, False)))
-
+    sofar = first if found is None else found.unionByName(first)
     by = W.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
-    found = first.unionByName(second).withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k + 1).drop("_r")
-    own = asked.select(F.col("vec_id").alias("query_id"), "uid").join(found, "uid").filter("query_id != vec_id")
-    place = W.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
-    return own.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    sofar = sofar.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k + 1).drop("_r")
+    second = searched(arrow_map(_with_floor(queries, sofar, k), schema, lambda b: visit(b, False)))
+    return first.unionByName(second)
 
 
-def _search_cells(placed, visits, width, longest, direction, k, stop, cell_rows):
+def _search_cells(placed, visits, log, direction, k, stop, cell_rows):
     """``uid, vec_id, score``: what each visit finds in its cell.
 
     A cell of more than twice ``cell_rows`` points is cut into slices, and its
@@ -285,18 +356,19 @@ def _search_cells(placed, visits, width, longest, direction, k, stop, cell_rows)
         points_frame = points_frame.assign(first=[i[0] for i in points_frame["ids"]]).sort_values("first", kind="stable")
         vectors = np.stack(points_frame["v"].to_numpy()).astype(float)
         ids = points_frame["ids"].tolist()
-        leaves = Leaves(lifted(vectors, longest) @ direction)
+        leaves = Leaves(lifted(shrunk(vectors, log)) @ direction)
         uid = query_frame["uid"].to_numpy()
         x = np.stack(query_frame["v"].to_numpy()).astype(float)
         floor = np.nan_to_num(query_frame["floor"].to_numpy(float), nan=-np.inf, neginf=-np.inf)
-        projected = np.column_stack([x, np.zeros(len(x))]) @ direction
+        lengths = log_lengths(x)
+        projected = np.column_stack([shrunk(x, lengths), np.zeros(len(x))]) @ direction
         out = []
         for at in range(0, len(x), QUERY_BLOCK):
             some = slice(at, at + QUERY_BLOCK)
-            best, names = search(x[some], projected[some], leaves, vectors, longest, k + 1, stop, floor[some])
+            best, names, _ = search(x[some], projected[some], leaves, vectors, lengths[some] + log, k + 1, stop, floor[some])
             for q, scores, rows in zip(uid[some], best, names):
                 out += [(q, i, score) for score, row in zip(scores, rows) if row >= 0 for i in ids[row]]
         return pd.DataFrame(out, columns=["uid", "vec_id", "score"]) if out else empty
 
     keys = ["cell", "slice", "grp"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "uid long, vec_id long, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, FOUND)
