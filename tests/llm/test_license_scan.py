@@ -52,3 +52,26 @@ def test_python_and_spark_agree_on_the_canonical_form(spark):
              "per cent per cent", "licence licence", "© z"]
     df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", ls.canonical(F.col("x")).alias("y"))
     assert {r.x: r.y for r in df.collect()} == {x: ls.canonical_line(x) for x in lines}
+
+
+def test_common_licences(spark):
+    files = {name: text for name, text in ls._texts()[::2]}
+    assert set(files) >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"}
+    texts = list(files.values())
+    texts += ["BSD 3-Clause License\n\nCopyright (c) 2019, X\n\n" + files["BSD-3-Clause"].replace("1.", "*").replace("2.", "*").replace("3.", "*")]
+    got = scanned(spark, texts)
+    assert [got[i].text_license for i in range(len(texts))] == [*files, "BSD-3-Clause"]
+    lines = {"SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "// SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0",
+             "                    GNU GENERAL PUBLIC LICENSE": "GPL", "This project is licensed under the MIT License.": "MIT",
+             "Licensed under the Mozilla Public Licence, version 2.0": "MPL-2.0", "an unlicensed line about licence": "",
+             "Distributed under the GNU Affero General Public License v3.0.": "AGPL-3.0"}
+    found = scanned(spark, [f"words before\n{x}\nwords after" for x in lines])
+    assert [found[i].line_licenses for i in range(len(lines))] == list(lines.values())
+
+
+def test_known_licences_from_a_table(spark):
+    known = spark.createDataFrame([("own-1", "Do what you like.\nBut ask."), ("own-2", "do WHAT you like, but ask"), (None, "x y"), ("own-3", None)], "id string, text string")
+    docs = spark.createDataFrame([(1, "Copyright (c) me\ndo what you like but ask!"), (2, ls.MIT), (3, None), (4, "a\nX, Y\nb")], "doc_id long, text string")
+    got = {r.doc_id: (r.text_license, r.n_license_lines) for r in ls.scan(docs, known).collect()}
+    assert got == {1: ("own-1", 1), 2: (None, 0), 3: (None, 0), 4: (None, 1)}
+    assert ls.scan(docs, known.limit(0)).count() == 4

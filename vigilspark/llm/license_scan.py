@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
-LICENSES = [
+NOTICES = [
     ("MIT", MIT), ("MIT", "MIT License\n" + MIT), ("MIT", "The MIT License (MIT)\n" + MIT),
     ("ISC", ISC), ("ISC", "ISC License\n" + ISC), ("Apache-2.0", APACHE),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
@@ -53,6 +55,48 @@ LICENSES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
+#: Licences with the names that notices and titles give them; fixed values.
+NAMES = {
+    "MIT": ["MIT License", "MIT license (MIT)", "Expat License"], "ISC": ["ISC License"], "Unlicense": ["Unlicense", "The Unlicense"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause License"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License Version 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2 license"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3 license"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0 Universal"], "Zlib": ["zlib License"], "GPL": ["GNU General Public License"],
+    "LGPL": ["GNU Lesser General Public License"], "AGPL": ["GNU Affero General Public License"],
+}
+SENTENCES = ["{}", "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This project is licensed under the {}.",
+             "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is licensed under the {}.",
+             "This software is released under the {}.", "This file is licensed under the {}."]
+VERSIONED = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+
+
+def _texts() -> list[tuple[str, str]]:
+    """The full texts that come with this module, also without the numbers of their list items."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        out += [(file.name.removesuffix(".txt"), x) for x in (text, re.sub(r"(?m)^\s*\d\.", "", text))]
+    return out
+
+
+def default_licenses() -> list[tuple[str, str]]:
+    """(licence, text) of all known texts and notices; the first licence of equal texts counts."""
+    named = [(key, sentence.format(name)) for key, names in NAMES.items() for name in names for sentence in SENTENCES]
+    titled = [(key, f"{name}\n{text}") for key, text in _texts() for name in NAMES.get(key, [])]
+    marks = [(key, f"SPDX-License-Identifier: {key}{end}") for key in NAMES if any(c.isdigit() for c in key) or key in ("MIT", "ISC", "Unlicense", "Zlib")
+             for end in ("", *(("-only", "-or-later") if key in VERSIONED else ()))]
+    return [*NOTICES, *_texts(), *titled, *named, *marks]
+
+
 # Equivalent words of licence matching guidelines, after punctuation is gone; fixed values.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
@@ -88,8 +132,15 @@ def canonical(line: Column) -> Column:
     return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(words))
 
 
-def known_digests(known: list[tuple[str, str]]) -> dict[str, tuple[str, int]]:
+@cache
+def _default_digests() -> dict[str, tuple[str, int]]:
+    return known_digests(default_licenses())
+
+
+def known_digests(known: list[tuple[str, str]] | None) -> dict[str, tuple[str, int]]:
     """digest -> (licence, canonical length); the first licence of equal texts."""
+    if known is None:
+        return _default_digests()
     out: dict[str, tuple[str, int]] = {}
     for name, text in known:
         plain = canonical_text(text)
@@ -97,9 +148,20 @@ def known_digests(known: list[tuple[str, str]]) -> dict[str, tuple[str, int]]:
     return out
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
+def digest_table(known: DataFrame) -> DataFrame:
+    """``digest, license, n`` of a table of known licences (``id``, ``text``); the least id of equal texts."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), canonical)
+    plain = known.select(F.col("id").cast("string").alias("license"), F.array_join(F.filter(lines, lambda x: x != ""), " ").alias("p"))
+    return plain.filter("p != ''").groupBy(F.sha2("p", 256).alias("digest")).agg(
+        F.min("license").alias("license"), F.first(F.length("p")).alias("n"))
+
+
+def scan(docs: DataFrame, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """One row per document: its canonical digest, its licence as a whole, the licences of its lines.
 
+    ``known`` is a list of (licence, text) or a table with ``id`` and ``text`` of any size; by
+    default the texts, names and notices of this module.
+
     ``text_license`` is null when the whole text is no known licence, ``line_licenses``
     an ordered comma-separated list (empty when no line is one). Null text is an
     empty one; empty lines match nothing; a licence text of several lines is found
@@ -107,19 +169,25 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     ignored; an empty table gives no rows.
     """
     spark = configure(docs.sparkSession)
-    digests = known_digests(known or LICENSES)
-    lengths = sorted({n for _, n in digests.values()})
+    if isinstance(known, DataFrame):
+        table = written(digest_table(known), "licenses")
+        span = table.agg(F.coalesce(F.min("n"), F.lit(1)), F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+        fits, number, table = lambda n: n.between(span[0], span[1]), span[2], table.drop("n")
+    else:
+        digests = known_digests(known)
+        lengths = sorted({n for _, n in digests.values()})
+        fits, number = lambda n: n.isin(*lengths), len(digests)
+        table = spark.createDataFrame([(d, n) for d, (n, _) in digests.items()], "digest string, license string")
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), canonical)
     text = F.array_join(F.filter("_l", lambda x: x != ""), " ")
     # Only a line as long as some known licence can be one; the others need no digest.
-    likely = F.filter("_l", lambda x: F.length(x).isin(*lengths))
+    likely = F.filter("_l", lambda x: fits(F.length(x)))
     rows = docs.select(F.col("doc_id").cast("long"), lines.alias("_l")).select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2(text, 256).alias("digest"),
         F.transform(likely, lambda x: F.sha2(x, 256)).alias("lines"),
     )
     rows = written(rows, "digests")
-    table = spark.createDataFrame([(d, n) for d, (n, _) in digests.items()], "digest string, license string")
-    if len(digests) <= BROADCAST_ROWS:
+    if number <= BROADCAST_ROWS:
         table = F.broadcast(table)
     found = rows.select("uid", F.explode("lines").alias("digest")).join(table, "digest")
     per = found.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"),
@@ -139,7 +207,7 @@ def _canonical_sql(x: str) -> str:
 
 
 def oracle_sql(known: list[tuple[str, str]] | None = None) -> str:
-    values = ", ".join(f"('{d}', '{n}')" for d, (n, _) in known_digests(known or LICENSES).items())
+    values = ", ".join(f"('{d}', '{n}')" for d, (n, _) in known_digests(known).items())
     return f"""
 WITH known(digest, license) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS uid, doc_id,
