@@ -55,6 +55,41 @@ def test_longer_layouts_and_unknown_records(spark):
     assert len(out) == 7 and [out[k].n_turns for k in (3, 4, 5, None, 6)] == [0, 0, 0, 0, 1]
 
 
+def test_further_fields_lose_no_turn(spark):
+    more = {"id": 7, "source": {"role": "x", "content": [1]}, "tags": ["a"]}
+    rows = []
+    for i, said in enumerate(SAY.values()):
+        said = json.loads(json.dumps(said))
+        for turn in next((v for v in said.values() if isinstance(v, list)), []):
+            turn |= {"name": "n", "meta": {"k": [{"z": 1}]}}
+        rows.append((i, json.dumps(more | said)))
+    rows.append((50, json.dumps(SAY["messages"] | {"prompt": "other"})))
+    rows.append((51, json.dumps(SAY["prompt_response"] | {"system": {"not": "plain"}})))
+    rows.append((52, json.dumps({"messages": [{"role": "user", "content": [{"type": "text"}]}]})))
+    turns = cf.turns_from_json(spark.createDataFrame(rows, "conv_id long, record string")).collect()
+    got = {}
+    for r in sorted(turns, key=lambda r: (r.conv_id, r.turn or 0)):
+        got.setdefault(r.conv_id, (r.layout, []))[1].append((r.role, r.text))
+    both = [("user", "q"), ("assistant", "a")]
+    assert {i: got[i] for i in range(len(SAY))} == {i: (name, both) for i, name in enumerate(SAY)}
+    assert got[50] == ("messages", both) and got[51] == ("prompt_response", both) and got[52] == (None, [(None, None)])
+
+
+def test_table_layouts(spark):
+    tables = {
+        "turn_rows": ([(1, 0, "user", "q", 9), (1, 1, "assistant", "a", 9)], "conv_id long, turn long, role string, text string, more int"),
+        "message_rows": ([("x", 1, 0, "user", "q"), ("x", 1, 1, "assistant", "a")], "source string, conversation_id long, message_index int, role string, content string"),
+        "speaker_rows": ([(1, 0, "human", "q"), (1, 1, "gpt", "a")], "conversation_id long, turn int, `from` string, value string"),
+        "prompt_response_rows": ([(1, "q", "a", "l")], "id long, prompt string, response string, lang string"),
+        "instruction_output_rows": ([(1, "q", "a")], "id long, instruction string, output string"),
+    }
+    for name, (rows, layout) in tables.items():
+        table = spark.createDataFrame(rows, layout)
+        assert cf.table_layout(table) == name
+        found = cf.turns_from_table(table).orderBy("turn").collect()
+        assert [(r.conv_id, r.turn, r.role, r.text) for r in found] == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+
+
 def test_hash_does_not_depend_on_order_or_values(spark):
     same = ['{"prompt": "x", "response": 1}', '{"response": null, "prompt": [1]}', '{"response": 2.5, "prompt": true}']
     df = spark.createDataFrame([(x,) for x in same], "r string").select(cf.json_fingerprint(F.col("r")).alias("f"))

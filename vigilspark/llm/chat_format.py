@@ -1,8 +1,9 @@
 """Chat formatting: heterogeneous records become canonical turns, then one marked text.
 
-Which mapping reads a record is decided by a fingerprint: the hash of its nested
-field paths. JSON records are fingerprinted row by row from their variant
-schema, tables once from their own schema. Everything is DataFrame functions.
+Which mapping reads a record is decided by a fingerprint: the hash of those of its
+nested field paths that some mapping names, so further fields do not matter. JSON
+records are fingerprinted row by row from their variant value, tables once from their
+own schema. Everything is DataFrame functions.
 
 A turn is written ``<|start|>role<|text|>text<|end|>``. In roles and texts
 ``&`` becomes ``&amp;`` and the first letter of each control string an entity,
@@ -40,26 +41,57 @@ LAYOUTS = {
     "instruction_input_output": ({"instruction": 0, "input": 0, "output": 0},
                                  [("user", "instruction"), ("user", "input"), ("assistant", "output")]),
 }
-TABLE_LAYOUT = {"conv_id": 0, "turn": 0, "role": 0, "text": 0}
+#: Table layout -> columns of conversation, order, role and text, or of conversation and [(role, column), ...].
+TABLE_LAYOUTS = {
+    "turn_rows": ("conv_id", "turn", "role", "text"),
+    "message_rows": ("conversation_id", "message_index", "role", "content"),
+    "speaker_rows": ("conversation_id", "turn", "from", "value"),
+    "prompt_response_rows": ("id", [("user", "prompt"), ("assistant", "response")]),
+    "system_prompt_response_rows": ("id", [("system", "system"), ("user", "prompt"), ("assistant", "response")]),
+    "instruction_output_rows": ("id", [("user", "instruction"), ("assistant", "output")]),
+}
+#: Plain values in the text of a variant's schema.
+_PLAIN = r"(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+, ?\d+\))"
+
+
+def paths(fields: dict) -> list[str]:
+    """Nested field paths of a layout, sorted."""
+    out = []
+    for name, inner in fields.items():
+        out.append(name)
+        if isinstance(inner, list):
+            out += [f"{name}[].{x}" for x in inner[0]]
+    return sorted(out)
+
 
+#: All paths that some mapping names; the others do not enter a fingerprint.
+NAMED = sorted({p for fields, _ in LAYOUTS.values() for p in paths(fields)})
 
-def shape(fields) -> str:
-    """Canonical text of nested field paths: names sorted, plain values unnamed."""
-    if isinstance(fields, dict):
-        return "OBJECT<" + ", ".join(f"{k}: {shape(v)}" for k, v in sorted(fields.items())) + ">"
-    if isinstance(fields, list):
-        return f"ARRAY<{shape(fields[0])}>"
-    return "_"
 
+def fingerprint(fields: dict | list[str]) -> str:
+    names = paths(fields) if isinstance(fields, dict) else sorted(fields)
+    return hashlib.sha256("\n".join(names).encode()).hexdigest()
 
-def fingerprint(fields) -> str:
-    return hashlib.sha256(shape(fields).encode()).hexdigest()
+
+def named_paths(record: Column) -> Column:
+    """Those named paths that a JSON record has, sorted; null when it cannot be read.
+
+    A field counts if its value is plain, a list if some element has such a field.
+    """
+    value = F.try_parse_json(record)
+    lists = {p.partition("[].")[0] for p in NAMED if "[]." in p}
+    found = []
+    for path in NAMED:
+        top, _, field = path.partition("[].")
+        kind = F.schema_of_variant(F.try_variant_get(value, f"$.{top}", "variant"))
+        wanted = rf"^ARRAY<OBJECT<(?:.*, )?{field}: {_PLAIN}[,>]" if field else "^ARRAY<OBJECT<" if top in lists else f"^{_PLAIN}$"
+        found.append(F.when(kind.rlike(wanted), F.lit(path)))
+    return F.when(value.isNotNull(), F.array_compact(F.array(*found)))
 
 
 def json_fingerprint(record: Column) -> Column:
     """Fingerprint of each JSON record; null when it cannot be read."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
-    return F.sha2(F.regexp_replace(schema, r"(?<=[<:] ?)[A-Z]+(\(\d+, ?\d+\))?(?=[,>])", "_"), 256)
+    return F.sha2(F.array_join(named_paths(record), "\n"), 256)
 
 
 def escape(text: Column) -> Column:
@@ -94,32 +126,62 @@ def _turns(record: Column, layout: str) -> Column:
 def turns_from_json(records: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
     """``conv_id, turn, role, text, layout``: one row per turn of each readable record.
 
-    The fingerprint selects the mapping; records of no known layout (or broken, null)
-    give one row with null ``layout``, ``turn``, ``role`` and ``text``, so none is lost.
+    The fingerprint selects the mapping, and further fields do not change it; a record that has
+    the paths of several mappings at once is read by the one with the most. Records of no known
+    layout (or broken, null) give one row with null ``layout``, ``turn``, ``role`` and ``text``,
+    so none is lost.
     """
-    read = records.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(record).alias("_r"),
-                          json_fingerprint(F.col(record)).alias("_f"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
+    found = records.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(record).alias("_r"), named_paths(F.col(record)).alias("_p"))
+    read = found.withColumn("_f", F.sha2(F.array_join("_p", "\n"), 256))
+    # Without a mapping of just these paths, the one with the most fields of which none is missing.
+    layout = F.lit(None).cast("string")
+    for name, (fields, _) in sorted(LAYOUTS.items(), key=lambda kv: len(paths(kv[1][0]))):
+        layout = F.when(F.size(F.array_except(F.array(*map(F.lit, paths(fields))), F.col("_p"))) == 0, F.lit(name)).otherwise(layout)
     for name, (fields, _) in LAYOUTS.items():
-        match = F.col("_f") == fingerprint(fields)
-        layout = F.when(match, F.lit(name)).otherwise(layout)
-        turns = F.when(match, _turns(F.col("_r"), name).cast(TURN)).otherwise(turns)
+        layout = F.when(F.col("_f") == fingerprint(fields), F.lit(name)).otherwise(layout)
+    read = read.select("conv_id", "_r", layout.alias("_layout"))
+    layout, turns = F.col("_layout"), F.lit(None).cast(TURN)
+    for name in LAYOUTS:
+        turns = F.when(layout == name, _turns(F.col("_r"), name).cast(TURN)).otherwise(turns)
     named = read.select("conv_id", layout.alias("layout"), turns.alias("_t"))
     return named.select("conv_id", "layout", F.posexplode_outer("_t").alias("turn", "_t")).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text", "layout"
     )
 
 
-def turns_from_table(table: DataFrame) -> DataFrame:
-    """The same columns from a table of turns; its schema's fingerprint must be the known one.
+def table_layout(table: DataFrame) -> str:
+    """The table layout that the fingerprint of the table's named columns selects."""
 
-    Only the paths that the layout names enter the hash: other columns are ignored.
-    """
-    found = {f.name: 0 for f in table.schema if f.name in TABLE_LAYOUT and isinstance(f.dataType, (T.AtomicType, T.NullType))}
-    if fingerprint(found) != fingerprint(TABLE_LAYOUT):
+    def columns(name: str) -> list[str]:
+        first, *rest = TABLE_LAYOUTS[name]
+        return [first, *([c for _, c in rest[0]] if isinstance(rest[0], list) else rest)]
+
+    named = {c for name in TABLE_LAYOUTS for c in columns(name)}
+    held = [f.name for f in table.schema if f.name in named and isinstance(f.dataType, (T.AtomicType, T.NullType))]
+    prints = {fingerprint(columns(name)): name for name in TABLE_LAYOUTS}
+    if fingerprint(held) in prints:
+        return prints[fingerprint(held)]
+    # As with records: the most fields, none missing; the first of equally many.
+    able = [name for name in TABLE_LAYOUTS if set(columns(name)) <= set(held)]
+    if not able:
         raise ValueError(f"no known layout has the fields {sorted(table.columns)}")
-    return table.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"),
-                        F.col("text").cast("string"), F.lit("turn_rows").alias("layout"))
+    return max(able, key=lambda name: len(columns(name)))
+
+
+def turns_from_table(table: DataFrame) -> DataFrame:
+    """The same columns from a table of turns, or of one conversation a row, by its layout; other columns are ignored."""
+    layout = table_layout(table)
+    conv, *rest = TABLE_LAYOUTS[layout]
+    if isinstance(rest[0], list):
+        said = F.array(*[F.struct(F.lit(role).alias("role"), F.col(f"`{c}`").cast("string").alias("text")) for role, c in rest[0]])
+        rows = table.select(F.col(conv).cast("long").alias("conv_id"), F.posexplode(said).alias("turn", "_t"))
+        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text", F.lit("turn_rows").alias("layout"))
+    turn, role, text = rest
+    name = F.col(f"`{role}`").cast("string")
+    if role == "from":
+        name = F.coalesce(F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv])[name], name)
+    return table.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), name.alias("role"),
+                        F.col(text).cast("string").alias("text"), F.lit("turn_rows").alias("layout"))
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
