@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, prepare
 
 MARK = "▁"
-#: Chunks kept by one worker process; the table starts anew beyond it.
-CACHE = 1_200_000
+#: Chunks kept by one worker process, and their length at most; the table starts anew beyond it.
+CACHE, CACHED_LENGTH = 1_200_000, 48
 
 
 def default_path() -> str:
@@ -209,14 +209,20 @@ class PieceCodec:
         if len(coded) > CACHE:
             coded.clear()
             plain.clear()
+        once = []
         for chunk in chunks:
             if chunk not in coded:
                 ids = self.chunk_ids(chunk)
                 coded[chunk] = ",".join(map(str, ids))
                 decoded = self.marked(ids)
                 plain[chunk] = chunk if decoded == chunk else decoded
+                if len(chunk) > CACHED_LENGTH:
+                    once.append(chunk)
         ids = ",".join(map(coded.__getitem__, chunks))
         decoded = "".join(map(plain.__getitem__, chunks)).removeprefix(MARK).replace(MARK, " ")
+        # Texts without blanks have chunks as long as a sentence or more, which seldom recur.
+        for chunk in once:
+            del coded[chunk], plain[chunk]
         return (ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
                 hashlib.sha256(decoded.encode()).hexdigest())
 
