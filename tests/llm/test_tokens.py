@@ -150,3 +150,10 @@ def test_damage_is_found():
         bad[at] ^= 4
         with pytest.raises(ValueError):
             binary_output.unframe(memoryview(bad))
+
+
+def test_folders_are_qualified_by_spark(spark, tmp_path):
+    assert binary_output.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert binary_output.qualified(spark, f"file://{tmp_path}/x") == f"file://{tmp_path}/x"
+    store, root = binary_output.open_store(binary_output.qualified(spark, str(tmp_path)))
+    assert root == str(tmp_path) and store.type_name == "local"

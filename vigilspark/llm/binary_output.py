@@ -63,8 +63,15 @@ def unframe(data: memoryview) -> tuple[int | None, np.ndarray]:
     return (row_id if has_id else None), np.frombuffer(payload, f"<u{width}", n, struct.calcsize(HEAD))
 
 
+def qualified(spark, uri: str) -> str:
+    """The folder with the scheme of the file system that Spark takes it to lie on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def open_store(uri: str):
-    """Filesystem and path of a folder that all executors share."""
+    """Filesystem and path of a folder that all executors share; name it with its scheme (see ``qualified``)."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -89,6 +96,7 @@ def write_records(
     hot key. An empty table gives an empty index. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
+    uri = qualified(spark, uri)
     path = tokenizer or default_path()
     order = ["doc_id", "_h", "_p"]
     rows = docs.select(
@@ -150,6 +158,8 @@ def read_records(index: DataFrame, uri: str, digest: bool = False) -> DataFrame:
     """
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>")
 
+    uri = qualified(index.sparkSession, uri)
+
     def read(batches):
         store, root = open_store(uri)
         for batch in batches:
