@@ -234,3 +234,18 @@ def test_same_rules_share_a_condition(anomalies):
     graph = parse_graph(graphs.graph([RISK, ("out", "alert", {})], [("m", "out")]))
     out = R.evaluate(anomalies, [(i, graph) for i in range(5)])
     assert out.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").count() == 5
+
+
+def test_totals_of_many_rules_compile_each_condition_once(spark, anomalies, monkeypatch):
+    two = graphs.graph([RISK, ("out", "alert", {}), ("more", "alert", {"severity": "low"})], [("m", "out"), ("m", "more")])
+    texts = [graphs.RISK_ABOVE.replace("#", str(i % 3 * 60)) for i in range(300)] + [two, graphs.CYCLE, graphs.BAD_PARTS, graphs.BAD_THRESHOLD, "[]", "{not", None]
+    rules = spark.createDataFrame([(i, True, "flow", x) for i, x in enumerate(texts)],
+                                  "id int, enabled boolean, rule_type string, flow_graph string")
+    compiled, compile_one = [], R.compile_rule
+    monkeypatch.setattr(R, "compile_rule", lambda graph, *a, **k: compiled.append(graph) or compile_one(graph, *a, **k))
+    found = {tuple(r) for r in R.rule_totals(anomalies, rules, mins={"first": "anomaly_id"}, sums={"total": "anomaly_id"}).collect()}
+    assert len(compiled) < 30
+    every = R.evaluate(anomalies, rules)
+    assert len(compiled) < 60
+    assert found == {tuple(r) for r in every.groupBy("rule_id").agg(F.count(F.lit(1)), F.min("anomaly_id"), F.sum("anomaly_id")).collect()}
+    assert (300, 4, 1, 6) in found and len(found) == 201

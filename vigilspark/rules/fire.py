@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +28,24 @@ def collect_rules(rules: DataFrame, model_id=None) -> list[tuple]:
     """(id, graph) of the enabled flow rules, for one model or for all, in id order.
 
     Rules that cannot be read or compiled are left out; ``rule_issues`` and
-    ``uncompiled`` name them. Rules are metadata: the driver holds the table.
+    ``uncompiled`` name them. Each distinct condition is tried once. The driver holds
+    the table: every match names its rule, so the matches outgrow the rules by far.
+    ``rule_totals`` does without.
     """
+    rows = _enabled(rules, model_id).collect()
+    parsed = [(r["id"], parse_graph(r["flow_graph"])) for r in sorted(rows, key=lambda r: r["id"])]
+    kept = [(rule, graph) for rule, graph in parsed if graph is not None and graph.alerts and not graph.faults]
+    sound = {key for key, graph in _distinct(kept).items() if fault_of(graph) is None}
+    return [(rule, graph) for rule, graph in kept if condition_key(graph) in sound]
+
+
+def _enabled(rules: DataFrame, model_id) -> DataFrame:
+    """``id, flow_graph`` of the enabled flow rules, for one model or for all."""
     if model_id is not None:
         found = relevant(rules, model_id)
     else:
         found = rules.where(F.col("enabled") & (F.col("rule_type") == "flow"))
-    rows = found.where(F.col("flow_graph").isNotNull()).select("id", "flow_graph").collect()
-    parsed = [(r["id"], parse_graph(r["flow_graph"])) for r in sorted(rows, key=lambda r: r["id"])]
-    return [(rule, graph) for rule, graph in parsed if graph is not None and graph.alerts and fault_of(graph) is None]
+    return found.where(F.col("flow_graph").isNotNull()).select("id", "flow_graph")
 
 
 def fault_of(graph) -> str | None:
@@ -75,32 +86,22 @@ FATAL = ("graph is empty", "graph has a cycle", "threshold is not a number", "no
 MATCH_FIELDS = "_code int, rule_id {kind}, rule_order int, alert_node int, severity string, message string, action string"
 
 
-def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
-    """One row per anomaly and alert node that fires. Stateless, so it also runs on a stream.
+def _hits(anomalies: DataFrame, graphs: dict[str, object]) -> tuple[DataFrame, dict[tuple, int]]:
+    """(anomalies with the ``_code`` of each condition that fires, codes by condition and alert node).
 
-    ``anomalies`` carries the case flags the rules need. Each distinct condition is
-    evaluated once, in one pass over the anomalies for any number of rules; the
-    numbers of those that fire are exploded and joined to the alerts that have them.
+    Each condition is evaluated once, in one pass over the anomalies.
     """
     columns = anomalies.columns
     conditions: dict[tuple, int] = {}
     fired: list[Column] = []
-    for key, graph in _distinct(rules).items():
+    for key, graph in graphs.items():
         for i, alert in enumerate(compile_rule(graph, columns)[0]):
             conditions[key, i] = len(fired)
             fired.append(alert.fires)
-    texts = []
-    for order, (rule_id, graph) in enumerate(rules):
-        key = condition_key(graph)
-        for i, (_, data) in enumerate(graph.alerts):
-            said = (data.get("severity", "high"), data.get("message", "rule triggered"), data.get("action", "fire_alert"))
-            texts.append((conditions[key, i], rule_id, order, i, *map(str, said)))
 
     def given(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in columns else F.lit(default)
 
-    kind = "string" if texts and isinstance(texts[0][1], str) else "long"
-    known = anomalies.sparkSession.createDataFrame(texts, MATCH_FIELDS.format(kind=kind))
     numbers = [F.when(c, F.lit(i)) for i, c in enumerate(fired)]
     arrays = [F.array(*numbers[at : at + CONDITIONS_PER_ARRAY]) for at in range(0, len(numbers), CONDITIONS_PER_ARRAY)]
     codes = F.filter(F.concat(*arrays), lambda c: c.isNotNull()) if arrays else F.expr("CAST(array() AS array<int>)")
@@ -118,9 +119,86 @@ def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
         F.col("timestamp").alias("event_time"),
         F.explode(codes).alias("_code"),
     )
+    return hits, conditions
+
+
+def _said(data: dict) -> tuple[str, str, str]:
+    """Severity, message and action of an alert node."""
+    return str(data.get("severity", "high")), str(data.get("message", "rule triggered")), str(data.get("action", "fire_alert"))
+
+
+def match(anomalies: DataFrame, rules: list[tuple]) -> DataFrame:
+    """One row per anomaly and alert node that fires. Stateless, so it also runs on a stream.
+
+    ``anomalies`` carries the case flags the rules need. Each distinct condition is
+    evaluated once, in one pass over the anomalies for any number of rules; the
+    numbers of those that fire are exploded and joined to the alerts that have them.
+    """
+    hits, conditions = _hits(anomalies, _distinct(rules))
+    texts = []
+    for order, (rule_id, graph) in enumerate(rules):
+        key = condition_key(graph)
+        for i, (_, data) in enumerate(graph.alerts):
+            texts.append((conditions[key, i], rule_id, order, i, *_said(data)))
+    kind = "string" if texts and isinstance(texts[0][1], str) else "long"
+    known = anomalies.sparkSession.createDataFrame(texts, MATCH_FIELDS.format(kind=kind))
     return hits.join(known, "_code").drop("_code")
 
 
+def _rule_table(rules: DataFrame, model_id=None) -> tuple[dict[str, object], DataFrame]:
+    """(a graph for each distinct condition that compiles, by its key; ``rule_id, _key, alert_node`` of all readable rules).
+
+    The rules are dealt out by id and read in tasks, as a small file may hold very many.
+    The driver gets one text for each distinct condition.
+    """
+
+    def read(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            found = []
+            for rule_id, text in zip(batch.column("id").to_pylist(), batch.column("flow_graph").to_pylist()):
+                graph = parse_graph(text)
+                if graph is None or graph.faults or not graph.alerts:
+                    continue
+                key = hashlib.sha256(condition_key(graph).encode("utf-8", "surrogatepass")).hexdigest()
+                found += [(rule_id, key, i, None if i or key in seen else text) for i in range(len(graph.alerts))]
+                seen.add(key)
+            columns = list(zip(*found)) or [(), (), (), ()]
+            kinds = [batch.schema.field("id").type, pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["rule_id", "_key", "alert_node", "_text"])
+
+    kind = rules.schema["id"].dataType.simpleString()
+    table = written(
+        _enabled(rules, model_id).repartition("id").mapInArrow(read, f"rule_id {kind}, _key string, alert_node int, _text string"), "rules")
+    texts = table.where(F.col("_text").isNotNull()).groupBy("_key").agg(F.min("_text").alias("_text")).collect()
+    graphs = {r["_key"]: parse_graph(r["_text"]) for r in sorted(texts)}
+    return {key: graph for key, graph in graphs.items() if fault_of(graph) is None}, table.drop("_text")
+
+
+def rule_totals(
+    anomalies: DataFrame, rules: DataFrame, model_id=None,
+    cases: DataFrame | None = None, links: DataFrame | None = None,
+    mins: dict[str, str] | None = None, sums: dict[str, str] | None = None,
+) -> DataFrame:
+    """``rule_id, n`` and totals of what ``evaluate`` finds, for the rules that match something.
+
+    ``mins`` and ``sums`` map an output column to a column of the matches. Rules with
+    the same condition have the same matches, so these are added up once for each
+    distinct condition and no match is repeated for each rule.
+    """
+    mins, sums = mins or {}, sums or {}
+    graphs, table = _rule_table(rules, model_id)
+    hits, conditions = _hits(_with_flags(anomalies, list(graphs.items()), cases, links), graphs)
+    least = [F.min(v).alias(o) for o, v in mins.items()]
+    by_code = hits.groupBy("_code").agg(F.count(F.lit(1)).alias("n"), *least, *[F.sum(v).alias(o) for o, v in sums.items()])
+    codes = anomalies.sparkSession.createDataFrame(
+        [(key, i, code) for (key, i), code in conditions.items()], "_key string, alert_node int, _code int")
+    # A rule may have several alert nodes.
+    return table.join(codes.join(by_code, "_code"), ["_key", "alert_node"]).groupBy("rule_id").agg(
+        F.sum("n").alias("n"), *[F.min(o).alias(o) for o in mins], *[F.sum(o).alias(o) for o in sums])
+
+
 def uncompiled(rules: DataFrame) -> DataFrame:
     """``rule_id, fault`` of the enabled flow rules that evaluation leaves out, checked in parallel."""
     kind = rules.schema["id"].dataType.simpleString()
@@ -146,14 +224,22 @@ def evaluate(
     One faulty rule does not keep the others from being evaluated.
     """
     compiled = collect_rules(rules, model_id) if isinstance(rules, DataFrame) else rules
-    flags = required_flags(compiled, anomalies.columns)
-    if flags:
-        if cases is None or links is None:
-            raise RuleError("a case node needs the case tables")
-        known = known_anomalies if known_anomalies is not None else anomalies
-        anomalies = anomalies.where(could_fire(compiled, anomalies.columns))
-        anomalies = with_case_flags(anomalies, cases, links, known, flags)
-    return match(anomalies, compiled)
+    return match(_with_flags(anomalies, compiled, cases, links, known_anomalies), compiled)
+
+
+def _with_flags(
+    anomalies: DataFrame, rules: list[tuple], cases: DataFrame | None, links: DataFrame | None,
+    known_anomalies: DataFrame | None = None,
+) -> DataFrame:
+    """Anomalies that may fire, with the case flags that the rules need."""
+    flags = required_flags(rules, anomalies.columns)
+    if not flags:
+        return anomalies
+    if cases is None or links is None:
+        raise RuleError("a case node needs the case tables")
+    known = known_anomalies if known_anomalies is not None else anomalies
+    anomalies = anomalies.where(could_fire(rules, anomalies.columns))
+    return with_case_flags(anomalies, cases, links, known, flags)
 
 
 def alert_rows(matches: DataFrame, created_at: Column) -> DataFrame:
