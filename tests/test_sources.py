@@ -128,6 +128,31 @@ def test_audit(spark, tmp_path):
     assert got == {"a.py": "ok", "b.py": "mismatch", "c.py": "missing"}
 
 
+def test_audited_folders_are_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Documents in six files: no task gets a whole language, and a language still counts once."""
+    from vigilspark.operators import joins
+    from vigilspark.plans.catalog import QUERIES
+
+    rows = [(("de", "en", "x y", None)[i % 4], f"text {i}") for i in range(120)]
+    spark.createDataFrame(rows, "lang string, text string").repartition(6).write.option("parquet.block.size", 1024).parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("ASIA",), ("EUROPE",)], "r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    listed = []
+
+    def hash_all(*args):
+        listed.append(hash_files(*args))
+        return listed[-1]
+
+    monkeypatch.setattr(joins, "hash_files", hash_all)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = {tuple(r) for r in QUERIES["j12_audit_hashes"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {("copy", "ok", 4), ("swapped", "mismatch", 4), ("gone", "missing", 2)}
+    assert listed[0].count() > 2 * 4
+
+
 def test_coercion_rules(spark):
     df = spark.createDataFrame([("1", "1", "NaN", "1d"), ("x", "2", "2", "2f"), ("3", None, "3", "3")], "a string, b string, c string, d string")
     assert dict(P.coerce_numeric(df).dtypes) == {"a": "double", "b": "double", "c": "double", "d": "string"}
