@@ -57,6 +57,32 @@ def test_timer_clears_an_ended_job(spark, tmp_path):
         ("a", 1, "status", "failed"), ("a", 1, "done", "failed"), ("a", 502, "status", "running"), ("b", 500, "status", "running")]
 
 
+def test_a_job_is_judged_without_a_frame():
+    """Rows in, rows out, one read and one write of the state: a frame for each job took most of the time."""
+    from pyspark.sql import Row
+
+    class State:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    judge, state, timers = status.StatusChanges(timedelta(days=1)), State(), []
+    judge.last, judge.handle = state, type("Handle", (), {"registerTimer": lambda self, at: timers.append(at)})()
+    big = 2**53 + 1
+    rows = [Row(job_id="a", status=s, us=us, seq=i, progress=None, epoch_current=e, epoch_total=None, loss=None)
+            for i, (s, us, e) in enumerate([("running", 2000, big), ("queued", 1000, None), ("running", 3000, 1), ("failed", 4000, 2), ("running", 5000, 3)])]
+    found = [(r["event"], r["status"], r["at"], r["epoch_current"]) for r in judge.handleInputRows(("a",), iter(rows), None)]
+    assert found == [("status", "queued", 1000, None), ("status", "running", 2000, big), ("status", "failed", 4000, 2), ("done", "failed", 4000, 2)]
+    assert state.calls == ["get", "update"] and state.value == ("failed", 4000, 3, True) and timers == [4 + 86_400_000]
+    assert list(judge.handleInputRows(("a",), iter(rows), None)) == []
+
+
 def test_setting_of_the_state_store_is_put_back(spark, tmp_path):
     before = spark.conf.get(status._PROVIDER, None)
     events(spark, tmp_path, [[("a", "running", 1)]])
