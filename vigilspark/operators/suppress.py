@@ -34,6 +34,8 @@ from ..session import written
 from .scan import null_safe_join, running
 
 FOLD_ROWS = 50_000
+# A task of a shuffle gets about so many rows at most; more rows make more tasks.
+TASK_ROWS = 500_000
 
 
 def _micros(text: str) -> int:
@@ -42,6 +44,16 @@ def _micros(text: str) -> int:
     return int(float(amount) * seconds * 1_000_000)
 
 
+def _dealt(df: DataFrame, rows: int, *columns) -> DataFrame:
+    """``df`` dealt out so that a task sorts about ``TASK_ROWS`` rows, however large the table is.
+
+    The session's number of shuffle partitions is fixed and adaptive execution only
+    lowers it. It is left alone while there is no more than one such task per core.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *columns) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def first_per_key(candidates: DataFrame, keys: list[str], ts: str, tie: str = "id") -> DataFrame:
     fields = [c for c in candidates.columns if c not in keys]
     picked = candidates.groupBy(*keys).agg(
@@ -73,19 +85,19 @@ def suppress(
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     # Only one row per instant can be kept, and only its id is needed.
     points = candidates.groupBy(*keys, micros.alias("_t")).agg(F.min(tie).alias("_id"))
+    rows = candidates.count()
     points = written(points.withColumn("_b", F.floor(F.col("_t") / width).cast("long")), "points")
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = written(sizes.where(F.col("_n") > fold_rows).select(*keys, F.lit(True).alias("_large")), "large")
     if large.isEmpty():
-        kept = _folded(points, keys, width)
+        kept = _folded(points, keys, width, rows=rows)
     else:
         marked = null_safe_join(points, large, keys)
-        kept = _folded(marked.where(F.col("_large").isNull()), keys, width)
+        kept = _folded(marked.where(F.col("_large").isNull()), keys, width, rows=rows)
         hot = written(marked.where("_large").drop("_large"), "hot")
         kept = kept.unionByName(_by_runs(hot, keys, width, fold_rows))
-    return candidates.join(kept.select(F.col("_id").alias(tie)), tie, "left_semi").select(
-        *candidates.columns
-    )
+    ids = _dealt(kept.select(F.col("_id").alias(tie)), rows, tie)
+    return _dealt(candidates, rows, tie).join(ids, tie, "left_semi").select(*candidates.columns)
 
 
 def _by_runs(points: DataFrame, keys: list[str], width: int, fold_rows: int) -> DataFrame:
@@ -141,15 +153,15 @@ def _blocks(points: DataFrame, keys: list[str], fold_rows: int) -> tuple[DataFra
     return members, ordered
 
 
-def _folded(points: DataFrame, group: list[str], width: int, after: str | None = None) -> DataFrame:
+def _folded(points: DataFrame, group: list[str], width: int, after: str | None = None, rows: int = 0) -> DataFrame:
     """Greedy scan of groups in one sorted pass; ``after`` is the earliest time that may be kept.
 
     A task carries only the group at hand and its last kept time, so the work is
     linear and no group is gathered.
     """
     begin = F.col(after) - width if after else F.lit(None).cast("long")
-    rows = points.select(F.to_json(F.struct(*group)).alias("_key"), "_t", "_id", begin.alias("_begin"))
-    rows = rows.repartition("_key").sortWithinPartitions("_key", "_t")
+    named = points.select(F.to_json(F.struct(*group)).alias("_key"), "_t", "_id", begin.alias("_begin"))
+    named = _dealt(named.repartition("_key"), rows, "_key").sortWithinPartitions("_key", "_t")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last = None, None
@@ -170,7 +182,7 @@ def _folded(points: DataFrame, group: list[str], width: int, after: str | None =
                     at += 1 + int(np.searchsorted(times[at + 1 : end], last + width))
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(kept, pa.int64()))], names=["_id"])
 
-    return rows.mapInArrow(scan, T.StructType([points.schema["_id"]]))
+    return named.mapInArrow(scan, T.StructType([points.schema["_id"]]))
 
 
 def walk(times: np.ndarray, entries: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
