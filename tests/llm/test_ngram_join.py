@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from vigilspark.llm import ngram_join
@@ -127,3 +129,26 @@ def test_keep_one_with_a_hot_id_of_equal_rows(spark):
     rows = [(5, text)] * 3000 + [(6, text), (5, "another text that stays whole here")] + [(i, f"lone text number {i} with words") for i in range(100, 200)]
     kept = ngram_join.keep_one(frame(spark, rows)).collect()
     assert len(kept) == 102 and sum(r["doc_id"] == 5 for r in kept) == 2
+
+
+def test_filter_is_filled_where_its_bits_lie():
+    at = np.random.default_rng(1).integers(0, 1 << 20, 5_000)
+    flags = np.zeros(1 << 20, np.uint8)
+    flags[at] = 1
+    packed = np.zeros(1 << 17, np.uint8)
+    ngram_join.set_bits(packed, at)
+    assert (packed == np.packbits(flags)).all()
+
+
+def test_tasks_get_small_batches(spark):
+    """Tasks of these operators hold several times a batch, so a batch is short."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["a", "b", "c", "d"], k=30)), 1) for i in range(1_500)], "doc_id long, text string, at int")
+    ngram_join.keep_one(docs).count()
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    assert docs.repartition(1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] <= 512
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import WordHashes, arrow_map, mix, prepare
+from .common import SMALL_BYTES, SMALL_ROWS, WordHashes, arrow_map, mix, prepare
 
 WORDS = 5
 PERCENT = 80
@@ -96,10 +96,9 @@ def frequency_sketch(docs: DataFrame, size: int, counters: int = COUNTERS) -> np
     def count(batches):
         words, total = WordHashes(), np.zeros(counters, np.uint32)
         for batch in batches:
-            sets = [shingle_set(t, words, size) for t in batch["text"].to_pylist()]
-            if sets:
-                low = (np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64)
-                total += np.bincount(low, minlength=counters).astype(np.uint32)
+            for text in batch["text"].to_pylist():
+                # One text at a time; nothing as long as the counters is made for a batch.
+                np.add.at(total, (shingle_set(text, words, size) & np.uint64(counters - 1)).astype(np.intp), np.uint32(1))
         if total.any():
             yield {"v": [zlib.compress(total.tobytes(), 1)]}
 
@@ -210,6 +209,11 @@ def star_postings(classes: DataFrame, percent: int) -> DataFrame:
     return arrow_map(postings, "h long, key long, i int, f int, hub long, hub_f int, wide boolean", hubs)
 
 
+def set_bits(packed: np.ndarray, at: np.ndarray) -> None:
+    """Set the bits numbered ``at``, the highest of a byte first, where they lie."""
+    np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+
+
 def membership(ids: DataFrame, column: str, docs: DataFrame) -> tuple[DataFrame, Broadcast | None]:
     """Rows of ``docs`` whose ``column`` may be in ``ids``: a bit set of bounded size, only to spare a shuffle.
 
@@ -225,11 +229,11 @@ def membership(ids: DataFrame, column: str, docs: DataFrame) -> tuple[DataFrame,
         return np.stack([mixed & np.uint64(bits - 1), (mixed >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
 
     def fill(batches):
-        total = np.zeros(bits, np.uint8)
+        total = np.zeros(bits >> 3, np.uint8)
         for batch in batches:
-            total[places(batch[column].to_numpy()).ravel()] = 1
+            set_bits(total, places(batch[column].to_numpy()).ravel())
         if total.any():
-            yield {"v": [zlib.compress(np.packbits(total).tobytes(), 1)]}
+            yield {"v": [zlib.compress(total.tobytes(), 1)]}
 
     packed = tree_merge(arrow_map(ids.select(column), "v binary", fill), union=True)
     if packed is None:
@@ -468,7 +472,7 @@ def join_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     shingle. Rows with a null id take no part and have a null component; equal
     rows share a class. Other columns are ignored; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_ROWS, SMALL_BYTES)
     sets, facts, comps = linked_classes(docs, size, percent, counters)
     of_class = written(_component_ids(facts, comps), "classes")
     lone = sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -490,7 +494,7 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     ``doc_id`` stays, among those the one of the least hash of its text, then of all its columns.
     Every component thus keeps exactly one row. Columns may have any names, also those used here.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_ROWS, SMALL_BYTES)
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("words"))
     lone = F.col("id").isNull() | (F.btrim(F.coalesce("words", F.lit("")), F.lit(" \t\n\x0b\f\r")) == "")
     sets, facts, comps = linked_classes(docs, size, percent)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import arrow_map, prepare
+from .common import SMALL_BYTES, SMALL_ROWS, arrow_map, prepare
 from .tokens import ByteEncoder, default_path
 
 CAPACITY = 2048
@@ -184,5 +184,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     Null text is an empty one and still holds its end token; null or repeated ids
     are kept as they are; other columns are ignored; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_ROWS, SMALL_BYTES)
     return pack_pieces(document_pieces(docs, tokenizer, end_id, capacity), capacity, part_items)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..detect import training
 from ..session import written
-from .common import arrow_map, prepare
+from .common import SMALL_BYTES, SMALL_ROWS, WORD_LIMIT, arrow_map, prepare
 
 PASSAGE = 100  # words
 SHAPES, ENDINGS = 192, 320
@@ -45,7 +45,7 @@ def word_codes(word: bytes) -> tuple[int, int]:
 class Bags:
     """Passages of texts as count vectors, built for a whole batch."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = WORD_LIMIT):
         self.limit, self.codes = limit, {}
 
     def passages(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rou
     Of several rows with one labelled id that of the least text hash counts. None when there are
     no labels of both kinds.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_ROWS, SMALL_BYTES)
 
     def bags(batches):
         builder = Bags()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import WordIds, arrow_map, prepare
+from .common import SMALL_BYTES, SMALL_ROWS, WordIds, arrow_map, prepare
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -221,7 +221,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int
     labels only the base rules decide (``score`` is 1). Null and repeated ids are
     judged row by row; other columns are ignored; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_ROWS, SMALL_BYTES)
     statistics = written(document_statistics(docs), "statistics")
     model = fit_rules(statistics, labels, rows)
 
@@ -247,7 +247,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int =
     is what another filter has left of them. Without labels of both kinds there are no trees;
     the base rules then decide alone, and a warning says so.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_ROWS, SMALL_BYTES)
     model = fit_rules(document_statistics(docs if fit_on is None else fit_on), labels, rows)
     if model is None:
         warnings.warn("no labels of both kinds among the documents: only the base rules decide", stacklevel=2)
