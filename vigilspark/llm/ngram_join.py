@@ -214,12 +214,12 @@ def set_bits(packed: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
 
 
-def membership(ids: DataFrame, column: str, docs: DataFrame) -> tuple[DataFrame, Broadcast | None]:
-    """Rows of ``docs`` whose ``column`` may be in ``ids``: a bit set of bounded size, only to spare a shuffle.
+def membership(ids: DataFrame, number: int, column: str, docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """Rows of ``docs`` whose ``column`` may be in any column of ``ids``: a bit set of bounded size, only to spare a shuffle.
 
-    The bit set is returned as well; destroy it once the rows have been used.
+    ``ids`` holds ``number`` ids, one at least; repeated ones only make the bit set larger. It is
+    returned as well; destroy it once the rows have been used.
     """
-    number = ids.count()
     bits = 1 << 12
     while bits < min(FILTER_BITS, 12 * number):
         bits *= 2
@@ -231,13 +231,12 @@ def membership(ids: DataFrame, column: str, docs: DataFrame) -> tuple[DataFrame,
     def fill(batches):
         total = np.zeros(bits >> 3, np.uint8)
         for batch in batches:
-            set_bits(total, places(batch[column].to_numpy()).ravel())
+            for some in batch.values():
+                set_bits(total, places(some.to_numpy()).ravel())
         if total.any():
             yield {"v": [zlib.compress(total.tobytes(), 1)]}
 
-    packed = tree_merge(arrow_map(ids.select(column), "v binary", fill), union=True)
-    if packed is None:
-        return docs.limit(0), None
+    packed = tree_merge(arrow_map(ids, "v binary", fill), union=True)
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # at most FILTER_BITS / 8 bytes
 
     @F.pandas_udf("boolean")
@@ -250,11 +249,11 @@ def membership(ids: DataFrame, column: str, docs: DataFrame) -> tuple[DataFrame,
     return docs.filter(F.col(column).isNotNull()).filter(may_hold(F.col(column))), shared
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, of classes; a_rep, b_rep, a document of each) whose whole texts link."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a_rep").alias("doc_id")).union(pairs.select("b_rep")).distinct()
-    texts, shared = membership(ids, "doc_id", docs)
+def verify(pairs: DataFrame, number: int, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the ``number`` stored pairs (a, b, of classes; a_rep, b_rep, a document of each) those whose whole texts link."""
+    if not number:
+        return pairs.select("a", "b")
+    texts, shared = membership(pairs.select("a_rep", "b_rep"), 2 * number, "doc_id", docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("b_rep"), F.col("text").alias("b_text")), "b_rep").join(
         texts.select(F.col("doc_id").alias("a_rep"), F.col("text").alias("a_text")), "a_rep"
     ).select("a", "b", "a_text", "b_text")
@@ -278,8 +277,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
             yield {"a": a, "b": b}
 
     links = written(arrow_map(both, "a long, b long", run).distinct(), "links")
-    if shared is not None:
-        shared.destroy()
+    shared.destroy()
     return links
 
 
@@ -287,13 +285,16 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
 LOCAL_LINKS = 200_000
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``key, comp`` for every linked class; comp is the least key that links reach.
+def components(links: DataFrame, most: int) -> DataFrame:
+    """``key, comp`` for every linked class, stored; comp is the least key that links reach.
 
     Tasks first shrink their share of the links to a forest of stars; then large
     and small stars alternate until all edges lead to the least member. One share
     alone is complete at once. Each round reads the last one from the shared folder.
+    Links are only counted if there may be ``most`` and that is more than one share.
     """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
+    shares = 1 if most <= LOCAL_LINKS else max(1, -(-edges.count() // LOCAL_LINKS))
 
     def shrink(batches):
         root: dict[int, int] = {}
@@ -310,15 +311,15 @@ def components(links: DataFrame) -> DataFrame:
             for a, b in zip(batch["u"].to_pylist(), batch["v"].to_pylist()):
                 a, b = find(a), find(b)
                 root[max(a, b)] = min(a, b)
-        nodes = [x for x in root if find(x) != x]
+        nodes = [x for x in root if find(x) != x or shares == 1]
         for at in range(0, len(nodes), 50_000):
             some = nodes[at : at + 50_000]
             yield {"u": some, "v": [find(x) for x in some]}
 
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
-    shares = max(1, -(-edges.count() // LOCAL_LINKS))
     edges, before = written(arrow_map(edges.repartition(shares), "u long, v long", shrink), "edges"), None
-    while shares > 1:
+    if shares == 1:
+        return edges.select(F.col("u").alias("key"), F.col("v").alias("comp"))
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -329,9 +330,9 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("comp")).union(
+    return written(edges.select(F.col("u").alias("key"), F.col("v").alias("comp")).union(
         edges.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct()
-    )
+    ), "components")
 
 
 def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, counters: int = COUNTERS):
@@ -345,7 +346,9 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
         F.first("prefix").alias("prefix"), F.first("blocks").alias("blocks"),
     )
     postings = written(star_postings(classes, percent), "postings")
-    facts = written(sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    # Of a class: its least id, and the least mark among the rows of that id.
+    first = sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("r"))
+    facts = written(first.select("key", F.col("r.doc_id").alias("rep"), F.col("r.mark").alias("mark")), "classes")
     n = {s: F.shiftright(F.col(f"{s}_f"), 5) for s in "ab"}
     asked = {s: F.shiftright(F.col(f"{s}_f"), 1).bitwiseAND(15) for s in "ab"}
     close = 100 * F.least(n["a"], n["b"]) >= percent * F.greatest(n["a"], n["b"])
@@ -372,11 +375,12 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     tops = wide.join(tops, "h").select("hub", "hub_f", F.col("top.hub").alias("key"), F.col("top.hub_f").alias("f"))
     star = star.union(tops.filter("hub != key").select(*pair("hub", "hub_f", "key", "f")))
     checked = written(candidates(star), "stars")
-    links = verify(checked, rows, size, percent)
+    most = checked.count()
+    links = verify(checked, most, rows, size, percent)
 
     # Lists that still hold several components, and what enumerating them would cost.
     for turn in range(3):
-        comps = written(components(links), "components")
+        comps = components(links, most)
         named = postings.select("h", "key", "i", "f").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         open_lists = _worth_enumerating(named, percent)
         smaller = F.col("f").bitwiseAND(1) == 1
@@ -390,8 +394,13 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
         star = open_lists.join(centre, "h").filter("comp != c.comp").select(
             "key", "f", F.col("c.key").alias("hub"), F.col("c.f").alias("hub_f"))
         fresh = written(candidates(star.select(*pair("hub", "hub_f", "key", "f"))).join(checked, ["a", "b"], "left_anti"), "stars")
-        links = written(links.union(verify(fresh, rows, size, percent)), "links")
-        checked = checked.union(fresh)
+        number = fresh.count()
+        links = written(links.union(verify(fresh, number, rows, size, percent)), "links")
+        checked, most = checked.union(fresh), most + number
+
+    of_rows = sets.select("doc_id", "mark", "n", "key")
+    if not cost["pairs"]:
+        return of_rows, facts, comps  # no class may be the smaller one of a pair that is left
 
     lists = open_lists.groupBy("h").agg(F.count("*").alias("m"), F.min(F.shiftright("f", 1).bitwiseAND(15)).alias("low"))
     small = open_lists.filter(smaller).join(lists, "h")
@@ -419,11 +428,11 @@ def linked_classes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, c
     for side in "ab":
         rest = rest.join(facts.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_rep")), side)
     rest = written(rest, "pairs")
-    more = verify(rest, rows, size, percent)
-    if not more.isEmpty():
-        links = written(links.union(more), "links")
-        comps = written(components(links), "components")
-    return sets.select("doc_id", "mark", "n", "key"), facts, comps
+    number = rest.count()
+    if number:
+        links = links.union(verify(rest, number, rows, size, percent))
+        comps = components(links, most + number)
+    return of_rows, facts, comps
 
 
 def _overlap(m, n, percent: int):
@@ -497,10 +506,9 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     prepare(docs.sparkSession, SMALL_ROWS, SMALL_BYTES)
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("words"))
     lone = F.col("id").isNull() | (F.btrim(F.coalesce("words", F.lit("")), F.lit(" \t\n\x0b\f\r")) == "")
-    sets, facts, comps = linked_classes(docs, size, percent)
-    first = sets.filter("n > 0 and doc_id is not null").join(_component_ids(facts, comps), "key").filter("doc_id = component_id")
-    # The least id is known, so a component of any size is one short aggregate.
-    heads = written(first.groupBy("comp").agg(F.first("doc_id").alias("id"), F.min("mark").alias("mark")), "heads")
+    _, facts, comps = linked_classes(docs, size, percent)
+    first = facts.join(comps, "key", "left").groupBy(F.coalesce("comp", "key").alias("comp")).agg(F.min(F.struct("rep", "mark")).alias("r"))
+    heads = written(first.select("comp", F.col("r.rep").alias("id"), F.col("r.mark").alias("mark")), "heads")
     alike = named.filter(~lone).withColumn("mark", F.xxhash64("words")).join(heads, ["id", "mark"])
     # Rows of one id and text are folded where they lie before they move.
     kept = alike.groupBy("comp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
