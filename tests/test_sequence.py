@@ -107,3 +107,16 @@ def test_mini_batches_learn_faster_and_ignore_the_layout(spark):
     assert local.params["losses"][-1] < steps.params["losses"][-1]
     other = Autoencoder(hidden=(6,), epochs=rounds, batch_size=32, shards=2).fit(df.orderBy("entity_id").repartition(7))
     assert np.allclose(local.params["losses"], other.params["losses"], atol=1e-9)
+
+
+def test_a_round_is_two_jobs(spark):
+    """One places the rows, one steps; the shards' weights need no shuffle of their own."""
+    df = spark.createDataFrame([(str(i), [float(i % 7), 1.0]) for i in range(64)], "entity_id string, features array<double>").repartition(2)
+    made = []
+    for epochs in (2, 7):
+        group = f"rounds{epochs}"
+        spark.sparkContext.setJobGroup(group, group)
+        Autoencoder(hidden=(2,), epochs=epochs, batch_size=8, shards=2).fit(df)
+        made.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("after", "after")
+    assert made[1] - made[0] <= 5 * 2

@@ -97,7 +97,8 @@ def mini_batches(
     Rows belong to a shard, and follow each other in it, by the hash of their content, so the
     file layout does not matter. Every round each shard starts from the common weights and makes
     one Adam step per ``batch_size`` rows; the shards' weights are averaged by their data.
-    Returns the mean loss met in each round as well. A task holds one mini-batch at a time.
+    Returns the mean loss met in each round as well. A task holds one mini-batch at a time; a round
+    brings the driver one packed vector of weights per shard.
     """
     names = rows.columns
     digest = F.xxhash64(*names)
@@ -111,8 +112,8 @@ def mini_batches(
             current, at, adam, loss, weight = None, start, None, 0.0, 0.0
 
             def closed() -> pa.RecordBatch:
-                out = _vector(np.concatenate([at * weight, [loss, weight]]))
-                return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, current, np.int32))], names=["pos", "v", "shard"])
+                out = np.concatenate([at * weight, [loss, weight]]).astype("<f8")
+                return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["shard", "v"])
 
             for shard, piece in _pieces(batches, batch_size):
                 if shard != current:
@@ -124,12 +125,10 @@ def mini_batches(
             if adam:
                 yield closed()
 
-        parts = placed.mapInArrow(local, f"{_LAYOUT}, shard int")
-        # Shards are added in their order, so that the sum is the same every time.
-        in_order = F.transform(F.sort_array(F.collect_list(F.struct("shard", "v"))), lambda s: s["v"])
         total = np.zeros(len(start) + 2)
-        for row in parts.groupBy("pos").agg(F.aggregate(in_order, F.lit(0.0), lambda a, v: a + v).alias("v")).collect():
-            total[row["pos"]] = row["v"]
+        # Shards are added in their order, so that the sum is the same every time.
+        for row in sorted(placed.mapInArrow(local, "shard int, v binary").collect()):
+            total += np.frombuffer(row["v"], "<f8")
         flat = total[:-2] / total[-1]
         losses.append(float(total[-2] / total[-1]))
     return flat, losses
