@@ -152,3 +152,14 @@ def test_tasks_get_small_batches(spark):
 
     assert docs.repartition(1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] <= 512
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_the_driver_runs_few_jobs(spark):
+    """Every job costs the driver a block of heap and a thread, however small the table is."""
+    texts = [" ".join(f"w{i // 3 * 40 + k}" for k in range(40)) + (f" x{i}" if i % 3 else "") for i in range(90)]
+    spark.sparkContext.setJobGroup("few_jobs", "few_jobs")
+    try:
+        assert ngram_join.keep_one(frame(spark, list(enumerate(texts)))).count() == 30
+    finally:
+        spark.sparkContext.setJobGroup("after", "after")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few_jobs")) <= 45
